@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import leakage, prose, templates
+from . import encoding, leakage, prose, templates
 from .common import table
 
 
@@ -18,6 +18,15 @@ def p1_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("field_name", "kind", "template").agg(F.countDistinct("extract_id").alias("records"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.find_garbled(table(spark, sf_dir, "extract_result")).select("extract_id", "field_name").distinct()
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wrongly decoded values with the original text, and whether all of it came back."""
+    return encoding.find_garbled(table(spark, sf_dir, "extract_result")).distinct()
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = leakage.leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
     return spans.select("doc_id", "item_id").distinct()
@@ -36,5 +45,5 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.text_statistics(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p7_found, p7_spans, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p3_found, p3_restored, p7_found, p7_spans, p8_found, p8_statistics)}
 ORACLES: dict[str, str] = {}
