@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import encoding, leakage, prose, templates
+from . import boilerplate, encoding, leakage, prose, templates
 from .common import table
 
 
@@ -27,6 +27,28 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.find_garbled(table(spark, sf_dir, "extract_result")).distinct()
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables of pages, without the records of problem 1."""
+    extracts = table(spark, sf_dir, "extract_result").select(F.lit("extract_result").alias("table_name"), F.col("extract_id").alias("row_id"), "title", F.col("content").alias("text"))
+    articles = table(spark, sf_dir, "readability_output").select(F.lit("readability_output").alias("table_name"), F.col("article_id").alias("row_id"), "title", F.col("text_content").alias("text"))
+    return extracts.unionByName(articles)
+
+
+def _without_residue(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    residue = p1_found(spark, sf_dir).select(F.lit("extract_result").alias("table_name"), F.col("extract_id").alias("row_id"))
+    return rows.join(residue, ["table_name", "row_id"], "left_anti")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir)
+    return _without_residue(spark, sf_dir, boilerplate.furniture_lines(pages, boilerplate.fit(pages))).distinct()
+
+
+def p4_main_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir)
+    return _without_residue(spark, sf_dir, boilerplate.main_bodies(pages, boilerplate.fit(pages))).dropDuplicates(["table_name", "row_id"])
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = leakage.leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
     return spans.select("doc_id", "item_id").distinct()
@@ -45,5 +67,5 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.text_statistics(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p3_found, p3_restored, p7_found, p7_spans, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p3_found, p3_restored, p4_found, p4_main_body, p7_found, p7_spans, p8_found, p8_statistics)}
 ORACLES: dict[str, str] = {}
