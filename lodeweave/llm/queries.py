@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import boilerplate, encoding, leakage, prose, templates
+from . import boilerplate, encoding, leakage, prose, scans, templates
 from .common import table
 
 
@@ -49,6 +49,15 @@ def p4_main_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _without_residue(spark, sf_dir, boilerplate.main_bodies(pages, boilerplate.fit(pages))).dropDuplicates(["table_name", "row_id"])
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.Scans(table(spark, sf_dir, "pdf_extract_result")).noise().select("pdf_id", "line_no", "noise").distinct()
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired text of every document."""
+    return scans.Scans(table(spark, sf_dir, "pdf_extract_result")).repaired()
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = leakage.leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
     return spans.select("doc_id", "item_id").distinct()
@@ -67,5 +76,5 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.text_statistics(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p3_found, p3_restored, p4_found, p4_main_body, p7_found, p7_spans, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p3_found, p3_restored, p4_found, p4_main_body, p5_found, p5_repaired, p7_found, p7_spans, p8_found, p8_statistics)}
 ORACLES: dict[str, str] = {}
