@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import boilerplate, encoding, leakage, prose, scans, templates
+from . import boilerplate, encoding, leakage, packing, prose, scans, templates
 from .common import table
 
 
@@ -58,6 +58,15 @@ def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.Scans(table(spark, sf_dir, "pdf_extract_result")).repaired()
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of each text or piece, for every capacity."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "packing_target"))
+
+
+def p6_unused_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.filling(p6_containers(spark, sf_dir), table(spark, sf_dir, "packing_target"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = leakage.leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
     return spans.select("doc_id", "item_id").distinct()
@@ -76,5 +85,5 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.text_statistics(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p3_found, p3_restored, p4_found, p4_main_body, p5_found, p5_repaired, p7_found, p7_spans, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p3_found, p3_restored, p4_found, p4_main_body, p5_found, p5_repaired, p6_containers, p6_unused_space, p7_found, p7_spans, p8_found, p8_statistics)}
 ORACLES: dict[str, str] = {}
