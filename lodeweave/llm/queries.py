@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import boilerplate, encoding, leakage, packing, prose, scans, templates
+from . import boilerplate, encoding, leakage, neardup, packing, prose, scans, templates
 from .common import table
 
 
@@ -18,6 +18,24 @@ def p1_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("field_name", "kind", "template").agg(F.countDistinct("extract_id").alias("records"))
 
 
+LEAST_WORDS = {"content": 50, "description": 20}
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = table(spark, sf_dir, "extract_result").select(F.lit("content").alias("field_name"), F.col("extract_id").alias("id"), F.col("content").alias("text"))
+    description = table(spark, sf_dir, "search_hit").select(F.lit("description").alias("field_name"), F.col("hit_id").alias("id"), F.col("description").alias("text"))
+    return content.unionByName(description).where("id is not null and trim(text) != ''")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_pairs(_texts(spark, sf_dir), LEAST_WORDS)
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every text among five-word shingles at a similarity of 0.8, and its number of links."""
+    return neardup.near_duplicate_groups(_texts(spark, sf_dir), LEAST_WORDS, shingle=5, threshold=0.8)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.find_garbled(table(spark, sf_dir, "extract_result")).select("extract_id", "field_name").distinct()
 
@@ -85,5 +103,5 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.text_statistics(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p3_found, p3_restored, p4_found, p4_main_body, p5_found, p5_repaired, p6_containers, p6_unused_space, p7_found, p7_spans, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_groups, p3_found, p3_restored, p4_found, p4_main_body, p5_found, p5_repaired, p6_containers, p6_unused_space, p7_found, p7_spans, p8_found, p8_statistics)}
 ORACLES: dict[str, str] = {}
