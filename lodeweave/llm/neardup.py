@@ -149,14 +149,11 @@ def _frequency(reps: DataFrame, slots: int) -> np.ndarray:
     span = slots // blocks
 
     def count(batches):
-        total = None
+        total = np.zeros(slots, np.uint8)
         for b in batches:
             flat = np.concatenate([unpack(x) for x in b.column(0).to_pylist()] or [np.zeros(0, np.uint64)])
-            got = np.bincount((flat % np.uint64(slots)).astype(np.int64), minlength=slots)
-            total = got if total is None else total + got
-        if total is None:
-            return
-        total = np.minimum(total, 255).astype(np.uint8)
+            at, n = np.unique((flat % np.uint64(slots)).astype(np.int32), return_counts=True)
+            total[at] = np.minimum(total[at] + n, 255).astype(np.uint8)
         for k in range(blocks):
             part = total[k * span : (k + 1) * span]
             at = np.flatnonzero(part).astype(np.int32)
