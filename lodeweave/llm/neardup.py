@@ -20,13 +20,15 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import map_batches, stored
 
 SHINGLE, THRESHOLD, TOLERANCE = 3, 0.6, 1e-5
-SLOTS = 1 << 25  # counters of shingle frequency: one byte each, whatever the size of the input
-WIDTH = 6  # bytes kept of each shingle hash: 2^48 values
+SLOTS = 1 << 28  # one bit each: whether more than one text holds a shingle of the slot
+COARSE = 1 << 22  # counters of shingle frequency; both tables have this size whatever the input
+ID_SLOTS = 1 << 19  # slots of ids by which rows of interest are picked before they are shuffled
+WIDTH = 5  # bytes kept of each shingle hash: 2^40 values
 _MARKS = ".,;:!?\"'()[]{}«»“”„‘’‚—–-…·•*_/\\|<>#+=~`´^°%&@$€£§"
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _SPACE = re.compile("[ \t\n\r\f\v]+")
@@ -48,7 +50,7 @@ def words(text: str) -> list[str]:
 
 
 class Shingler:
-    """Distinct shingle hashes (48 bits) and MinHash bits of texts; word hashes are kept between calls."""
+    """Distinct shingle hashes (40 bits) and MinHash bits of texts; word hashes are kept between calls."""
 
     def __init__(self, shingle: int = SHINGLE):
         self.k, self.memo = shingle, {}
@@ -115,22 +117,40 @@ def least_matches(n: int, threshold: float = THRESHOLD, tolerance: float = TOLER
     return n
 
 
+def _slot(c) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(ID_SLOTS)).cast("int").alias("slot")
+
+
+def _copy() -> Column:
+    return F.unhex(F.md5("text")).alias("copy")
+
+
 def _representatives(texts: DataFrame, least_words: dict[str, int], shingle: int) -> DataFrame:
-    """(field_name, rep, n, sig0, sig1, sh): one row for each different text that is long enough."""
-    once = texts.groupBy("field_name", F.md5("text").alias("copy")).agg(F.min("id").alias("rep"), F.first("text").alias("text"))
+    """(field_name, rep, several, n, sig0, sig1, sh): one row for each different text that is long enough.
 
-    def run(fields, reps, bodies):
-        held = Shingler(shingle) if not hasattr(run, "held") else run.held
-        run.held = held
-        out = {"field_name": [], "rep": [], "n": [], "sig0": [], "sig1": [], "sh": []}
+    Only rows whose text stands in several rows, and those that share an id slot with them, are shuffled to be
+    grouped; the number of slots is bounded.  several: more than one id has the text.
+    """
+    again = texts.select("field_name", _copy(), "id").groupBy("field_name", "copy").agg(F.count("*").alias("n"), F.collect_set(_slot(F.col("id"))).alias("slots")).where("n > 1")
+    slots = again.select(F.explode("slots").alias("slot")).distinct()
+    keyed = texts.withColumn("slot", _slot(F.col("id")))
+    alone = keyed.join(F.broadcast(slots), "slot", "left_anti").select("field_name", F.col("id").alias("rep"), F.lit(False).alias("several"), "text")
+    shared = keyed.join(F.broadcast(slots), "slot", "left_semi")
+    once = shared.groupBy("field_name", _copy()).agg(F.min("id").alias("rep"), (F.min("id") != F.max("id")).alias("several"), F.first("text").alias("text"))
+    held: dict[str, Shingler] = {}
+
+    def run(fields, reps, several, bodies):
+        maker = held.setdefault("it", Shingler(shingle))
+        out = {"field_name": [], "rep": [], "several": [], "n": [], "sig0": [], "sig1": [], "sh": []}
         sets = []
-        for f, r, t in zip(fields, reps, bodies):
+        for f, r, m, t in zip(fields, reps, several, bodies):
             ws = words(t)
             if len(ws) >= least_words[f]:
-                s = held.hashes(ws)
+                s = maker.hashes(ws)
                 if len(s):
                     out["field_name"].append(f)
                     out["rep"].append(r)
+                    out["several"].append(m)
                     out["n"].append(len(s))
                     out["sh"].append(pack(s))
                     sets.append(s)
@@ -140,46 +160,58 @@ def _representatives(texts: DataFrame, least_words: dict[str, int], shingle: int
         out["sig0"], out["sig1"] = sig[:, 0].tolist(), sig[:, 1].tolist()
         return out
 
-    return map_batches(once.select("field_name", "rep", "text"), "field_name string, rep bigint, n int, sig0 bigint, sig1 bigint, sh binary", run)
+    both = alone.unionByName(once.select("field_name", "rep", "several", "text"))
+    return map_batches(both, "field_name string, rep bigint, several boolean, n int, sig0 bigint, sig1 bigint, sh binary", run)
+
 
+def _frequency(reps: DataFrame, slots: int, coarse: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, counts): whether more than one text holds a shingle of a slot, and how often its coarse slot is held.
 
-def _frequency(reps: DataFrame, slots: int) -> np.ndarray:
-    """One byte a slot: how many texts hold a shingle of that slot, 255 at most.  Counted in blocks of slots."""
+    Counted in blocks of slots; every task hands on each slot once a batch.
+    """
     blocks = 64
-    span = slots // blocks
+    span, fold = slots // blocks, slots // coarse
 
     def count(batches):
-        total = np.zeros(slots, np.uint8)
         for b in batches:
             flat = np.concatenate([unpack(x) for x in b.column(0).to_pylist()] or [np.zeros(0, np.uint64)])
-            at, n = np.unique((flat % np.uint64(slots)).astype(np.int32), return_counts=True)
-            total[at] = np.minimum(total[at] + n, 255).astype(np.uint8)
-        for k in range(blocks):
-            part = total[k * span : (k + 1) * span]
-            at = np.flatnonzero(part).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], names=["block", "at", "n"])
+            at, n = np.unique((flat % np.uint64(slots)).astype(np.uint32), return_counts=True)
+            n = np.minimum(n, 255).astype(np.uint8)
+            cuts = np.searchsorted(at, np.arange(blocks + 1, dtype=np.uint64) * span)
+            parts = [(k, slice(cuts[k], cuts[k + 1])) for k in range(blocks) if cuts[k] < cuts[k + 1]]
+            if parts:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _ in parts], pa.int32()), pa.array([(at[x] - np.uint32(k * span)).astype(np.uint32).tobytes() for k, x in parts], pa.binary()), pa.array([n[x].tobytes() for _, x in parts], pa.binary())],
+                    names=["block", "at", "n"],
+                )
 
     def merge(batches):
         block, total = None, None
+
+        def done():
+            bits = np.packbits(total > 1).tobytes()
+            counts = np.minimum(total.reshape(-1, fold).sum(1), 65535).astype(np.uint16).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([bits], pa.binary()), pa.array([counts], pa.binary())], names=["block", "bits", "counts"])
+
         for b in batches:
             for k, at, n in zip(*(c.to_pylist() for c in b.columns)):
                 if k != block:
                     if block is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.astype(np.uint8).tobytes()], pa.binary())], names=["block", "n"])
-                    block, total = k, np.zeros(span, np.int64)
-                i = np.frombuffer(at, np.int32)
-                total[i] = np.minimum(255, total[i] + np.frombuffer(n, np.uint8))
+                        yield done()
+                    block, total = k, np.zeros(span, np.uint32)
+                total[np.frombuffer(at, np.uint32)] += np.frombuffer(n, np.uint8)
         if block is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.astype(np.uint8).tobytes()], pa.binary())], names=["block", "n"])
+            yield done()
 
     parts = reps.select("sh").mapInArrow(count, "block int, at binary, n binary").repartition("block").sortWithinPartitions("block")
-    out = np.zeros(slots, np.uint8)
-    for r in parts.mapInArrow(merge, "block int, n binary").toLocalIterator():  # slots bytes in all, a bound by parameter
-        out[r[0] * span : (r[0] + 1) * span] = np.frombuffer(r[1], np.uint8)
-    return out
+    bits, counts = np.zeros(slots // 8, np.uint8), np.zeros(coarse, np.uint16)
+    for r in parts.mapInArrow(merge, "block int, bits binary, counts binary").toLocalIterator():  # bounded by slots and coarse
+        bits[r[0] * span // 8 : (r[0] + 1) * span // 8] = np.frombuffer(r[1], np.uint8)
+        counts[r[0] * span // fold : (r[0] + 1) * span // fold] = np.frombuffer(r[2], np.uint16)
+    return bits, counts
 
 
-def _postings(reps: DataFrame, often: np.ndarray, threshold: float) -> DataFrame:
+def _postings(reps: DataFrame, often: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
     """(field_name, key, rep, n, pos, sig0, sig1, inner): the first shingles of each text, rare ones first.
 
     inner: the posting is among the fewer that the smaller text of a pair needs.
@@ -188,17 +220,21 @@ def _postings(reps: DataFrame, often: np.ndarray, threshold: float) -> DataFrame
     schema = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("inner", pa.bool_()), ("sig0", pa.int64()), ("sig1", pa.int64())])
 
     def run(batches):
-        count = box.value
+        bits, count = box.value
+        slots = np.uint64(len(bits) * 8)
+        fold = np.uint64(len(bits) * 8 // len(count))
         for b in batches:
             cols = b.to_pydict()
             keys, owner, places, inner = [], [], [], []
             for i, (f, sh) in enumerate(zip(cols["field_name"], cols["sh"])):
                 s = unpack(sh)
-                c = count[(s % np.uint64(len(count))).astype(np.int64)]
+                at = s % slots
+                c = count[(at // fold).astype(np.int64)]
                 n = len(s)
                 probe = n - math.ceil(threshold * n - 1e-9) + 1
                 order = np.lexsort((s, c))[:probe]
-                keep = np.flatnonzero(c[order] > 1)
+                at = at[order]
+                keep = np.flatnonzero((bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1)
                 if len(keep):
                     salt = np.uint64(xxhash.xxh3_64_intdigest(f) >> 8 << 8)
                     keys.append((s[order[keep]] ^ salt).view(np.int64))
@@ -230,13 +266,13 @@ def _surviving(threshold: float, tolerance: float):
     )
 
 
-def similar_representatives(texts: DataFrame, least_words: dict[str, int], shingle: int = SHINGLE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, slots: int = SLOTS) -> DataFrame:
-    """(rep_a, rep_b, similarity) of different texts(field_name, id, text); rep: least id of a text's copies.
+def similar_representatives(texts: DataFrame, least_words: dict[str, int], shingle: int = SHINGLE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, slots: int = SLOTS, coarse: int = COARSE) -> tuple[DataFrame, DataFrame]:
+    """(representatives, pairs(field_name, rep_a, rep_b, similarity)) of different texts(field_name, id, text); rep: least id of a text's copies.
 
     Pairs stay within a field: the keys of the lists are salted with its name, and ids are told apart by it.
     """
     reps = stored(_representatives(texts, least_words, shingle), "shingles")
-    posts = _postings(reps, _frequency(reps, slots), threshold)
+    posts = _postings(reps, _frequency(reps, slots, coarse), threshold)
     a = posts.where("inner").select("key", *(F.col(c).alias(f"a_{c}") for c in ("rep", "n", "pos", "sig0", "sig1")))
     b = posts.select("key", *(F.col(c).alias(f"b_{c}") for c in ("rep", "n", "pos", "sig0", "sig1")))
     an, bn = F.col("a_n"), F.col("b_n")
@@ -246,9 +282,8 @@ def similar_representatives(texts: DataFrame, least_words: dict[str, int], shing
     met = a.join(b, "key").where(order & sizes & places & _surviving(threshold, tolerance))
     candidates = stored(met.select("a_rep", "b_rep").distinct(), "candidates")
     # Slots of the candidates' ids: their number is bounded, whatever the number of candidates.
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 18)).cast("int").alias("slot")
-    wanted = candidates.select(slot(F.col("a_rep"))).union(candidates.select(slot(F.col("b_rep")))).distinct()
-    some = reps.select("rep", "field_name", "sh", slot(F.col("rep"))).join(F.broadcast(wanted), "slot", "left_semi")
+    wanted = candidates.select(_slot(F.col("a_rep"))).union(candidates.select(_slot(F.col("b_rep")))).distinct()
+    some = reps.select("rep", "field_name", "sh", _slot(F.col("rep"))).join(F.broadcast(wanted), "slot", "left_semi")
     left = candidates.join(some.select(F.col("rep").alias("a_rep"), F.col("field_name").alias("a_field"), F.col("sh").alias("a_sh")), "a_rep")
     both = left.join(some.select(F.col("rep").alias("b_rep"), F.col("field_name").alias("b_field"), F.col("sh").alias("b_sh")), "b_rep").where("a_field = b_field")
 
@@ -262,14 +297,17 @@ def similar_representatives(texts: DataFrame, least_words: dict[str, int], shing
                     out[k].append(v)
         return out
 
-    return map_batches(both.select("a_field", "a_rep", "b_rep", "a_sh", "b_sh"), "field_name string, rep_a bigint, rep_b bigint, similarity double", check).distinct()
+    pairs = map_batches(both.select("a_field", "a_rep", "b_rep", "a_sh", "b_sh"), "field_name string, rep_a bigint, rep_b bigint, similarity double", check)
+    return reps.drop("sh", "sig0", "sig1"), stored(pairs.distinct(), "pairs")
 
 
-def memberships(texts: DataFrame) -> DataFrame:
-    """(field_name, rep, id): the representative of every text."""
-    ids = texts.select("field_name", F.md5("text").alias("copy"), "id").distinct()
-    reps = ids.groupBy("field_name", "copy").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    return ids.join(reps, ["field_name", "copy"]).select("field_name", "rep", "id", "copies")
+def memberships(texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """(field_name, rep, id) of the rows of representatives whose text several ids have."""
+    heads = reps.where("several").select("field_name", "rep")
+    slots = heads.select(_slot(F.col("rep"))).distinct()
+    rows = texts.select("field_name", _copy(), "id", _slot(F.col("id")))
+    head = rows.join(F.broadcast(slots), "slot", "left_semi").withColumnRenamed("id", "rep").join(heads, ["field_name", "rep"], "left_semi").select("field_name", "copy", "rep").distinct()
+    return rows.select("field_name", "copy", "id").distinct().join(head, ["field_name", "copy"]).select("field_name", "rep", "id")
 
 
 def similar_pairs(texts: DataFrame, least_words: dict[str, int], **options) -> DataFrame:
@@ -277,31 +315,17 @@ def similar_pairs(texts: DataFrame, least_words: dict[str, int], **options) -> D
 
     Rows of one text form pairs among themselves if the text is long enough; the output is as large as it must be.
     """
-    pairs = stored(similar_representatives(texts, least_words, **options), "pairs")
-    members = memberships(texts)
-    # Copies matter only where a representative is in a pair or has several rows.
+    reps, pairs = similar_representatives(texts, least_words, **options)
+    members = stored(memberships(texts, reps), "members")
     a = members.select("field_name", F.col("rep").alias("rep_a"), F.col("id").alias("x"))
     b = members.select("field_name", F.col("rep").alias("rep_b"), F.col("id").alias("y"))
-    between = pairs.join(a, ["field_name", "rep_a"]).join(b, ["field_name", "rep_b"])
-    crossed = between.select("field_name", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    several = members.where("copies > 1").select("field_name", "rep", "id")
-    long_enough = _long_enough(texts, several, least_words)
-    same = long_enough.select("field_name", "rep", F.col("id").alias("id_a")).join(long_enough.select("field_name", "rep", F.col("id").alias("id_b")), ["field_name", "rep"]).where("id_a < id_b")
+    between = pairs.join(a, ["field_name", "rep_a"], "left").join(b, ["field_name", "rep_b"], "left")
+    x, y = F.coalesce("x", "rep_a"), F.coalesce("y", "rep_b")
+    crossed = between.select("field_name", F.least(x, y).alias("id_a"), F.greatest(x, y).alias("id_b")).where("id_a != id_b")
+    same = members.select("field_name", "rep", F.col("id").alias("id_a")).join(members.select("field_name", "rep", F.col("id").alias("id_b")), ["field_name", "rep"]).where("id_a < id_b")
     return crossed.unionByName(same.select("field_name", "id_a", "id_b")).distinct()
 
 
-def _long_enough(texts: DataFrame, members: DataFrame, least_words: dict[str, int]) -> DataFrame:
-    """The members whose text has the least number of words."""
-    def run(fields, ids, bodies):
-        keep = [len(words(t)) >= least_words[f] for f, t in zip(fields, bodies)]
-        return {"field_name": [f for f, k in zip(fields, keep) if k], "rep": [i for i, k in zip(ids, keep) if k]}
-
-    reps = members.select("field_name", "rep").distinct()
-    bodies = texts.withColumnRenamed("id", "rep").join(reps, ["field_name", "rep"], "left_semi").select("field_name", "rep", "text")
-    fit = map_batches(bodies, "field_name string, rep bigint", run).distinct()
-    return members.join(fit, ["field_name", "rep"], "left_semi")
-
-
 def components(pairs: DataFrame) -> DataFrame:
     """(field_name, rep, class_id): connected components by alternating large and small stars, each round written out."""
     edges = pairs.select("field_name", F.col("rep_a").alias("u"), F.col("rep_b").alias("v")).distinct()
@@ -325,8 +349,11 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def near_duplicate_groups(texts: DataFrame, least_words: dict[str, int], **options) -> DataFrame:
     """(field_name, id, class_id, links) for every row: its class, and how many different texts it is similar to."""
-    pairs = stored(similar_representatives(texts, least_words, **options), "pairs")
+    reps, pairs = similar_representatives(texts, least_words, **options)
     ends = pairs.select("field_name", F.col("rep_a").alias("rep")).union(pairs.select("field_name", F.col("rep_b")))
     links = ends.groupBy("field_name", "rep").agg(F.count("*").alias("links"))
-    members = memberships(texts).join(components(pairs), ["field_name", "rep"], "left").join(links, ["field_name", "rep"], "left")
-    return members.select("field_name", "id", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")).distinct()
+    classes = reps.select("field_name", "rep").distinct().join(components(pairs), ["field_name", "rep"], "left").join(links, ["field_name", "rep"], "left")
+    several = memberships(texts, reps)
+    rows = texts.select("field_name", "id").distinct().join(several, ["field_name", "id"], "left").select("field_name", "id", F.coalesce("rep", "id").alias("rep"))
+    out = rows.join(classes, ["field_name", "rep"], "left")
+    return out.select("field_name", "id", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links")).distinct()
