@@ -1,4 +1,595 @@
-"""Every registered query of the library and the SQL that gives the same rows."""
+"""Every registered query of the library and, where SQL can say it, the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import text as T
+from ..functions.text import r3
+from ..operators import extract as ex, geometry, ranking, repair, replay, score, serp, telemetry, triage
+from ..sources import events as ev
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hits_of(spark, d) -> DataFrame:
+    return telemetry.latest(table(spark, d, "search_hit"), "hit_id", "loaded_at")
+
+
+def extracts_of(spark, d) -> DataFrame:
+    return telemetry.latest(table(spark, d, "extract_result"), "extract_id", "loaded_at")
+
+
+def log_of(spark, d) -> DataFrame:
+    return telemetry.latest(table(spark, d, "telemetry_event"), "event_id", "logged_at")
+
+
+HITS = "hits AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY hit_id ORDER BY loaded_at DESC) n FROM search_hit) WHERE n = 1)"
+EXTRACTS = "ext AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY extract_id ORDER BY loaded_at DESC) n FROM extract_result) WHERE n = 1)"
+LOG = "log AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY logged_at DESC) n FROM telemetry_event) WHERE n = 1)"
+SQL_HOST = "nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#@]*@)?([^/?#:]+)', 2)), '')"
+_EN = r"(?i)(^|[^A-Za-z0-9_])(sponsored|advertisement)($|[^A-Za-z0-9_])|(^|\s)ads?(\s*[·•‧▾\-—]|\s*$)"
+_MARK = f"(regexp_matches(coalesce(title, ''), '{_EN}') OR regexp_matches(coalesce(description, ''), '{_EN}'))"
+SCORED = f"""{HITS}, scored AS (SELECT *, CASE WHEN overall >= 0.8 THEN 'high' WHEN overall >= 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM (
+SELECT *, CASE WHEN classification = 'sponsored' THEN (0.25 + s * 0.5) * 0.2 ELSE 0.25 + s * 0.5 END AS overall FROM (
+SELECT *, CASE WHEN {_MARK} THEN 'sponsored' ELSE 'organic' END AS classification, CASE WHEN {_MARK} THEN 0.8 ELSE 0.1 END AS ad_likelihood,
+(CASE WHEN length(coalesce(title, '')) > 0 THEN 0.3 ELSE 0.0 END)::DOUBLE + (CASE WHEN starts_with(coalesce(url, ''), 'http') THEN 0.3 ELSE 0.0 END)::DOUBLE + (CASE WHEN length(coalesce(description, '')) > 20 THEN 0.4 ELSE 0.0 END)::DOUBLE AS s FROM hits)))"""
+R3 = lambda x: f"floor(({x}) * 1000 + 0.5) / 1000"
+
+
+# ---- hits --------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {HITS} SELECT hit_id, {SQL_HOST} AS host FROM hits")
+def hit_host(spark, d):
+    return hits_of(spark, d).select("hit_id", T.host("url").alias("host"))
+
+
+@query(f"WITH {SCORED} SELECT hit_id, classification, ad_likelihood::DOUBLE AS ad_likelihood, {R3('s')} AS structural, 0.5::DOUBLE AS geometric, {R3('overall')} AS overall, confidence FROM scored")
+def hit_score(spark, d):
+    return score.score_hits(hits_of(spark, d)).select("hit_id", "classification", "ad_likelihood", "structural", "geometric", "overall", "confidence")
+
+
+@query(f"WITH {SCORED}, r AS (SELECT page_id, hit_id, title, {R3('overall')} AS overall, row_number() OVER (PARTITION BY page_id ORDER BY pos, hit_id) AS rank FROM scored WHERE classification = 'organic') SELECT page_id, rank::INT AS rank, hit_id, title, overall FROM r WHERE rank <= 5")
+def hit_filter_topk(spark, d):
+    """The first five hits of each page after scoring and filtering."""
+    at = F.struct("pos", "hit_id")
+    kept = score.first_hits(score.score_hits(hits_of(spark, d)).withColumn("at", at), "page_id", 5, "at")
+    return kept.select("page_id", "rank", "hit_id", "title", "overall")
+
+
+@query(f"WITH {SCORED} SELECT hit_id, {R3('overall')} AS overall FROM scored WHERE classification = 'organic' AND {R3('overall')} >= 0.7")
+def hit_organic(spark, d):
+    return score.filter_organic(score.score_hits(hits_of(spark, d)), 0.7).select("hit_id", "overall")
+
+
+@query(
+    f"""WITH {HITS}, m AS (SELECT *, ((coalesce(title, '') || ' ' || coalesce(description, '')) LIKE '%limit%') AS bad FROM hits),
+b AS (SELECT *, coalesce(sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY pos, hit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m)
+SELECT page_id, count(*)::BIGINT AS dropped, 'sponsored' AS reasons FROM b WHERE bad AND before < 5 GROUP BY page_id"""
+)
+def hit_drops(spark, d):
+    """Dropped hits and reasons until five were kept; hits that speak of a limit stand for advertisements."""
+    bad = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("description", F.lit(""))).contains("limit")
+    marked = hits_of(spark, d).select("page_id", F.struct("pos", "hit_id").alias("at"), F.when(bad, "sponsored").otherwise("organic").alias("classification"))
+    return score.drops(marked, "page_id", 5, "at")
+
+
+@query(
+    f"WITH {SCORED} SELECT strategy_id, {R3('avg(' + R3('overall') + ')')} AS mean_overall, {R3('avg(0.5::DOUBLE)')} AS mean_geometric, {R3(chr(97) + 'vg((classification = ' + chr(39) + 'organic' + chr(39) + ')::INT)')} AS organic_share, count(*)::BIGINT AS hits FROM scored GROUP BY strategy_id"
+)
+def score_rollup(spark, d):
+    return score.rollup(score.score_hits(hits_of(spark, d)), "strategy_id")
+
+
+@query(
+    f"""WITH {HITS}, c AS (SELECT (page_id / 7)::INT AS query_id, page_id, any_value(strategy_id) AS sid, count(*) AS n, (page_id % 10) / 10.0 AS conf FROM (SELECT * REPLACE (page_id - page_id % 7 + page_id % 7 AS page_id) FROM hits) GROUP BY page_id),
+k AS (SELECT (page_id - page_id % 7) / 7 AS q, page_id % 7 AS p, n, conf, sid FROM c),
+g AS (SELECT q, min(p) AS stop FROM k WHERE n >= 5 AND conf >= 0.7 GROUP BY q),
+t AS (SELECT k.*, row_number() OVER (PARTITION BY k.q ORDER BY n * (1 + conf) DESC, p) AS r FROM k LEFT JOIN g ON k.q = g.q WHERE g.stop IS NULL OR k.p <= g.stop)
+SELECT q::BIGINT AS query_id, ('s' || (p::INT)::VARCHAR) AS strategy_id, n::BIGINT AS hits, conf::DOUBLE AS confidence FROM t WHERE r = 1"""
+)
+def best_strategy(spark, d):
+    """Seven pages stand for the tries of one query; confidence is arithmetic on the page's id (synthetic)."""
+    per = hits_of(spark, d).groupBy("page_id").agg(F.count("*").alias("hits"))
+    tries = per.select(
+        ((F.col("page_id") - F.col("page_id") % 7) / 7).cast("bigint").alias("query_id"),
+        (F.col("page_id") % 7).alias("strategy_pos"),
+        F.concat(F.lit("s"), (F.col("page_id") % 7).cast("string")).alias("strategy_id"),
+        "hits",
+        ((F.col("page_id") % 10) / 10).alias("confidence"),
+    )
+    return score.best_strategy(tries, "query_id")
+
+
+@query(
+    f"""WITH {HITS} SELECT hit_id, CASE lang WHEN 0 THEN regexp_matches(t, '{_EN}') WHEN 1 THEN regexp_matches(t, '광고|스폰서') WHEN 2 THEN regexp_matches(t, '広告|スポンサー') WHEN 3 THEN regexp_matches(t, '(?i)sponsorisé|annonce')
+WHEN 4 THEN regexp_matches(t, '(?i)anzeige|gesponsert') WHEN 5 THEN regexp_matches(t, '(?i)anuncio|patrocinado') WHEN 6 THEN regexp_matches(t, '广告|赞助|廣告') ELSE regexp_matches(t, '(?i)patrocinado|anúncio') END AS marked
+FROM (SELECT hit_id, hit_id % 8 AS lang, coalesce(title, '') || (CASE hit_id % 5 WHEN 0 THEN ' · Sponsored' WHEN 1 THEN ' ANNONCE' WHEN 2 THEN ' 광고' WHEN 3 THEN ' ads' ELSE '' END) AS t FROM hits)"""
+)
+def ad_markers(spark, d):
+    """Advertisement markers of eight languages on titles with endings by id (synthetic)."""
+    langs = F.array(*map(F.lit, ("en-US", "ko-KR", "ja-JP", "fr-FR", "de-DE", "es-ES", "zh-CN", "pt-BR")))
+    ends = F.array(*map(F.lit, (" · Sponsored", " ANNONCE", " 광고", " ads", "")))
+    t = F.concat(F.coalesce("title", F.lit("")), F.get(ends, (F.col("hit_id") % 5).cast("int")))
+    return hits_of(spark, d).select("hit_id", T.ad_marked(t, F.get(langs, (F.col("hit_id") % 8).cast("int"))).alias("marked"))
+
+
+@query(f"WITH {HITS} SELECT page_id, url, min(pos) AS pos, count(*)::BIGINT AS times FROM hits WHERE url IS NOT NULL GROUP BY page_id, url")
+def first_seen_url(spark, d):
+    return hits_of(spark, d).where("url is not null").groupBy("page_id", "url").agg(F.min("pos").alias("pos"), F.count("*").alias("times"))
+
+
+@query(f"WITH {HITS} SELECT hit_id, substr(regexp_replace(trim(description), '(?i)\\s*(\\.{{3}}|…)?\\s*(Read more|More results|더보기)\\s*$', ''), 1, 600) AS snippet FROM hits WHERE description NOT LIKE '%' || chr(9) || '%' AND description NOT LIKE '%' || chr(160) || '%'")
+def hit_snippet(spark, d):
+    rows = hits_of(spark, d).where(~F.col("description").contains("\t") & ~F.col("description").contains(" "))
+    return rows.select("hit_id", T.clean_snippet("description").alias("snippet"))
+
+
+# ---- geometry (synthetic rectangles from ids) ---------------------------------------------------------------
+
+_RECT = "SELECT page_id, hit_id AS block_index, ((hit_id * 37) % 1200)::DOUBLE AS x, ((hit_id * 53) % 1500)::DOUBLE AS y, 500.0::DOUBLE AS w, 100.0::DOUBLE AS h, hit_id % 7 <> 0 AS has_h3, hit_id % 5 <> 0 AS has_link FROM hits"
+_REGION = "SELECT DISTINCT page_id, 700.0::DOUBLE AS ad_x, ((page_id * 91) % 900)::DOUBLE AS ad_y, 300.0::DOUBLE AS ad_w, 200.0::DOUBLE AS ad_h, CASE WHEN page_id % 3 = 0 THEN 900.0::DOUBLE END AS side_x FROM hits"
+_GEO = f"""{HITS}, rect AS ({_RECT}), region AS ({_REGION}), sig AS (SELECT rect.*, (x > 30 AND x < 0.65 * 1366 AND y > 100) AS in_organic,
+(x <= ad_x + ad_w AND x + w >= ad_x AND y <= ad_y + ad_h AND y + h >= ad_y) AS overlaps_ad, CASE WHEN side_x IS NOT NULL THEN x + w >= side_x ELSE x > 0.65 * 1366 END AS overlaps_sidebar FROM rect JOIN region USING (page_id)),
+geo AS (SELECT *, floor(greatest(0, least(1, (CASE WHEN in_organic THEN 0.3 ELSE 0 END)::DOUBLE + (CASE WHEN has_h3 THEN 0.2 ELSE 0 END)::DOUBLE + (CASE WHEN has_link THEN 0.2 ELSE 0 END)::DOUBLE + (CASE WHEN has_h3 AND has_link THEN 0.1 ELSE 0 END)::DOUBLE + 0.2::DOUBLE
+- (CASE WHEN overlaps_ad THEN 0.6 ELSE 0 END)::DOUBLE - (CASE WHEN overlaps_sidebar THEN 0.4 ELSE 0 END)::DOUBLE)) * 1000 + 0.5) / 1000 AS confidence FROM sig)"""
+
+
+def blocks_of(spark, d) -> DataFrame:
+    h = hits_of(spark, d)
+    num = lambda e: F.expr(f"cast({e} as double)")
+    rect = h.select("page_id", F.col("hit_id").alias("block_index"), num("(hit_id * 37) % 1200").alias("x"), num("(hit_id * 53) % 1500").alias("y"), F.lit(500.0).alias("w"), F.lit(100.0).alias("h"), (F.col("hit_id") % 7 != 0).alias("has_h3"), (F.col("hit_id") % 5 != 0).alias("has_link"))
+    region = h.select("page_id").distinct().select("page_id", F.lit(700.0).alias("ad_x"), num("(page_id * 91) % 900").alias("ad_y"), F.lit(300.0).alias("ad_w"), F.lit(200.0).alias("ad_h"), F.when(F.col("page_id") % 3 == 0, 900.0).alias("side_x"))
+    return geometry.signals(rect, region)
+
+
+@query(f"WITH {_GEO} SELECT page_id, block_index, in_organic, overlaps_ad, overlaps_sidebar, confidence FROM geo")
+def geometry_confidence(spark, d):
+    return blocks_of(spark, d).select("page_id", "block_index", "in_organic", "overlaps_ad", "overlaps_sidebar", "confidence")
+
+
+@query(f"WITH {_GEO} SELECT page_id, {R3('avg(in_organic::INT)')} AS organic_share, {R3('avg(overlaps_ad::INT)')} AS ad_share, {R3('avg(overlaps_sidebar::INT)')} AS side_share, floor(sum(round(confidence * 1000)) / count(*) + 0.5) / 1000 AS mean_confidence, floor(sum(round(confidence * 1000)) / count(*) + 0.5) / 1000 < 0.5 AS is_stale FROM geo GROUP BY page_id")
+def region_stats(spark, d):
+    return geometry.region_stats(blocks_of(spark, d))
+
+
+@query(
+    f"""WITH {_GEO} SELECT page_id, n AS blocks, {R3('CASE WHEN n < 5 THEN 0 ELSE o END')} AS organic_ratio, {R3('CASE WHEN n < 5 THEN 0 ELSE m END')} AS mean_confidence, (n >= 5 AND o >= 0.6 AND m >= 0.5) AS passed
+FROM (SELECT page_id, count(*)::BIGINT AS n, avg(in_organic::INT) AS o, floor(sum(round(confidence * 1000)) / count(*) + 0.5) / 1000 AS m FROM geo GROUP BY page_id)"""
+)
+def repair_gate_a(spark, d):
+    g = repair.gate_a(blocks_of(spark, d))
+    return g.select("page_id", "blocks", r3(F.col("organic_ratio")).alias("organic_ratio"), r3(F.col("mean_confidence")).alias("mean_confidence"), "passed")
+
+
+@query(
+    f"""WITH {_GEO}, q AS (SELECT page_id, count(*) AS results, floor(sum(round(confidence * 1000)) / count(*) + 0.5) / 1000 AS m FROM geo GROUP BY page_id), t AS (SELECT page_id % 50 AS selector_id, CASE WHEN results < 3 THEN 'too few results' WHEN m < 0.5 THEN 'low confidence' END AS reason FROM q),
+v AS (SELECT selector_id, count(*) FILTER (reason IS NULL) AS ok, count(*) AS total FROM t GROUP BY selector_id), w AS (SELECT *, CASE WHEN ok = total AND total >= 3 THEN 'apply' WHEN ok >= 2 THEN 'caution_flag' ELSE 'escalate' END AS verdict FROM v)
+SELECT selector_id::BIGINT AS selector_id, ok::BIGINT AS passed, total::BIGINT AS total, verdict, (selector_id % 4 <> 0 AND verdict <> 'escalate') AS opens, (selector_id % 4 <> 0 AND verdict = 'caution_flag') AS caution FROM w"""
+)
+def repair_verdict(spark, d):
+    """Trials of pages grouped by id (synthetic), their verdict and the decision."""
+    q = blocks_of(spark, d).groupBy("page_id").agg(F.count("*").alias("results"), T.mean3(F.col("confidence")).alias("mean_confidence"))
+    t = repair.trials(q).groupBy((F.col("page_id") % 50).alias("selector_id")).agg(F.count_if("passed").alias("passed"), F.count("*").alias("total"))
+    v = t.withColumn("verdict", repair.verdict(F.col("passed"), F.col("total")))
+    x = v.withColumn("_d", repair.decision(F.col("selector_id") % 4 != 0, F.col("verdict")))
+    return x.select("selector_id", "passed", "total", "verdict", F.col("_d.open").alias("opens"), F.col("_d.caution").alias("caution"))
+
+
+@query(
+    f"""WITH {HITS}, c AS (SELECT hit_id, CASE hit_id % 5 WHEN 0 THEN '[data-ved]' WHEN 1 THEN 'div.g' WHEN 2 THEN '#tads div' WHEN 3 THEN '' ELSE 'div[jscontroller]' END AS selector, CASE WHEN hit_id % 5 = 1 THEN 'class-fallback' ELSE 'data-ved' END AS source FROM hits)
+SELECT hit_id, selector, CASE WHEN length(selector) < 3 THEN 'selector too short or empty' WHEN selector LIKE '%#tads%' THEN 'matches ad selectors' WHEN source = 'class-fallback' THEN 'class-only fallback' END AS reason,
+(hit_id % 3 <> 0 AND hit_id % 2 = 0) AS choice_passes FROM c"""
+)
+def repair_gate_b(spark, d):
+    pick = F.get(F.array(*map(F.lit, ("[data-ved]", "div.g", "#tads div", "", "div[jscontroller]"))), (F.col("hit_id") % 5).cast("int"))
+    c = hits_of(spark, d).select("hit_id", pick.alias("selector"), F.when(F.col("hit_id") % 5 == 1, "class-fallback").otherwise("data-ved").alias("source"))
+    ok = repair.gate_c(F.when(F.col("hit_id") % 3 == 0, "low").otherwise("high"), F.when(F.col("hit_id") % 2 == 0, "approve_candidate").otherwise("reject"))
+    return c.select("hit_id", "selector", repair.gate_b(F.col("selector"), F.col("source")).alias("reason"), ok.alias("choice_passes"))
+
+
+# ---- extracted texts ----------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, substr(text, 1, 200) AS excerpt, length(substr(text, 1, 8000))::INT AS length FROM documents WHERE text IS NOT NULL")
+def document_excerpt(spark, d):
+    out = ex.clipped(table(spark, d, "documents").where("text is not null"), F.col("text"))
+    return out.select("doc_id", "excerpt", "length")
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(replace(replace(e, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' ') AS plain FROM (SELECT doc_id, 'A &amp;lt; B &quot;' || coalesce(title, '') || '&#39; &nbsp;' AS e FROM documents)")
+def entity_decode(spark, d):
+    raw = F.concat(F.lit("A &amp;lt; B &quot;"), F.coalesce("title", F.lit("")), F.lit("&#39; &nbsp;"))
+    return table(spark, d, "documents").select("doc_id", T.decode_entities(raw).alias("plain"))
+
+
+@query(
+    f"""WITH {HITS}, u AS (SELECT hit_id, CASE hit_id % 10 WHEN 0 THEN 'http://127.0.0.1/a' WHEN 1 THEN 'http://10.' || (hit_id % 250)::VARCHAR || '.0.1/' WHEN 2 THEN 'http://172.' || (hit_id % 40)::VARCHAR || '.1.1/x' WHEN 3 THEN 'ftp://files.example/a' WHEN 4 THEN 'not a url' WHEN 5 THEN 'http://localhost:80/' WHEN 6 THEN 'https://fcexample.test/' ELSE url END AS url FROM hits)
+SELECT hit_id, CASE WHEN url IS NULL OR NOT regexp_matches(url, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN 'invalid url' WHEN NOT regexp_matches(url, '^https?:') THEN 'unsupported protocol: ' || regexp_extract(url, '^([a-zA-Z]+:)', 1)
+WHEN regexp_matches({SQL_HOST}, '^(localhost|127[.].*|10[.].*|172[.](1[6-9]|2[0-9]|3[01])[.].*)$') THEN 'private/internal address blocked' END AS reason FROM u"""
+)
+def url_guard(spark, d):
+    """Addresses of several kinds by id (synthetic) and the reasons not to fetch them."""
+    k = (F.col("hit_id") % 10).cast("int")
+    kinds = F.array(
+        F.lit("http://127.0.0.1/a"), F.concat(F.lit("http://10."), (F.col("hit_id") % 250).cast("string"), F.lit(".0.1/")), F.concat(F.lit("http://172."), (F.col("hit_id") % 40).cast("string"), F.lit(".1.1/x")),
+        F.lit("ftp://files.example/a"), F.lit("not a url"), F.lit("http://localhost:80/"), F.lit("https://fcexample.test/"),
+    )
+    return hits_of(spark, d).select("hit_id", T.url_guard(F.when(k < 7, F.get(kinds, k)).otherwise(F.col("url"))).alias("reason"))
+
+
+@query(
+    f"""WITH {HITS} SELECT hit_id, CASE hit_id % 6 WHEN 0 THEN 'https://openreview.net/pdf?id=p' || hit_id::VARCHAR WHEN 1 THEN 'https://www.biorxiv.org/content/10.1/' || hit_id::VARCHAR || '.full.pdf' WHEN 2 THEN 'https://www.nature.com/articles/s' || hit_id::VARCHAR || '.pdf' END AS pdf FROM hits"""
+)
+def pdf_address(spark, d):
+    n = F.col("hit_id").cast("string")
+    urls = F.array(
+        F.concat(F.lit("https://openreview.net/forum?id=p"), n, F.lit("&x=1")), F.concat(F.lit("https://www.biorxiv.org/content/10.1/"), n, F.lit("/?q=1")), F.concat(F.lit("https://www.nature.com/articles/s"), n),
+        F.concat(F.lit("https://www.nature.com/articles/s"), n, F.lit(".pdf")), F.concat(F.lit("https://openreview.net/forum?x="), n), F.lit("not a url"),
+    )
+    return hits_of(spark, d).select("hit_id", T.pdf_address(F.get(urls, (F.col("hit_id") % 6).cast("int"))).alias("pdf"))
+
+
+@query(f"WITH {EXTRACTS} SELECT extract_id, CASE WHEN error IS NOT NULL AND content IS NULL THEN 'EXTRACT_FAILED' ELSE 'ok' END AS outcome FROM ext")
+def extract_outcome(spark, d):
+    return extracts_of(spark, d).select("extract_id", triage.extract_outcome(F.col("content"), F.col("error")).alias("outcome"))
+
+
+@query(
+    f"""WITH {EXTRACTS}, c AS (SELECT extract_id, CASE WHEN error IS NULL THEN NULL WHEN regexp_matches(error, '(?i)captcha') THEN 'CAPTCHA_REQUIRED' WHEN regexp_matches(error, '(?i)profile not initialized') THEN 'PROFILE_MISSING' WHEN regexp_matches(error, '(?i)timeout') THEN 'NAV_TIMEOUT'
+WHEN regexp_matches(error, '(?i)429|too many requests|rate.?limit') THEN 'RATE_LIMITED' WHEN regexp_matches(error, '(?i)parser.?stale|h3.+but.+0 results') THEN 'PARSER_STALE' WHEN regexp_matches(error, '(?i)private/internal address|loopback') THEN 'PRIVATE_ADDRESS' ELSE 'INTERNAL' END AS code FROM ext)
+SELECT extract_id, code, CASE WHEN code IS NOT NULL THEN code IN ('NAV_TIMEOUT', 'RATE_LIMITED') END AS retryable, CASE code WHEN 'NAV_TIMEOUT' THEN 1000 WHEN 'RATE_LIMITED' THEN 60000 END::BIGINT AS retry_after_ms FROM c"""
+)
+def error_info(spark, d):
+    return extracts_of(spark, d).select("extract_id", triage.error_code(F.col("error")).alias("e")).select("extract_id", "e.*")
+
+
+@query(f"WITH {HITS}, {EXTRACTS} SELECT hits.hit_id, ext.extract_id, ext.extraction_quality, coalesce(ext.error, '') AS error, length(ext.content)::INT AS length FROM hits LEFT JOIN ext ON hits.hit_id = ext.hit_id")
+def hit_enrich(spark, d):
+    e = extracts_of(spark, d).select("hit_id", "extract_id", "extraction_quality", F.coalesce("error", F.lit("")).alias("error"), F.length("content").alias("length"))
+    return hits_of(spark, d).select("hit_id").join(e, "hit_id", "left").withColumn("error", F.when(F.col("extract_id").isNotNull(), F.col("error")).otherwise(""))
+
+
+@query("SELECT source AS host, count(*)::BIGINT AS documents, count(text)::BIGINT AS with_text, sum(coalesce(length(text), 0))::BIGINT AS chars FROM documents GROUP BY source")
+def host_volume(spark, d):
+    return table(spark, d, "documents").groupBy(F.col("source").alias("host")).agg(F.count("*").alias("documents"), F.count("text").alias("with_text"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))
+
+
+@query(
+    f"""WITH {EXTRACTS}, p AS (SELECT url, extract_id, content FROM ext WHERE content IS NOT NULL AND is_pdf)
+SELECT extract_id, 2::INT AS page_count, substr(substr(content, 1, 500), 1, 300) AS content, length(substr(substr(content, 1, 500), 1, 300))::INT AS length, 'abstract' AS extraction_quality FROM p"""
+)
+def pdf_first_page(spark, d):
+    """PDF texts cut into two pages; the tier that keeps the first."""
+    e = extracts_of(spark, d).where("content is not null and is_pdf")
+    cut = F.array(F.struct(F.lit(1).alias("page_no"), F.substring("content", 1, 500).alias("text")), F.struct(F.lit(2).alias("page_no"), F.expr("substring(content, 501)").alias("text")))
+    pages = e.select(F.col("extract_id").cast("string").alias("url"), F.explode(cut).alias("p")).select("url", "p.*")
+    out = ex.pdf_tiers(pages, "abstract", 300)
+    return out.select(F.col("url").cast("bigint").alias("extract_id"), "page_count", "content", "length", "extraction_quality")
+
+
+@query()
+def article_text(spark, d):
+    """Text and Markdown of articles' HTML."""
+    a = telemetry.latest(table(spark, d, "readability_output"), "article_id", "loaded_at").where("content is not null")
+    return a.select("article_id", ex.html_text("content").alias("text"), ex.html_markdown("content").alias("markdown"))
+
+
+# ---- event log ----------------------------------------------------------------------------------------------
+
+
+def fields_of(spark, d) -> DataFrame:
+    log = log_of(spark, d)
+    at = F.expr("try_to_timestamp(ts)").cast("timestamp_ntz")
+    return log.select("event_id", "event_type", "event_data", at.alias("at"), telemetry.number_field("event_data", "ms").alias("ms"), F.get_json_object("event_data", "$.strategy").alias("strategy"), telemetry.number_field("event_data", "results").alias("results"))
+
+
+_FIELDS = f"""{LOG}, f AS (SELECT event_id, event_type, event_data, try_cast(replace(replace(ts, 'T', ' '), 'Z', '') AS TIMESTAMP) AS happened,
+CASE WHEN json_valid(event_data) AND NOT regexp_matches(event_data, '"ms"\\s*:\\s*"') THEN try_cast(json_extract_string(event_data, '$.ms') AS DOUBLE) END AS ms, CASE WHEN json_valid(event_data) THEN json_extract_string(event_data, '$.strategy') END AS strategy,
+CASE WHEN json_valid(event_data) AND NOT regexp_matches(event_data, '"results"\\s*:\\s*"') THEN try_cast(json_extract_string(event_data, '$.results') AS DOUBLE) END AS results FROM log)"""
+
+
+@query(f"WITH {_FIELDS} SELECT event_id, ms, results, strategy FROM f WHERE json_valid(event_data)")
+def event_fields(spark, d):
+    ok = F.expr("try_parse_json(event_data) IS NOT NULL")
+    return fields_of(spark, d).where(ok).select("event_id", "ms", "results", "strategy")
+
+
+@query(f"WITH {_FIELDS}, v AS (SELECT event_type, ms, row_number() OVER (PARTITION BY event_type ORDER BY ms) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM f WHERE ms IS NOT NULL AND json_valid(event_data)) SELECT event_type, ms AS percentile FROM v WHERE i = least(n - 1, floor(0.95 * n))")
+def event_percentile(spark, d):
+    f = fields_of(spark, d).where("try_parse_json(event_data) IS NOT NULL")
+    return telemetry.nearest_rank(f, "event_type", "ms", 0.95)
+
+
+@query(f"WITH {_FIELDS} SELECT event_type, {R3('avg(ms)')} AS mean FROM f WHERE json_valid(event_data) AND ms IS NOT NULL GROUP BY event_type")
+def event_mean(spark, d):
+    m = telemetry.mean(fields_of(spark, d).where("try_parse_json(event_data) IS NOT NULL"), "event_type", "ms")
+    return m.select("event_type", r3(F.col("mean")).alias("mean"))
+
+
+@query("WITH v AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, round(sum(value * CASE WHEN r = n - 1 THEN pow(0.7, r) ELSE 0.3 * pow(0.7, r) END), 6) AS ewma FROM v GROUP BY event_type")
+def event_ewma(spark, d):
+    e = telemetry.ewma(table(spark, d, "events"), "event_type", "value", ["ts", "event_id"])
+    return e.select("event_type", F.round("ewma", 6).alias("ewma"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type = 'click' AND ts > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAYS")
+def event_rolling_window(spark, d):
+    return telemetry.since(table(spark, d, "events").where("event_type = 'click'"), "ts", "2024-01-31 00:00:00", 7).select("event_id", "event_type")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
+def event_json_field(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+@query(f"WITH {_FIELDS} SELECT strftime(happened, '%Y-%m-%d') AS day, count(*)::BIGINT AS events, count(*) FILTER (NOT json_valid(event_data))::BIGINT AS broken FROM f GROUP BY 1")
+def event_days(spark, d):
+    f = fields_of(spark, d)
+    return f.groupBy(F.date_format("at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("events"), F.count_if(F.expr("try_parse_json(event_data) IS NULL")).alias("broken"))
+
+
+@query(f"WITH {LOG} SELECT event_id, CASE WHEN strlen('{{\"ts\":\"' || coalesce(ts, '') || '\",\"type\":\"' || event_type || '\",\"data\":' || coalesce(event_data, 'null') || '}}') > 110 THEN '{{\"_truncated\":true,\"_originalType\":\"' || event_type || '\"}}' ELSE event_data END AS data FROM log")
+def event_truncate(spark, d):
+    log = log_of(spark, d)
+    return log.select("event_id", telemetry.truncated(log, "ts", "event_type", "event_data", 110).alias("data"))
+
+
+# ---- strategies ---------------------------------------------------------------------------------------------
+
+_OUT = "o AS (SELECT event_id, strategy AS strategy_id, CASE WHEN results > 0 AND event_id % 10 <> 3 THEN 'win' WHEN event_id % 10 = 3 THEN 'loss' ELSE 'zero' END AS kind, happened AS ts FROM f WHERE strategy IS NOT NULL AND json_valid(event_data))"
+_STATS = "SELECT strategy_id, count(*) FILTER (kind = 'win')::BIGINT AS wins, count(*) FILTER (kind = 'zero')::BIGINT AS zeros, count(*) FILTER (kind = 'loss')::BIGINT AS losses, max(ts) FILTER (kind = 'win') AS last_win FROM"
+
+
+def outcomes_of(spark, d) -> DataFrame:
+    f = fields_of(spark, d).where("strategy is not null and try_parse_json(event_data) IS NOT NULL")
+    kind = F.when((F.coalesce("results", F.lit(0.0)) > 0) & (F.col("event_id") % 10 != 3), "win").when(F.col("event_id") % 10 == 3, "loss").otherwise("zero")
+    return f.select("event_id", F.col("strategy").alias("strategy_id"), kind.alias("kind"), F.col("at").alias("ts"))
+
+
+@query(f"WITH {_FIELDS}, {_OUT} {_STATS} o GROUP BY strategy_id")
+def strategy_stats(spark, d):
+    return ranking.outcome_counts(outcomes_of(spark, d))
+
+
+@query(f"WITH {_FIELDS}, {_OUT}, a AS ({_STATS} o WHERE event_id % 2 = 0 GROUP BY strategy_id), b AS ({_STATS} o WHERE event_id % 2 = 1 AND strategy_id <> 'class' GROUP BY strategy_id), u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT strategy_id, sum(wins)::BIGINT AS wins, sum(zeros)::BIGINT AS zeros, sum(losses)::BIGINT AS losses, max(last_win) AS last_win FROM u GROUP BY strategy_id")
+def strategy_merge(spark, d):
+    o = outcomes_of(spark, d)
+    even = ranking.outcome_counts(o.where("event_id % 2 = 0"))
+    odd = ranking.outcome_counts(o.where("event_id % 2 = 1 and strategy_id != 'class'"))
+    return ranking.merge_counts(even, odd)
+
+
+@query(
+    f"""WITH {_FIELDS}, {_OUT}, s AS ({_STATS} o GROUP BY strategy_id), d AS (SELECT * FROM (VALUES ('structural', 0), ('fallback', 1), ('class', 2), ('unused', 3)) t(strategy_id, idx)),
+j AS (SELECT d.strategy_id, idx, coalesce(wins * 10 - zeros, 0) AS score, coalesce(wins, 0) AS wins, coalesce(last_win, TIMESTAMP '1970-01-01') AS last FROM d LEFT JOIN s USING (strategy_id)),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, last DESC, idx) AS n, row_number() OVER (ORDER BY score DESC, idx) AS k FROM j)
+SELECT strategy_id, CASE WHEN (SELECT wins FROM r WHERE k = 1) - (SELECT wins FROM r WHERE k = 2) < 3 THEN idx + 1 ELSE n END::BIGINT AS place FROM r"""
+)
+def strategy_order(spark, d):
+    defaults = spark.createDataFrame([("structural", 0), ("fallback", 1), ("class", 2), ("unused", 3)], "strategy_id string, idx int")
+    return ranking.strategy_order(defaults, ranking.outcome_counts(outcomes_of(spark, d)))
+
+
+# ---- faults -------------------------------------------------------------------------------------------------
+
+_SIGNAL = f"""{HITS}, p AS (SELECT page_id, count(*) FILTER (page_id % 4 <> 0) AS results FROM hits GROUP BY page_id), s AS (SELECT page_id, results::INT AS results, (page_id % 12)::INT AS h3, CASE page_id % 9 WHEN 0 THEN 429 WHEN 1 THEN 503 ELSE 200 END AS status,
+CASE WHEN page_id % 17 = 0 THEN 'https://example.test/sorry/index' ELSE 'https://example.test/search' END AS url, (page_id % 20) * 1000 AS ms, CASE WHEN page_id % 3 = 0 THEN (page_id % 10) / 10.0 END AS geom, CASE WHEN page_id % 5 = 0 THEN (page_id % 4)::INT END AS zeros FROM p)"""
+_FAULT = "f AS (SELECT *, CASE WHEN url LIKE '%/sorry/%' THEN 'blocked' WHEN status = 429 THEN 'rate_limited' WHEN status >= 400 THEN 'network_error' WHEN (h3 > 5 AND results = 0)::INT + coalesce(geom < 0.4, false)::INT + coalesce(zeros >= 2, false)::INT >= 2 AND status = 200 THEN 'selector_broken' WHEN ms > 15000 AND results BETWEEN 1 AND 2 THEN 'rate_limited' WHEN h3 > 5 AND results = 0 AND status = 200 THEN 'selector_broken' ELSE 'unknown' END AS fault FROM s)"
+
+
+def faults_of(spark, d) -> DataFrame:
+    p = hits_of(spark, d).groupBy("page_id").agg(F.count_if(F.col("page_id") % 4 != 0).cast("int").alias("results"))
+    i = F.col("page_id")
+    s = p.withColumns(
+        {
+            "h3": (i % 12).cast("int"),
+            "status": F.when(i % 9 == 0, 429).when(i % 9 == 1, 503).otherwise(200),
+            "url": F.when(i % 17 == 0, "https://example.test/sorry/index").otherwise("https://example.test/search"),
+            "ms": (i % 20) * 1000,
+            "geom": F.when(i % 3 == 0, (i % 10) / 10),
+            "zeros": F.when(i % 5 == 0, (i % 4).cast("int")),
+        }
+    )
+    return s.withColumn("fault", triage.fault(*(F.col(c) for c in ("url", "status", "ms", "results", "h3", "geom", "zeros"))))
+
+
+@query(f"WITH {_SIGNAL}, {_FAULT} SELECT page_id, results, h3, status, fault FROM f")
+def fault_triage(spark, d):
+    """Signals by arithmetic on the page's id (synthetic), and the fault they speak for."""
+    return faults_of(spark, d).select("page_id", "results", "h3", "status", "fault")
+
+
+@query(
+    f"""WITH {_SIGNAL}, {_FAULT}, r AS (SELECT * FROM (VALUES ('selector_broken', 'retry_with_strategy', NULL, NULL, NULL), ('blocked', 'backoff', 1800000, 1.0, 1), ('rate_limited', 'backoff', 60000, 2.0, 3), ('network_error', 'backoff', 1000, 2.0, 3), ('unknown', 'alert_only', NULL, NULL, NULL)) t(fault, action, initial_ms, factor, max_attempts))
+SELECT fault, action, initial_ms::BIGINT AS initial_ms, factor::DOUBLE AS factor, max_attempts::INT AS max_attempts, count(*)::BIGINT AS pages FROM f JOIN r USING (fault) GROUP BY ALL"""
+)
+def fault_recovery(spark, d):
+    counts = faults_of(spark, d).groupBy("fault").agg(F.count("*").alias("pages"))
+    return counts.join(triage.recovery(spark), "fault")
+
+
+# ---- state over keyed sequences -----------------------------------------------------------------------------
+
+
+def requests_of(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), F.col("event_id").alias("request_id"), "event_type")
+
+
+_REQ = "q AS (SELECT user_id AS key, epoch_us(ts) AS at_us, event_id AS request_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events)"
+
+
+@query(
+    f"""WITH RECURSIVE {_REQ}, w AS (SELECT key, n, request_id, at_us, true AS granted, [at_us] AS g FROM q WHERE n = 1 UNION ALL
+SELECT q.key, q.n, q.request_id, q.at_us, len(list_filter(w.g, lambda x: x > q.at_us - 3600000000)) < 2, CASE WHEN len(list_filter(w.g, lambda x: x > q.at_us - 3600000000)) < 2 THEN list_append(list_filter(w.g, lambda x: x > q.at_us - 3600000000), q.at_us) ELSE list_filter(w.g, lambda x: x > q.at_us - 3600000000) END
+FROM w JOIN q ON q.key = w.key AND q.n = w.n + 1) SELECT key, request_id, granted FROM w"""
+)
+def limiter_replay(spark, d):
+    return replay.admissions(requests_of(spark, d), 2, 3_600_000_000)
+
+
+@query(
+    f"""WITH RECURSIVE {_REQ}, w AS (SELECT key, n, request_id, false AS hit, at_us + 86400000000 AS until FROM q WHERE n = 1 UNION ALL
+SELECT q.key, q.n, q.request_id, q.at_us <= w.until, CASE WHEN q.at_us <= w.until THEN w.until ELSE q.at_us + 86400000000 END FROM w JOIN q ON q.key = w.key AND q.n = w.n + 1) SELECT key, request_id, hit FROM w"""
+)
+def ttl_replay(spark, d):
+    return replay.cache_replay(requests_of(spark, d), 86_400_000_000)
+
+
+@query(
+    f"""WITH RECURSIVE {_REQ}, w AS (SELECT key, n, request_id, CASE WHEN event_type = 'error' THEN 'on' ELSE 'off' END AS mode, 0 AS failures FROM q WHERE n = 1 UNION ALL
+SELECT q.key, q.n, q.request_id, CASE WHEN q.event_type <> 'error' THEN w.mode WHEN w.mode = 'off' THEN 'on' WHEN w.failures + 1 >= 2 THEN 'tier3' ELSE w.mode END, CASE WHEN q.event_type <> 'error' OR w.mode = 'off' OR w.failures + 1 >= 2 THEN 0 ELSE w.failures + 1 END
+FROM w JOIN q ON q.key = w.key AND q.n = w.n + 1) SELECT key, request_id, mode, failures FROM w"""
+)
+def cascade_replay(spark, d):
+    r = requests_of(spark, d)
+    return replay.cascade_replay(r.withColumn("captcha", F.col("event_type") == "error"))
+
+
+@query()
+def queue_replay(spark, d):
+    """Requests that may wait up to ten minutes for their turn."""
+    return replay.queued_admissions(requests_of(spark, d), 2, 3_600_000_000, 600_000_000)
+
+
+@query(f"WITH {_REQ}, m AS (SELECT *, sum((event_type <> 'error')::INT) OVER (PARTITION BY key ORDER BY at_us, request_id) AS run FROM q), g AS (SELECT key, run, count(*) FILTER (event_type = 'error') AS k FROM m GROUP BY key, run) SELECT key, max(k)::BIGINT AS longest, max(k) >= 3 AS falls_back FROM g GROUP BY key")
+def pool_fallback(spark, d):
+    r = requests_of(spark, d).withColumn("failed", F.col("event_type") == "error")
+    return replay.longest_failure_run(r, "key", ["at_us", "request_id"], "failed")
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '599.999999' SECOND PRECEDING AND CURRENT ROW)::BIGINT AS recent FROM events")
+def recent_count(spark, d):
+    return replay.recent_counts(table(spark, d, "events"), "user_id", "ts", "'599.999999' SECOND").select("event_id", "recent")
+
+
+@query(f"WITH {_REQ}, x AS (SELECT key, request_id, at_us, count(*) OVER w AS k, min(at_us) OVER w AS oldest FROM q WINDOW w AS (PARTITION BY key ORDER BY at_us RANGE BETWEEN 35999999999 PRECEDING AND CURRENT ROW)) SELECT key, request_id, CASE WHEN k < 3 THEN 0 ELSE greatest(0, 36000005000 - (at_us - oldest)) END::BIGINT AS retry_after_us FROM x")
+def retry_after(spark, d):
+    return replay.retry_after(requests_of(spark, d), "key", "at_us", 3, 36_000_000_000).select("key", "request_id", F.col("retry_after_us").cast("bigint").alias("retry_after_us"))
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 10")
+def lru_keep(spark, d):
+    return replay.newest_entries(table(spark, d, "events"), "user_id", "ts", 10, "event_id").select("user_id", "event_id")
+
+
+@query("WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), s AS (SELECT user_id, sum((p IS NULL OR ts >= p + INTERVAL 30 MINUTES)::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*)::BIGINT AS sessions, max(n)::BIGINT AS longest FROM c GROUP BY user_id")
+def session_counts(spark, d):
+    return telemetry.sessions(table(spark, d, "events"), "user_id", "ts")
+
+
+@query("SELECT event_id, event_type || '|en-US|10' AS key, substr(sha256(event_type || '|en-US|10'), 1, 16) AS name FROM events")
+def cache_key(spark, d):
+    e = table(spark, d, "events")
+    return e.withColumns({"loc": F.lit("en-US"), "lim": F.lit("10")}).select("event_id", ev.cache_key("event_type", "loc", "lim").alias("k")).select("event_id", "k.*")
+
+
+@query("WITH e AS (SELECT event_type AS key, max_by(value, (ts, event_id)) AS value, max(ts) + INTERVAL 1 HOUR AS until FROM events WHERE event_id % 2 = 0 GROUP BY event_type) SELECT events.event_id, coalesce(e.until >= events.ts, false) AS hit FROM events LEFT JOIN e ON events.event_type = e.key WHERE events.event_id % 2 = 1")
+def cache_lookup(spark, d):
+    e = table(spark, d, "events")
+    puts = e.where("event_id % 2 = 0").select(F.lit("search").alias("ns"), F.col("event_type").alias("key"), F.col("value").cast("string").alias("value"), F.col("ts").alias("stored_at"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("expires_at"))
+    entries = ev.put_entries(puts.limit(0), puts)
+    reads = e.where("event_id % 2 = 1").select(F.lit("search").alias("ns"), F.col("event_type").alias("key"), F.col("ts").alias("at"), "event_id")
+    return ev.get_entries(reads, entries).select("event_id", "hit")
+
+
+@query("SELECT i AS attempt, (100 * pow(2, i))::BIGINT AS delay_ms FROM generate_series(0, 2) t(i)")
+def backoff_schedule(spark, d):
+    return replay.backoff_schedule(spark, 100, 2.0, 4)
+
+
+@query("SELECT event_type AS mode, count(*) FILTER (value > 50)::BIGINT AS captchas, count(*)::BIGINT AS total FROM events GROUP BY event_type")
+def captchas_by_mode(spark, d):
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("mode")).agg(F.count_if(F.col("value") > 50).alias("captchas"), F.count("*").alias("total"))
+
+
+@query(
+    f"""WITH {_FIELDS}, {_OUT}, s AS ({_STATS} o GROUP BY strategy_id) SELECT (SELECT count(*) FROM f)::BIGINT AS events, (SELECT count(*) FILTER (event_type = 'tool.error') FROM f)::BIGINT AS errors, (SELECT count(DISTINCT event_type) FROM events)::BIGINT AS cache_entries, (SELECT count(*) FROM s)::BIGINT AS strategies, (SELECT sum(wins) FROM s)::BIGINT AS wins"""
+)
+def health_snapshot(spark, d):
+    from .api import health
+
+    entries = table(spark, d, "events").select(F.lit("search").alias("ns"), F.col("event_type").alias("key")).distinct()
+    return health(log_of(spark, d), entries, ranking.outcome_counts(outcomes_of(spark, d)))
+
+
+# ---- captured pages -----------------------------------------------------------------------------------------
+
+
+def pages_of(spark, d) -> DataFrame:
+    """Result pages written from the captured hits: one block a hit, some in advertisement containers."""
+    h = hits_of(spark, d).where("title is not null and url is not null")
+    block = F.concat(
+        F.when(F.col("hit_id") % 13 == 0, "<div id='tads'>").otherwise("<div>"),
+        F.lit("<div class='g' data-hveid='x' jscontroller='y'><a href='"), F.col("url"), F.lit("'><h3>"), F.col("title"), F.lit("</h3></a><div class='VwiC3b'>"), F.coalesce("description", F.lit("")), F.lit("</div></div></div>"),
+    )
+    rows = h.select("page_id", F.struct("pos", "hit_id", block.alias("b")).alias("b"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda x: x["b"]), "")  # a page has some ten hits
+    return rows.groupBy("page_id").agg(F.concat(F.lit("<html><head><title>Results</title></head><body><div id='search'>"), body, F.lit("</div></body></html>")).alias("html"))
+
+
+@query()
+def page_hits(spark, d):
+    parsed = serp.hits(serp.raw_blocks(pages_of(spark, d)))
+    return parsed.select("page_id", "strategy_id", "block_index", "pos", "title", "url", "host", "description")
+
+
+@query(f"WITH {HITS} SELECT page_id, count(*)::INT AS h3_count, count(*)::INT AS link_count, count(*)::INT AS marked_count FROM hits WHERE title IS NOT NULL AND url IS NOT NULL GROUP BY page_id")
+def page_signals(spark, d):
+    return serp.page_signals(pages_of(spark, d)).select("page_id", "h3_count", "link_count", "marked_count")
+
+
+@query()
+def page_search(spark, d):
+    from .api import search
+
+    return search(pages_of(spark, d), 5)
+
+
+@query()
+def repair_candidates(spark, d):
+    c = serp.candidates(pages_of(spark, d), 3)
+    return repair.synthesize(c.withColumn("element_id", F.concat_ws("-", "page_id", "element_id")))
+
+
+@query(f"WITH {HITS} SELECT page_id, 'Results' AS title FROM hits WHERE title IS NOT NULL AND url IS NOT NULL GROUP BY page_id")
+def page_title(spark, d):
+    return pages_of(spark, d).select("page_id", T.page_title("html").alias("title"))
+
+
+@query()
+def extract_tiers(spark, d):
+    """Fetched pages through the tiers: articles as HTML, one redirect to a barred address, PDFs and failures by id."""
+    a = telemetry.latest(table(spark, d, "readability_output"), "article_id", "loaded_at").where("content is not null")
+    i = F.col("article_id")
+    hops = F.when(i % 11 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    f = a.select(
+        F.concat("url", F.lit("#"), i.cast("string")).alias("url"),
+        F.explode(hops).alias("hop"),
+        F.when(i % 7 == 0, 404).otherwise(200).alias("status"),
+        F.when(i % 5 == 0, "application/pdf").otherwise("text/html").alias("content_type"),
+        F.when(i % 11 == 0, "http://10.0.0.1/").alias("location"),
+        F.encode("content", "UTF-8").alias("body"),
+    )
+    return ex.extract(f, None, "full")
+
 
-QUERIES = {}
-ORACLES = {}
