@@ -212,12 +212,9 @@ def _frequency(reps: DataFrame, slots: int, coarse: int) -> tuple[np.ndarray, np
 
 
 def _postings(reps: DataFrame, often: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
-    """(field_name, key, rep, n, pos, sig0, sig1, inner): the first shingles of each text, rare ones first.
-
-    inner: the posting is among the fewer that the smaller text of a pair needs.
-    """
+    """(key, rep, n, pos, sig0, sig1): the first shingles of each text, rare ones first."""
     box = reps.sparkSession.sparkContext.broadcast(often)
-    schema = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("inner", pa.bool_()), ("sig0", pa.int64()), ("sig1", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("sig0", pa.int64()), ("sig1", pa.int64())])
 
     def run(batches):
         bits, count = box.value
@@ -225,7 +222,7 @@ def _postings(reps: DataFrame, often: tuple[np.ndarray, np.ndarray], threshold:
         fold = np.uint64(len(bits) * 8 // len(count))
         for b in batches:
             cols = b.to_pydict()
-            keys, owner, places, inner = [], [], [], []
+            keys, owner, places = [], [], []
             for i, (f, sh) in enumerate(zip(cols["field_name"], cols["sh"])):
                 s = unpack(sh)
                 at = s % slots
@@ -240,17 +237,16 @@ def _postings(reps: DataFrame, often: tuple[np.ndarray, np.ndarray], threshold:
                     keys.append((s[order[keep]] ^ salt).view(np.int64))
                     owner.append(np.full(len(keep), i))
                     places.append(keep)
-                    inner.append(keep < n - math.ceil(2 * threshold / (1 + threshold) * n - 1e-9) + 1)
             if not keys:
                 continue
             at = np.concatenate(owner)
             take = lambda name: pa.array(np.array(cols[name], np.int64)[at])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys)), take("rep"), take("n").cast(pa.int32()), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(inner)), take("sig0"), take("sig1")],
+                [pa.array(np.concatenate(keys)), take("rep"), take("n").cast(pa.int32()), pa.array(np.concatenate(places).astype(np.int32)), take("sig0"), take("sig1")],
                 schema=schema,
             )
 
-    return reps.mapInArrow(run, "key bigint, rep bigint, n int, pos int, inner boolean, sig0 bigint, sig1 bigint")
+    return reps.mapInArrow(run, "key bigint, rep bigint, n int, pos int, sig0 bigint, sig1 bigint")
 
 
 def _surviving(threshold: float, tolerance: float):
@@ -273,7 +269,9 @@ def similar_representatives(texts: DataFrame, least_words: dict[str, int], shing
     """
     reps = stored(_representatives(texts, least_words, shingle), "shingles")
     posts = _postings(reps, _frequency(reps, slots, coarse), threshold)
-    a = posts.where("inner").select("key", *(F.col(c).alias(f"a_{c}") for c in ("rep", "n", "pos", "sig0", "sig1")))
+    # Both sides are the same rows, so that one exchange serves them; the places a smaller text needs are fewer, which
+    # the comparison of places below sees to.
+    a = posts.select("key", *(F.col(c).alias(f"a_{c}") for c in ("rep", "n", "pos", "sig0", "sig1")))
     b = posts.select("key", *(F.col(c).alias(f"b_{c}") for c in ("rep", "n", "pos", "sig0", "sig1")))
     an, bn = F.col("a_n"), F.col("b_n")
     order = (an < bn) | ((an == bn) & (F.col("a_rep") < F.col("b_rep")))
