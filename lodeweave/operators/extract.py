@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.dom import main_text, markdown
 from ..functions.text import abstract, clip, is_pdf, page_title, url_guard
@@ -12,17 +13,17 @@ from .serp import resolve as _resolve
 MAX_BODY = 25 * 1024 * 1024
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_text(html: pd.Series) -> pd.Series:
     return html.map(main_text, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_markdown(html: pd.Series) -> pd.Series:
     return html.map(markdown, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def absolute(base: pd.Series, url: pd.Series) -> pd.Series:
     return pd.Series([_resolve(b, u) for b, u in zip(base, url)])
 

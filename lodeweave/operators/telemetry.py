@@ -32,19 +32,20 @@ def nearest_rank(df: DataFrame, group: str, value: str, p: float, spread: float
     An approximate quantile gives a bracket around that place; only values inside it are ordered, and those below
     are counted.  If the bracket misses, which a check shows, the group is ordered whole.
     """
-    have = df.where(F.col(value).isNotNull()).select(group, value)
+    have = df.where(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).alias("_v"))
     lo, hi = max(0.0, p - spread), min(1.0, p + spread)
-    acc = 20_000
-    bounds = have.groupBy(group).agg(F.count("*").alias("n"), F.percentile_approx(value, lo, acc).alias("lo"), F.percentile_approx(value, hi, acc).alias("hi"))
-    place = F.least(F.col("n") - 1, F.greatest(F.lit(0), F.floor(F.lit(p) * F.col("n"))))
-    joined = have.join(bounds.withColumn("place", place), group)
-    below = joined.groupBy(group).agg(F.count_if(F.col(value) < F.col("lo")).alias("below"), F.count_if((F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi"))).alias("inside"))
-    ok = below.join(bounds.withColumn("place", place), group).select(group, "below", "place", ((F.col("place") >= F.col("below")) & (F.col("place") < F.col("below") + F.col("inside"))).alias("fits"))
-    chosen = joined.drop("place").join(ok, group).where(~F.col("fits") | F.col(value).between(F.col("lo"), F.col("hi")))
+    bounds = have.groupBy("_g").agg(F.count("*").alias("_n"), F.percentile_approx("_v", lo, 20_000).alias("_lo"), F.percentile_approx("_v", hi, 20_000).alias("_hi"))
+    bounds = bounds.withColumn("_place", F.least(F.col("_n") - 1, F.greatest(F.lit(0), F.floor(F.lit(p) * F.col("_n")))))
+    joined = have.join(bounds, "_g")
+    inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+    below = joined.groupBy("_g").agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"), F.count_if(inside).alias("_inside"), F.first("_place").alias("_at"))
+    fits = (F.col("_at") >= F.col("_below")) & (F.col("_at") < F.col("_below") + F.col("_inside"))
+    chosen = joined.join(below.select("_g", "_below", fits.alias("_fits")), "_g").where(~F.col("_fits") | inside)
     # equal values are counted before they are put in order
-    counts = chosen.groupBy(group, value, "below", "place", "fits").agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(Window.partitionBy(group).orderBy(value)) + F.when(F.col("fits"), F.col("below")).otherwise(0)
-    return counts.withColumn("upto", upto).where(F.col("upto") > F.col("place")).groupBy(group).agg(F.min(value).alias("percentile"))
+    counts = chosen.groupBy("_g", "_v", "_below", "_place", "_fits").agg(F.count("*").alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy("_g").orderBy("_v")) + F.when(F.col("_fits"), F.col("_below")).otherwise(0)
+    found = counts.withColumn("_upto", upto).where(F.col("_upto") > F.col("_place"))
+    return found.groupBy(F.col("_g").alias(group)).agg(F.min("_v").alias("percentile"))
 
 
 def mean(df: DataFrame, group: str, value: str) -> DataFrame:
