@@ -244,7 +244,7 @@ def train_ranker(lexicon: dict[str, int], rare: list[str], most: int = 3000, see
     common = sorted((w for w, n in lexicon.items() if len(w) >= 3 and w.isalpha()), key=lambda w: (-lexicon[w], w))[: 2 * most]
     x, y = [], []
     for c in rng.sample(common, min(most, len(common))):
-        for _ in range(2):
+        for _ in range(3):
             w = misread(c, rng)
             if w and w not in lexicon:
                 nc = lexicon[c]
@@ -262,7 +262,9 @@ def train_ranker(lexicon: dict[str, int], rare: list[str], most: int = 3000, see
             _, a, b = differing(w, c)
             if w not in lexicon and _visual(a, b) <= 0.6 and (w.islower() or model(w) < -3.5):
                 continue  # may well be misread
-            x.append(pair_features(w, c, min(lexicon.get(w, 1), 3), lexicon[c], model))
+            if w in lexicon and _visual(a, b) <= 0.6 and rng.random() > 0.1:
+                continue  # words that are both right and look alike are seldom
+            x.append(pair_features(w, c, int(math.exp(rng.uniform(0, 3))), lexicon[c], model))
             y.append(0.0)
     if len(set(y)) < 2:
         x, y = [[0.3] + [0.0] * 11, [9.0] + [0.0] * 11], [1.0, 0.0]
@@ -342,6 +344,7 @@ _ISSUE = re.compile(r"\b(?:vol|no|issue|bd|tome)[.,]?\s*[\dlIOS]+|\bdownloaded f
 _ROMAN = re.compile(r"^[ivxlc\dIl]{1,6}\s*[|·•]\s*\S|\S\s*[|·•]\s*[ivxlc\dIl]{1,6}$", re.I)
 _EDGE_NUMBER = re.compile(r"^[\dlIOS]{1,4}\s{2,}\S|\S\s{2,}[\dlIOS]{1,4}$")
 _SAME = str.maketrans({**{c: "l" for c in "1|!iIj"}, **{c: "o" for c in "0OcCeaQD("}, **{c: "s" for c in "5S$"}, **{c: "n" for c in "uhbr"}, **{c: "t" for c in "f+"}, **{c: "g" for c in "9q"}, **{c: "#" for c in "234678"}})
+_SIGNS, _RUN = re.compile(r"\W+"), re.compile("[#los]+")
 FEATURES = 22
 
 
@@ -351,40 +354,51 @@ def line_features(lines: list[str]) -> np.ndarray:
     text = [lines[i].strip() for i in solid]
     if not solid:
         return np.zeros((0, FEATURES), np.float32)
-    width = sorted(map(len, text))[int(0.8 * (len(text) - 1))] or 1
-    lower = [s[0].islower() and s[0] not in "ivxlc" for s in text]
-    keys = [None if low or len(x) >= 110 else re.sub(r"[#los]+", "#", re.sub(r"\W+", " ", x.translate(_SAME).lower())) for x, low in zip(text, lower)]
-    often = Counter(keys)
-    out = np.zeros((len(solid), FEATURES), np.float32)
+    last = len(text) - 1
+    width = sorted(map(len, text))[int(0.8 * last)] or 1
+    rows, keys = [], []
     for k, (i, s) in enumerate(zip(solid, text)):
-        f = out[k]
-        f[7] = _STOP.search(s[-6:]) is not None
-        f[13] = len(s) / width
-        f[16] = k == 0
-        f[17] = k == len(text) - 1
-        f[18] = s[-1] in MARKS
-        f[20] = s[-1].isdigit()
-        f[21] = len(s) > 110
         gap_before, gap_after = i == 0 or not lines[i - 1].strip(), i + 1 >= len(lines) or not lines[i + 1].strip()
-        f[10], f[11], f[12] = gap_before and gap_after, gap_before, gap_after
-        if lower[k] or len(s) > 110:
-            f[8] = s[0].islower()
+        first = s[0]
+        stops = s.rstrip("\"”’)]")[-1:] in (".", "!", "?", ":")
+        share, edge = len(s) / width, (k == 0, k == last, s[-1] in MARKS)
+        if first.islower() and first not in "ivxlc" or len(s) > 110:
+            rows.append((0, 0, 0, 0, 0, 0, 0, stops, first.islower(), 0, gap_before and gap_after, gap_before, gap_after, share, 0, 0, *edge, 0, s[-1].isdigit(), len(s) > 110))
+            keys.append(None)
             continue
-        before, after = text[k - 1] if k else "", text[k + 1] if k + 1 < len(text) else ""
         words = s.split()
-        f[0] = len(words) < 6 and _PAGE.match(s) is not None
-        f[1] = len(words) < 14 and _ISSUE.search(s) is not None
-        f[2] = len(words) < 16 and ("|" in s or "·" in s or "•" in s) and _ROMAN.search(s) is not None
-        f[3] = "  " in s and _EDGE_NUMBER.search(s) is not None
-        f[4] = sum(map(str.isupper, s)) > 0.8 * sum(map(str.isalpha, s)) and sum(map(str.isalpha, s)) > 3
-        f[5] = often[keys[k]] > 1
-        f[6] = f[5] and len(s) < 0.75 * width
-        f[8] = s[0].islower()
-        f[9] = bool(before) and not _STOP.search(before[-6:]) and not gap_before and after[:1].islower() and not s[0].islower()
-        initial = sum(w[0].isupper() or not w[0].isalpha() for w in words) / len(words)
-        f[14] = initial > 0.55 and len(words) >= 3
-        f[15] = initial
-        f[19] = len(words) <= 2
+        initial = sum([w[0].isupper() or not w[0].isalpha() for w in words]) / len(words)
+        key = None
+        if initial > 0.4:
+            key = _RUN.sub("#", _SIGNS.sub(" ", s.translate(_SAME).lower()))
+        keys.append(key)
+        before = text[k - 1] if k else ""
+        rows.append((
+            len(words) < 6 and _PAGE.match(s) is not None,
+            len(words) < 14 and _ISSUE.search(s) is not None,
+            ("|" in s or "·" in s or "•" in s) and len(words) < 16 and _ROMAN.search(s) is not None,
+            "  " in s and _EDGE_NUMBER.search(s) is not None,
+            not s[1:2].islower() and sum(map(str.isupper, s)) > 0.8 * sum(map(str.isalpha, s)) and sum(map(str.isalpha, s)) > 3,
+            0,
+            0,
+            stops,
+            first.islower(),
+            bool(before) and before.rstrip("\"”’)]")[-1:] not in (".", "!", "?", ":") and not gap_before and k < last and text[k + 1][0].islower() and not first.islower(),
+            gap_before and gap_after,
+            gap_before,
+            gap_after,
+            share,
+            initial > 0.55 and len(words) >= 3,
+            initial,
+            *edge,
+            len(words) <= 2,
+            s[-1].isdigit(),
+            0,
+        ))
+    out = np.array(rows, np.float32)
+    often = Counter(keys)
+    again = np.array([x is not None and often[x] > 1 for x in keys])
+    out[:, 5], out[:, 6] = again, again & (out[:, 13] < 0.75)
     return out
 
 
