@@ -33,7 +33,7 @@ PAIRS = (
 )
 _WIDE = ("cp949", "euc_jp", "cp932", "gbk")
 LOST = len(PAIRS)  # the state of replacement characters
-ENTER, ENTER_SINGLE, ENTER_WIDE, LEAVE = 7.0, 9.0, 10.0, 2.0  # negative logarithms of the transitions
+ENTER, ENTER_SINGLE, ENTER_WIDE, LEAVE, WITHIN = 7.0, 9.0, 10.0, 2.0, 3.0  # negative logarithms of the transitions
 _ENTER = [ENTER if w == "utf-8" and r not in _WIDE else ENTER_WIDE if w in _WIDE or r in _WIDE else ENTER_SINGLE for w, r in PAIRS]
 _ORDINARY = set("’‘“”„«»–—…·•¿¡、。「」『』・ー〜！？（）：；，．％＆")
 _SELDOM = set("¬¦¨¯´¸¤√∂∑∏≈≠∫∆Ω†‡‰ˆ˜")
@@ -171,7 +171,7 @@ def _clean(before: str, ch: str) -> float:
         if letter_before:
             latin, before_latin = cp < 0x250 or 0x1E00 <= cp <= 0x1EFF, ord(before) < 0x250
             if latin != before_latin and ord(before) < 0x1100:
-                cost += 9.0
+                cost += 4.0 if 0x370 <= cp <= 0x3FF or 0x370 <= ord(before) <= 0x3FF else 9.0  # Greek letters name quantities
             elif foreign_before and latin:
                 cost += 5.0
             if bcat == "Ll" and cat == "Lu":
@@ -223,8 +223,11 @@ def label(text: str, enter: float = 0.0) -> list[tuple[int, int, int]]:
             continue
         low, low_state = min((c, s) for s, (c, _, _) in here.items())
         before, ch = text[at - 1] if at else "", text[at]
-        clean_from = min(((c + (LEAVE if s >= 0 else 0.0), s) for s, (c, _, _) in here.items()))
-        cost = _clean(before, ch) + (13.0 if "\u0370" <= ch < "\u1100" and text[at + 1 : at + 2] in _ASCII_LETTERS else 0.0)
+        inside = WITHIN if before >= "\x80" and before.isalpha() else 0.0  # states seldom change inside a run
+        clean_from = min(((c + (LEAVE + inside if s >= 0 else 0.0), s) for s, (c, _, _) in here.items()))
+        cost = _clean(before, ch) + ((13.0 if ch > "\u03ff" else 3.0) if "\u0370" <= ch < "\u1100" and text[at + 1 : at + 2] in _ASCII_LETTERS else 0.0)
+        if before in _LOWER and text[at + 1 : at + 2] in _LOWER and "\xa0" < ch < "\u2e80" and ch not in _ORDINARY and not latin_letter(ch) and not "\u0100" <= ch < "\u0250":
+            cost += 6.0  # a sign or a foreign letter inside a word
         steps = [(1, -1, clean_from[0] + cost, clean_from[1])]
         if ch == "�":
             c = min(here.get(LOST, (1e9,))[0], low + ENTER)
@@ -240,7 +243,7 @@ def label(text: str, enter: float = 0.0) -> list[tuple[int, int, int]]:
                     elif left and right and got[0] > "\u2e80":
                         cost += 8.0
                 own = here.get(s, (1e9,))[0]
-                come = low + _ENTER[s] + enter + s * 0.02 + (LEAVE if low_state >= 0 else 0.0)
+                come = low + _ENTER[s] + enter + s * 0.02 + (LEAVE if low_state >= 0 else 0.0) + inside
                 steps.append((k, s, min(own, come) + cost, s if own <= come else low_state))
         for k, s, c, came in steps:
             to = best.setdefault(at + k, {})
@@ -261,6 +264,7 @@ def label(text: str, enter: float = 0.0) -> list[tuple[int, int, int]]:
 
 
 _ASCII_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_LOWER = frozenset("abcdefghijklmnopqrstuvwxyz")
 _FOREIGN = re.compile("[^\x00-\x7f]")
 # The runs that can hold wrong text: two foreign characters side by side, or one beside a letter it seldom stands by.
 _RUNS = re.compile("[\x00-\x7f]?[^\x00-\x7f]+[\x00-\x7f]?")
