@@ -40,12 +40,12 @@ _FURNITURE = re.compile(
     r"|^(?:read next|trending now|sponsored|related|see also|more from|recommended|tags?|filed under|advertisement|ad)\s*(?::|$)|^(?:you (?:may|might) also like|related (?:stories|articles|posts)|most (?:read|popular|viewed)|trending|up next|more stories|recommended for you)$"
     r"|^(?:back to top|skip to (?:main )?content|share this page|share on .*|follow us.*|download our app|sign up for our newsletter|enter your email.*|rate this page|print this page|subscribe from .*|subscribe now|sign in|log in|load more|leave a comment|show more|close|menu|sitemap|advertisement)$"
     r"|^\d+ (?:comments?|shares?|commentaires?|kommentare|comentarios|comentários|views)$|^댓글 \d+개$|^コメント.*\d+.*$"
-    r"|©|\ball rights reserved\b|\btous droits réservés\b|\balle rechte vorbehalten\b|\btodos los derechos\b|\btodos os direitos\b|무단 전재|\bregistered office\b|\bpowered by\b|\bimprint and legal\b|\bterms of use\b|\bprivacy policy\b|\bis not responsible for the content\b|\benable javascript to\b|\bmentions légales\b"
+    r"|©\s*(?:\d{4}\b|[A-Z]\w)|\ball rights reserved\b|\btous droits réservés\b|\balle rechte vorbehalten\b|\btodos los derechos\b|\btodos os direitos\b|무단 전재|\bregistered office\b|\bpowered by\b|\bimprint and legal\b|\bterms of use\b|\bprivacy policy\b|\bis not responsible for the content\b|\benable javascript to\b|\bmentions légales\b"
     r"|^(?:à lire aussi|haut de page|partager|publicité|s.abonner à .*|les plus lus|voir aussi|nach oben|anzeige|artikel teilen|meistgelesen|mehr zum thema|newsletter bestellen|publicidad|compartir|publicidade|compartilhar|lo más leído|mais lidas|volver arriba)$"
     r"|^(?:광고|공유하기|관련 기사|많이 본 뉴스|맨 위로|広告|共有する?|関連記事|トップへ戻る)$|^(?:home|accueil|startseite|inicio|início|홈|ホーム)\s*[>›»/|]",
     re.I,
 )
-_SEPARATED = re.compile(r"^[^|›»·•]{1,30}(?:\s*[|›»·•]\s*[^|›»·•]{1,30})+$")
+_SEPARATED = re.compile(r"^[^|›»·•]{1,30}(?:\s+[|›»·•]\s+[^|›»·•]{1,30})+$")
 _BYLINE = re.compile(r"^(?:by|par|von|por|автор|글|文)\s*:?\s+[A-ZÀ-ÝА-Я]|^(?:updated|published|posted|mis à jour|publié|aktualisiert|veröffentlicht|actualizado|publicado|обновлено)\b.{0,40}\d", re.I)
 _STOP = re.compile(r"[.!?。！？…][\"”’»)]*\s*$")
 _EAST = re.compile("[぀-鿿가-힣]")

@@ -298,6 +298,8 @@ def find_corrections(words: DataFrame, lexicon: DataFrame, ranker) -> DataFrame:
     low = exploded(words.where(F.length("word") >= 3), False)
     high = exploded(lexicon.where(F.length("word") >= 3), True).withColumnsRenamed({"word": "right", "n": "n_right"})
     met = low.join(high, ["gram", "size"]).where(enough(F.col("n"), F.col("n_right")) & (F.lower("word") != F.lower("right")))
+    # a name that stands several times is a name of its own unless the other is far more frequent
+    met = met.where(~(F.col("word").rlike("^[A-Z][a-z]+$") & (F.col("n") >= 3) & (F.col("n_right") < F.col("n") * 100)))
     # one confusion changes at most four q-grams of three, or three of two
     pairs = met.groupBy("word", "right", "n", "n_right").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.greatest(F.lit(1), F.length("word") - F.when(F.length("word") <= 5, 3).otherwise(4)))
 
