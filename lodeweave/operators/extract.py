@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.dom import main_text, markdown
-from ..functions.text import abstract, clip, is_pdf, page_title, url_guard
+from ..functions.text import PRIVATE, abstract, clip, host, is_pdf, page_title, url_guard
 from .serp import resolve as _resolve
 
 MAX_BODY = 25 * 1024 * 1024
@@ -38,6 +38,17 @@ def clipped(df: DataFrame, text: Column, most: int = 8000) -> DataFrame:
     return df.withColumns({"content": c, "excerpt": excerpt(c), "length": F.length(c)})
 
 
+def resolved_guard(urls: DataFrame, dns: DataFrame) -> DataFrame:
+    """urls(url, ...) with reason: the guard on the address, then on what dns(host, address) resolves its host to.
+
+    A host that dns does not know is allowed.
+    """
+    known = dns.groupBy("host").agg(F.max(F.col("address").rlike(PRIVATE)).alias("_private")).withColumnRenamed("host", "_host")
+    joined = urls.withColumn("_host", host("url")).join(known, "_host", "left")
+    late = F.when(F.col("_private"), "resolved to private address")
+    return joined.withColumn("reason", F.coalesce(url_guard("url"), late)).drop("_host", "_private")
+
+
 def landed(fetches: DataFrame, max_hops: int = 5) -> DataFrame:
     """The last hop of each fetch(url, hop, status, location, content_type, body): NULL if a hop is barred or there are too many.
 

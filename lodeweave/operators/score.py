@@ -101,3 +101,8 @@ def best_strategy(candidates: DataFrame, key: str) -> DataFrame:
     value = F.col("hits") * (1 + F.col("confidence"))
     pick = F.max_by(F.struct("strategy_id", "hits", "confidence"), F.struct(value, -F.col("strategy_pos"))).alias("best")
     return tried.groupBy(key).agg(pick).select(key, "best.strategy_id", "best.hits", "best.confidence")
+
+
+def best_attempt(attempts: DataFrame, key: str) -> DataFrame:
+    """The attempt with the most hits of each key; the first one wins ties.  attempts(key, attempt, hits)."""
+    return attempts.groupBy(key).agg(F.max_by("attempt", F.struct("hits", -F.col("attempt"))).alias("attempt"), F.max("hits").alias("hits"))

@@ -137,10 +137,12 @@ def first_seen_url(spark, d):
     return hits_of(spark, d).where("url is not null").groupBy("page_id", "url").agg(F.min("pos").alias("pos"), F.count("*").alias("times"))
 
 
-@query(f"WITH {HITS} SELECT hit_id, substr(regexp_replace(trim(description), '(?i)\\s*(\\.{{3}}|…)?\\s*(Read more|More results|더보기)\\s*$', ''), 1, 600) AS snippet FROM hits WHERE description NOT LIKE '%' || chr(9) || '%' AND description NOT LIKE '%' || chr(160) || '%'")
+_TRIM = r"[\s\x{00a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query(f"WITH {HITS} SELECT hit_id, substr(regexp_replace(regexp_replace(description, '^{_TRIM}|{_TRIM}$', '', 'g'), '(?i)\\s*(\\.{{3}}|…)?\\s*(Read more|More results|더보기)\\s*$', ''), 1, 600) AS snippet FROM hits")
 def hit_snippet(spark, d):
-    rows = hits_of(spark, d).where(~F.col("description").contains("\t") & ~F.col("description").contains(" "))
-    return rows.select("hit_id", T.clean_snippet("description").alias("snippet"))
+    return hits_of(spark, d).select("hit_id", T.clean_snippet("description").alias("snippet"))
 
 
 # ---- geometry (synthetic rectangles from ids) ---------------------------------------------------------------
@@ -293,6 +295,40 @@ def article_text(spark, d):
     return a.select("article_id", ex.html_text("content").alias("text"), ex.html_markdown("content").alias("markdown"))
 
 
+@query(
+    f"""WITH {HITS}, u AS (SELECT hit_id, url, {SQL_HOST} AS host FROM hits), dns AS (SELECT host, min(hit_id) % 3 = 0 AS private FROM u WHERE host IS NOT NULL GROUP BY host HAVING min(hit_id) % 2 = 0)
+SELECT hit_id, CASE WHEN url IS NULL THEN 'invalid url' WHEN private THEN 'resolved to private address' END AS reason FROM u LEFT JOIN dns USING (host)"""
+)
+def url_guard_resolved(spark, d):
+    """Half of the hosts are known to the name table, some of them with a private address (synthetic)."""
+    h = hits_of(spark, d).select("hit_id", "url")
+    first = h.where("url is not null").groupBy(T.host("url").alias("host")).agg(F.min("hit_id").alias("i")).where("i % 2 = 0")
+    dns = first.select("host", F.when(F.col("i") % 3 == 0, "10.0.0.1").otherwise("93.184.216.34").alias("address"))
+    return ex.resolved_guard(h, dns).select("hit_id", "reason")
+
+
+@query(f"WITH {EXTRACTS} SELECT extract_id, (url LIKE '%/sorry/%' OR url LIKE '%consent.google.%' OR coalesce(regexp_matches(content, '(?i)unusual traffic|systems have detected|are not a robot'), false)) AS blocked FROM ext WHERE url IS NOT NULL")
+def block_detect(spark, d):
+    return extracts_of(spark, d).where("url is not null").select("extract_id", triage.blocked(F.col("url"), F.col("content")).alias("blocked"))
+
+
+@query(f"WITH {EXTRACTS} SELECT extract_id, '<untrusted>' || chr(10) || content || chr(10) || '</untrusted>' AS fenced FROM ext WHERE content IS NOT NULL")
+def fenced_content(spark, d):
+    return extracts_of(spark, d).where("content is not null").select("extract_id", T.fence("content").alias("fenced"))
+
+
+@query(f"WITH {HITS}, a AS (SELECT page_id, pos % 3 AS attempt, count(*) AS n FROM hits GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, attempt) AS k FROM a) SELECT page_id, attempt::INT AS attempt, n::BIGINT AS hits FROM r WHERE k = 1")
+def best_attempt(spark, d):
+    a = hits_of(spark, d).groupBy("page_id", (F.col("pos") % 3).alias("attempt")).agg(F.count("*").alias("hits"))
+    return score.best_attempt(a, "page_id")
+
+
+@query(f"WITH {HITS} SELECT hit_id, CASE WHEN hit_id % 4 = 0 THEN 'propose_new' ELSE 'approve_candidate' END AS decision, CASE WHEN hit_id % 4 = 0 THEN '[data-ved] h3' ELSE 'div.x' || hit_id::VARCHAR END AS selector, 'low' AS confidence, 5::INT AS expected_min_blocks FROM hits")
+def repair_offline_choice(spark, d):
+    first = F.when(F.col("hit_id") % 4 != 0, F.concat(F.lit("div.x"), F.col("hit_id").cast("string")))
+    return hits_of(spark, d).select("hit_id", repair.offline_choice(first).alias("c")).select("hit_id", "c.*")
+
+
 # ---- event log ----------------------------------------------------------------------------------------------
 
 
@@ -370,11 +406,13 @@ def strategy_stats(spark, d):
     return ranking.outcome_counts(outcomes_of(spark, d))
 
 
-@query(f"WITH {_FIELDS}, {_OUT}, a AS ({_STATS} o WHERE event_id % 2 = 0 GROUP BY strategy_id), b AS ({_STATS} o WHERE event_id % 2 = 1 AND strategy_id <> 'class' GROUP BY strategy_id), u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT strategy_id, sum(wins)::BIGINT AS wins, sum(zeros)::BIGINT AS zeros, sum(losses)::BIGINT AS losses, max(last_win) AS last_win FROM u GROUP BY strategy_id")
+@query(f"WITH {_FIELDS}, {_OUT}, a AS ({_STATS} o WHERE event_id % 2 = 0 GROUP BY strategy_id), p AS (SELECT * REPLACE (CASE WHEN strategy_id = 'class' THEN 'class-b' ELSE strategy_id END AS strategy_id) FROM o WHERE event_id % 2 = 1), b AS ({_STATS} p GROUP BY strategy_id), u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT strategy_id, sum(wins)::BIGINT AS wins, sum(zeros)::BIGINT AS zeros, sum(losses)::BIGINT AS losses, max(last_win) AS last_win FROM u GROUP BY strategy_id")
 def strategy_merge(spark, d):
+    """Counters of two sources, here the even and the odd events, with a strategy that each has alone."""
     o = outcomes_of(spark, d)
     even = ranking.outcome_counts(o.where("event_id % 2 = 0"))
-    odd = ranking.outcome_counts(o.where("event_id % 2 = 1 and strategy_id != 'class'"))
+    renamed = F.when(F.col("strategy_id") == "class", "class-b").otherwise(F.col("strategy_id"))
+    odd = ranking.outcome_counts(o.where("event_id % 2 = 1").withColumn("strategy_id", renamed))
     return ranking.merge_counts(even, odd)
 
 
@@ -418,6 +456,12 @@ def fault_triage(spark, d):
     return faults_of(spark, d).select("page_id", "results", "h3", "status", "fault")
 
 
+@query(f"WITH {_SIGNAL}, {_FAULT} SELECT page_id, fault || ' status=' || status::VARCHAR || ' h3=' || h3::VARCHAR || ' results=' || results::VARCHAR || CASE WHEN geom IS NOT NULL THEN ' geom=' || printf('%.2f', geom::DOUBLE) ELSE '' END AS description FROM f")
+def fault_text(spark, d):
+    f = faults_of(spark, d)
+    return f.select("page_id", triage.describe(*(F.col(c) for c in ("fault", "status", "h3", "results", "geom"))).alias("description"))
+
+
 @query(
     f"""WITH {_SIGNAL}, {_FAULT}, r AS (SELECT * FROM (VALUES ('selector_broken', 'retry_with_strategy', NULL, NULL, NULL), ('blocked', 'backoff', 1800000, 1.0, 1), ('rate_limited', 'backoff', 60000, 2.0, 3), ('network_error', 'backoff', 1000, 2.0, 3), ('unknown', 'alert_only', NULL, NULL, NULL)) t(fault, action, initial_ms, factor, max_attempts))
 SELECT fault, action, initial_ms::BIGINT AS initial_ms, factor::DOUBLE AS factor, max_attempts::INT AS max_attempts, count(*)::BIGINT AS pages FROM f JOIN r USING (fault) GROUP BY ALL"""
@@ -517,6 +561,12 @@ def backoff_schedule(spark, d):
     return replay.backoff_schedule(spark, 100, 2.0, 4)
 
 
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'cloud' WHEN event_id % 3 = 0 AND event_id % 2 <> 0 THEN 'headless' ELSE 'local' END AS mode FROM events")
+def captcha_mode(spark, d):
+    i = F.col("event_id")
+    return table(spark, d, "events").select("event_id", triage.captcha_mode(i % 5 == 0, i % 3 == 0, i % 2 == 0).alias("mode"))
+
+
 @query("SELECT event_type AS mode, count(*) FILTER (value > 50)::BIGINT AS captchas, count(*)::BIGINT AS total FROM events GROUP BY event_type")
 def captchas_by_mode(spark, d):
     return table(spark, d, "events").groupBy(F.col("event_type").alias("mode")).agg(F.count_if(F.col("value") > 50).alias("captchas"), F.count("*").alias("total"))
