@@ -6,7 +6,7 @@ of their words, form and surroundings; edges carry parent-child potentials.  Sum
 downward once, which on a tree gives the exact marginal of every line.  Evidence and potentials are trained on
 pages labelled by sure signs (see seed_label): a bounded sample of at most ``max_pages`` pages.
 
-Defined cases: null and blank texts have no lines; a repeated row gives its lines once; a page of any length is
+Defined cases: null and blank texts have no lines; rows with a null id are left out; a repeated row gives its lines once; a page of any length is
 read whole; if no page can be labelled the untrained model keeps every line as main body.
 """
 
@@ -270,6 +270,10 @@ def classify(model: TreeModel, texts: list[str | None], titles: list[str | None]
     return [([], np.zeros(0), []) if p is None else (p.number, prob[a:b], p.lines) for a, b, p in spans]
 
 
+def _known(pages: DataFrame) -> DataFrame:
+    return pages.select("table_name", "row_id", "title", "text").where("row_id is not null")
+
+
 def label_lines(pages: DataFrame, model_of: TreeModel) -> DataFrame:
     """(table_name, row_id, line_no, p_body) of every line of pages(table_name, row_id, title, text) that is not blank."""
     model = pages.sparkSession.sparkContext.broadcast(model_of)
@@ -283,7 +287,7 @@ def label_lines(pages: DataFrame, model_of: TreeModel) -> DataFrame:
             out["p_body"] += prob.tolist()
         return out
 
-    return map_batches(pages.select("table_name", "row_id", "title", "text"), "table_name string, row_id bigint, line_no int, p_body double", run)
+    return map_batches(_known(pages), "table_name string, row_id bigint, line_no int, p_body double", run)
 
 
 def furniture_lines(pages: DataFrame, model_of: TreeModel) -> DataFrame:
@@ -299,7 +303,7 @@ def main_bodies(pages: DataFrame, model_of: TreeModel) -> DataFrame:
         bodies = ["\n".join(x for x, p in zip(lines, prob) if p >= 0.5) or None for _, prob, lines in got]
         return {"table_name": names, "row_id": ids, "body": bodies}
 
-    return map_batches(pages.select("table_name", "row_id", "title", "text"), "table_name string, row_id bigint, body string", run)
+    return map_batches(_known(pages), "table_name string, row_id bigint, body string", run)
 
 
 def fit(pages: DataFrame, max_pages: int = 1200) -> TreeModel:

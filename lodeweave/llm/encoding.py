@@ -203,7 +203,20 @@ def _states_of(ch: str) -> tuple[int, ...]:
 
 
 def label(text: str, enter: float = 0.0) -> list[tuple[int, int, int]]:
-    """(start, end, state) of the spans that are not clean on the most likely path; enter is added to ENTER."""
+    """(start, end, state) of the spans that are not clean on the most likely path; enter is added to ENTER.
+
+    Long texts are labelled in pieces that end at white space, so that the lattice stays small.
+    """
+    if len(text) > PIECE:
+        out, at = [], 0
+        while at < len(text):
+            to = at + PIECE
+            if to < len(text):
+                cut = max(text.rfind("\n", at + PIECE // 2, to), text.rfind(" ", at + PIECE // 2, to))
+                to = cut + 1 if cut >= 0 else to
+            out += [(a + at, b + at, s) for a, b, s in label(text[at:to], enter)]
+            at = to
+        return out
     n = len(text)
     best: dict[int, dict[int, tuple[float, int, int]]] = {0: {-1: (0.0, -1, -2)}}  # place -> state -> cost, place and state before
     places = [m.start() for m in _FOREIGN.finditer(text)]
@@ -265,6 +278,7 @@ def label(text: str, enter: float = 0.0) -> list[tuple[int, int, int]]:
 
 _ASCII_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _LOWER = frozenset("abcdefghijklmnopqrstuvwxyz")
+PIECE = 20_000
 _FOREIGN = re.compile("[^\x00-\x7f]")
 # The runs that can hold wrong text: two foreign characters side by side, or one beside a letter it seldom stands by.
 _RUNS = re.compile("[\x00-\x7f]?[^\x00-\x7f]+[\x00-\x7f]?")

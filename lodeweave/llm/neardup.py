@@ -27,7 +27,7 @@ from .common import map_batches, stored
 SHINGLE, THRESHOLD, TOLERANCE = 3, 0.6, 1e-5
 SLOTS = 1 << 28  # one bit each: whether more than one text holds a shingle of the slot
 COARSE = 1 << 22  # counters of shingle frequency; both tables have this size whatever the input
-ID_SLOTS = 1 << 19  # slots of ids by which rows of interest are picked before they are shuffled
+ID_SLOTS = 1 << 21  # slots of ids by which rows of interest are picked before they are shuffled; at most so many are broadcast
 WIDTH = 5  # bytes kept of each shingle hash: 2^40 values
 _MARKS = ".,;:!?\"'()[]{}«»“”„‘’‚—–-…·•*_/\\|<>#+=~`´^°%&@$€£§"
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")

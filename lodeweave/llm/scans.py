@@ -7,7 +7,7 @@
 3. A logistic classifier over each line and its neighbours tells running lines (headers, footers, page numbers)
    from body; a line that ends in a mark is joined with the next body line if the joined word is the likelier one.
 
-Defined cases: null and blank content gives no rows; a repeated row gives its lines once; content of any length is
+Defined cases: null and blank content, and null ids, give no rows; a repeated row gives its lines once; content of any length is
 read whole; a word without a likely candidate stays as it is; a tie goes to the candidate that is more frequent.
 """
 
@@ -545,7 +545,7 @@ class Scans:
 
     def __init__(self, pdfs: DataFrame, max_sample: int = 400):
         """pdfs(pdf_id, content).  The line classifier is trained on at most max_sample documents."""
-        self.pdfs = pdfs.select("pdf_id", "content").where("content is not null")
+        self.pdfs = pdfs.select("pdf_id", "content").where("pdf_id is not null and content is not null")
         spark = pdfs.sparkSession
 
         def count(texts):

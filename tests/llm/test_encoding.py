@@ -33,6 +33,11 @@ def test_garbled_twice():
     assert E.examine([once], {}) == [("Gärtnerin für 30 €", True)]
 
 
+def test_long_text_is_labelled_in_pieces():
+    text = "El niño cambió la montaña, según él. " * 3000
+    assert E.examine([text.encode().decode("latin-1")], {}) == [(text, True)]
+
+
 def test_lost_characters_are_found_but_not_whole():
     (found,) = E.examine(["the caf�� by the quay"], {})
     assert found[1] is False
