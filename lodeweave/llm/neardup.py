@@ -4,8 +4,8 @@
 2. Shingles (runs of words) are ordered from rare to frequent.  Two sets that are similar enough must share one of
    the first shingles of each (prefix filter), so the inverted lists hold these only.  Rarity comes from a table of
    counts of fixed size, which covers all texts; shingles that stand in one text only can't join a pair.
-3. A pair of one list is dropped if sizes or places rule it out, or if, after 32, 64, 96 and 128 one-bit MinHash
-   values, the posterior probability that its similarity reaches the threshold is below ``tolerance``.
+3. A pair of one list is dropped if sizes or places rule it out, or if, after 32 and 64 one-bit MinHash values in
+   the lists and 96 and 128 on the pairs left, the posterior probability that its similarity reaches the threshold is below ``tolerance``.
 4. The rest is checked exactly on the whole shingle sets; pairs then go back to all copies of both texts.
 
 Defined cases: null and blank texts, and texts under the least number of words, are in no pair; rows with a null id
@@ -126,7 +126,9 @@ def _copy() -> Column:
 
 
 def _representatives(texts: DataFrame, least_words: dict[str, int], shingle: int) -> DataFrame:
-    """(field_name, rep, several, n, sig0, sig1, sh): one row for each different text that is long enough.
+    """(rid, field_name, rep, several, n, sig0, sig1, sh): one row for each different text that is long enough.
+
+    rid tells representatives of all fields apart.
 
     Only rows whose text stands in several rows, and those that share an id slot with them, are shuffled to be
     grouped; the number of slots is bounded.  several: more than one id has the text.
@@ -138,16 +140,18 @@ def _representatives(texts: DataFrame, least_words: dict[str, int], shingle: int
     shared = keyed.join(F.broadcast(slots), "slot", "left_semi")
     once = shared.groupBy("field_name", _copy()).agg(F.min("id").alias("rep"), (F.min("id") != F.max("id")).alias("several"), F.first("text").alias("text"))
     held: dict[str, Shingler] = {}
+    place = {f: k for k, f in enumerate(sorted(least_words))}
 
     def run(fields, reps, several, bodies):
         maker = held.setdefault("it", Shingler(shingle))
-        out = {"field_name": [], "rep": [], "several": [], "n": [], "sig0": [], "sig1": [], "sh": []}
+        out = {"rid": [], "field_name": [], "rep": [], "several": [], "n": [], "sig0": [], "sig1": [], "sh": []}
         sets = []
         for f, r, m, t in zip(fields, reps, several, bodies):
             ws = words(t)
             if len(ws) >= least_words[f]:
                 s = maker.hashes(ws)
                 if len(s):
+                    out["rid"].append(r * len(place) + place[f])
                     out["field_name"].append(f)
                     out["rep"].append(r)
                     out["several"].append(m)
@@ -161,7 +165,7 @@ def _representatives(texts: DataFrame, least_words: dict[str, int], shingle: int
         return out
 
     both = alone.unionByName(once.select("field_name", "rep", "several", "text"))
-    return map_batches(both, "field_name string, rep bigint, several boolean, n int, sig0 bigint, sig1 bigint, sh binary", run)
+    return map_batches(both, "rid bigint, field_name string, rep bigint, several boolean, n int, sig0 bigint, sig1 bigint, sh binary", run)
 
 
 def _frequency(reps: DataFrame, slots: int, coarse: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,9 +216,9 @@ def _frequency(reps: DataFrame, slots: int, coarse: int) -> tuple[np.ndarray, np
 
 
 def _postings(reps: DataFrame, often: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
-    """(key, rep, n, pos, sig0, sig1): the first shingles of each text, rare ones first."""
+    """(key, rid, at, sig0): the first shingles of each text, rare ones first; at: size and place in one number."""
     box = reps.sparkSession.sparkContext.broadcast(often)
-    schema = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("sig0", pa.int64()), ("sig1", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("sig0", pa.int64())])
 
     def run(batches):
         bits, count = box.value
@@ -228,62 +232,58 @@ def _postings(reps: DataFrame, often: tuple[np.ndarray, np.ndarray], threshold:
                 at = s % slots
                 c = count[(at // fold).astype(np.int64)]
                 n = len(s)
-                probe = n - math.ceil(threshold * n - 1e-9) + 1
-                order = np.lexsort((s, c))[:probe]
+                order = np.lexsort((s, c))[: n - math.ceil(threshold * n - 1e-9) + 1]
                 at = at[order]
                 keep = np.flatnonzero((bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1)
                 if len(keep):
-                    salt = np.uint64(xxhash.xxh3_64_intdigest(f) >> 8 << 8)
+                    salt = np.uint64(xxhash.xxh3_64_intdigest(f) >> 24)  # 40 bits, as the shingles have
                     keys.append((s[order[keep]] ^ salt).view(np.int64))
                     owner.append(np.full(len(keep), i))
-                    places.append(keep)
-            if not keys:
-                continue
-            at = np.concatenate(owner)
-            take = lambda name: pa.array(np.array(cols[name], np.int64)[at])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys)), take("rep"), take("n").cast(pa.int32()), pa.array(np.concatenate(places).astype(np.int32)), take("sig0"), take("sig1")],
-                schema=schema,
-            )
-
-    return reps.mapInArrow(run, "key bigint, rep bigint, n int, pos int, sig0 bigint, sig1 bigint")
-
-
-def _surviving(threshold: float, tolerance: float):
-    """The Column that keeps a pair through the incremental comparison of MinHash bits."""
-    x0, x1 = F.col("a_sig0").bitwiseXOR(F.col("b_sig0")), F.col("a_sig1").bitwiseXOR(F.col("b_sig1"))
-    low = F.lit(0xFFFFFFFF).cast("bigint")
-    m = {n: n - least_matches(n, threshold, tolerance) for n in (32, 64, 96, 128)}
-    return (
-        (F.bit_count(x0.bitwiseAND(low)) <= m[32])
-        & (F.bit_count(x0) <= m[64])
-        & (F.bit_count(x0) + F.bit_count(x1.bitwiseAND(low)) <= m[96])
-        & (F.bit_count(x0) + F.bit_count(x1) <= m[128])
-    )
+                    places.append(keep + (n << 32))
+            if keys:
+                own = np.concatenate(owner)
+                take = lambda name: pa.array(np.array(cols[name], np.int64)[own])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), take("rid"), pa.array(np.concatenate(places).astype(np.int64)), take("sig0")], schema=schema)
+
+    return reps.select("rid", "field_name", "sh", "sig0").mapInArrow(run, "key bigint, rid bigint, at bigint, sig0 bigint")
+
+
+def _most_apart(n: int, threshold: float, tolerance: float) -> int:
+    return n - least_matches(n, threshold, tolerance)
 
 
 def similar_representatives(texts: DataFrame, least_words: dict[str, int], shingle: int = SHINGLE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, slots: int = SLOTS, coarse: int = COARSE) -> tuple[DataFrame, DataFrame]:
-    """(representatives, pairs(field_name, rep_a, rep_b, similarity)) of different texts(field_name, id, text); rep: least id of a text's copies.
+    """(representatives, pairs(field_name, rep_a, rep_b, similarity)) of different texts(field_name, id, text).
 
-    Pairs stay within a field: the keys of the lists are salted with its name, and ids are told apart by it.
+    Pairs stay within a field: the keys of the lists are salted with its name.
     """
+    texts = texts.where("id is not null and text is not null")
     reps = stored(_representatives(texts, least_words, shingle), "shingles")
     posts = _postings(reps, _frequency(reps, slots, coarse), threshold)
     # Both sides are the same rows, so that one exchange serves them; the places a smaller text needs are fewer, which
     # the comparison of places below sees to.
-    a = posts.select("key", *(F.col(c).alias(f"a_{c}") for c in ("rep", "n", "pos", "sig0", "sig1")))
-    b = posts.select("key", *(F.col(c).alias(f"b_{c}") for c in ("rep", "n", "pos", "sig0", "sig1")))
-    an, bn = F.col("a_n"), F.col("b_n")
-    order = (an < bn) | ((an == bn) & (F.col("a_rep") < F.col("b_rep")))
-    sizes = an >= bn * threshold - 1e-9
-    places = F.least(an - F.col("a_pos"), bn - F.col("b_pos")) >= (an + bn) * (threshold / (1 + threshold)) - 1e-9
-    met = a.join(b, "key").where(order & sizes & places & _surviving(threshold, tolerance))
-    candidates = stored(met.select("a_rep", "b_rep").distinct(), "candidates")
+    a = posts.select("key", *(F.col(c).alias(f"a_{c}") for c in ("rid", "at", "sig0")))
+    b = posts.select("key", *(F.col(c).alias(f"b_{c}") for c in ("rid", "at", "sig0")))
+    size = lambda c: F.shiftright(c, 32)
+    left = lambda c: size(c) - F.col(c).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
+    an, bn = size("a_at"), size("b_at")
+    order = (an < bn) | ((an == bn) & (F.col("a_rid") < F.col("b_rid")))
+    places = F.least(left("a_at"), left("b_at")) >= (an + bn) * (threshold / (1 + threshold)) - 1e-9
+    # The first 64 MinHash values travel with the postings, the others are compared on what is left.
+    apart = F.col("a_sig0").bitwiseXOR(F.col("b_sig0"))
+    low = F.lit(0xFFFFFFFF).cast("bigint")
+    close = (F.bit_count(apart.bitwiseAND(low)) <= _most_apart(32, threshold, tolerance)) & (F.bit_count(apart) <= _most_apart(64, threshold, tolerance))
+    met = a.join(b, "key").where(order & (an >= bn * threshold - 1e-9) & places & close).select("a_rid", "b_rid").distinct()
+    bits = lambda side: reps.select(F.col("rid").alias(f"{side}_rid"), F.col("sig0").alias(f"{side}_0"), F.col("sig1").alias(f"{side}_1"))
+    more = met.join(bits("a"), "a_rid").join(bits("b"), "b_rid")
+    first, second = F.bit_count(F.col("a_0").bitwiseXOR(F.col("b_0"))), F.col("a_1").bitwiseXOR(F.col("b_1"))
+    closer = (first + F.bit_count(second.bitwiseAND(low)) <= _most_apart(96, threshold, tolerance)) & (first + F.bit_count(second) <= _most_apart(128, threshold, tolerance))
+    candidates = stored(more.where(closer).select("a_rid", "b_rid"), "candidates")
     # Slots of the candidates' ids: their number is bounded, whatever the number of candidates.
-    wanted = candidates.select(_slot(F.col("a_rep"))).union(candidates.select(_slot(F.col("b_rep")))).distinct()
-    some = reps.select("rep", "field_name", "sh", _slot(F.col("rep"))).join(F.broadcast(wanted), "slot", "left_semi")
-    left = candidates.join(some.select(F.col("rep").alias("a_rep"), F.col("field_name").alias("a_field"), F.col("sh").alias("a_sh")), "a_rep")
-    both = left.join(some.select(F.col("rep").alias("b_rep"), F.col("field_name").alias("b_field"), F.col("sh").alias("b_sh")), "b_rep").where("a_field = b_field")
+    wanted = candidates.select(_slot(F.col("a_rid"))).union(candidates.select(_slot(F.col("b_rid")))).distinct()
+    some = reps.select("rid", "rep", "field_name", "sh", _slot(F.col("rid"))).join(F.broadcast(wanted), "slot", "left_semi")
+    one = candidates.join(some.select(F.col("rid").alias("a_rid"), "field_name", F.col("rep").alias("a_rep"), F.col("sh").alias("a_sh")), "a_rid")
+    both = one.join(some.select(F.col("rid").alias("b_rid"), F.col("rep").alias("b_rep"), F.col("sh").alias("b_sh")), "b_rid")
 
     def check(fields, xs, ys, xsh, ysh):
         out = {"field_name": [], "rep_a": [], "rep_b": [], "similarity": []}
@@ -295,8 +295,8 @@ def similar_representatives(texts: DataFrame, least_words: dict[str, int], shing
                     out[k].append(v)
         return out
 
-    pairs = map_batches(both.select("a_field", "a_rep", "b_rep", "a_sh", "b_sh"), "field_name string, rep_a bigint, rep_b bigint, similarity double", check)
-    return reps.drop("sh", "sig0", "sig1"), stored(pairs.distinct(), "pairs")
+    pairs = map_batches(both.select("field_name", "a_rep", "b_rep", "a_sh", "b_sh"), "field_name string, rep_a bigint, rep_b bigint, similarity double", check)
+    return reps.drop("sh", "sig0", "sig1"), stored(pairs, "pairs")
 
 
 def memberships(texts: DataFrame, reps: DataFrame) -> DataFrame:
