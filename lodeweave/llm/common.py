@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import re
+import shutil
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -24,6 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file:///tmp/lodeweave-{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, at.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 

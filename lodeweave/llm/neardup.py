@@ -282,12 +282,15 @@ def similar_representatives(texts: DataFrame, least_words: dict[str, int], shing
     # Slots of the candidates' ids: their number is bounded, whatever the number of candidates.
     wanted = candidates.select(_slot(F.col("a_rid"))).union(candidates.select(_slot(F.col("b_rid")))).distinct()
     some = reps.select("rid", "rep", "field_name", "sh", _slot(F.col("rid"))).join(F.broadcast(wanted), "slot", "left_semi")
-    one = candidates.join(some.select(F.col("rid").alias("a_rid"), "field_name", F.col("rep").alias("a_rep"), F.col("sh").alias("a_sh")), "a_rid")
-    both = one.join(some.select(F.col("rid").alias("b_rid"), F.col("rep").alias("b_rep"), F.col("sh").alias("b_sh")), "b_rid")
+    # both sides read the same columns, so that one exchange serves them
+    side = lambda s: some.select(*(F.col(c).alias(f"{s}_{c}") for c in ("rid", "rep", "field_name", "sh")))
+    both = candidates.join(side("a"), "a_rid").join(side("b"), "b_rid")
 
-    def check(fields, xs, ys, xsh, ysh):
+    def check(fields, others, xs, ys, xsh, ysh):
         out = {"field_name": [], "rep_a": [], "rep_b": [], "similarity": []}
-        for f, x, y, p, q in zip(fields, xs, ys, xsh, ysh):
+        for f, g, x, y, p, q in zip(fields, others, xs, ys, xsh, ysh):
+            if f != g:
+                continue
             s, t = unpack(p), unpack(q)
             both = len(np.intersect1d(s, t, assume_unique=True))
             if both >= threshold * (len(s) + len(t) - both) - 1e-9:
@@ -295,7 +298,7 @@ def similar_representatives(texts: DataFrame, least_words: dict[str, int], shing
                     out[k].append(v)
         return out
 
-    pairs = map_batches(both.select("field_name", "a_rep", "b_rep", "a_sh", "b_sh"), "field_name string, rep_a bigint, rep_b bigint, similarity double", check)
+    pairs = map_batches(both.select("a_field_name", "b_field_name", "a_rep", "b_rep", "a_sh", "b_sh"), "field_name string, rep_a bigint, rep_b bigint, similarity double", check)
     return reps.drop("sh", "sig0", "sig1"), stored(pairs, "pairs")
 
 
