@@ -25,6 +25,16 @@ def test_round_trip(text, written, read):
     assert found == (text, True)
 
 
+@pytest.mark.parametrize("text, written, read", [("The town’s answer came late.", "utf-8", "cp850"), ("I don’t know what they’re doing", "mac_roman", "cp1252"), ("the café, the résumé, the fiancé", "cp1252", "mac_roman"), ("the café, the résumé, the fiancé", "cp1252", "cp850")])
+def test_capitals_left_by_a_misreading(text, written, read):
+    assert E.examine([text.encode(written).decode(read)], {}) == [(text, True)]
+
+
+@pytest.mark.parametrize("text", ["MÜNCHEN UND KÖLN, ÄÖÜ", "PÃO DE AÇÚCAR; AÇÃO; CORAÇÕES; ÀS; ÇA", "L'École d'Évora, Àvila. LÁ, É, Ô!"])
+def test_capitals_of_clean_text_stay(text):
+    assert E.examine([text], {}) == [None]
+
+
 def test_garbled_twice():
     once = "Gärtnerin für 30 €".encode().decode("cp1252")
     twice = once.encode().decode("cp1252", "replace")
