@@ -8,7 +8,8 @@
    the lists and 96 and 128 on the pairs left, the posterior probability that its similarity reaches the threshold is below ``tolerance``.
 4. The rest is checked exactly on the whole shingle sets; pairs then go back to all copies of both texts.
 
-Defined cases: null and blank texts, and texts under the least number of words, are in no pair; rows with a null id
+Defined cases: null and blank texts, and texts under the least number of words, are in no pair; a text with fewer
+words than a shingle has its whole words, or its signs if it has no word, as its one shingle; rows with a null id
 are left out; the same id delivered twice counts once; copies are pairs of similarity 1; extra columns are ignored.
 """
 
@@ -76,6 +77,11 @@ class Shingler:
             out ^= out >> np.uint64(29)
         return np.unique(out >> np.uint64(64 - 8 * WIDTH))
 
+    @staticmethod
+    def whole(ws: list[str]) -> np.ndarray:
+        """The one shingle of a text with fewer words than a shingle has."""
+        return np.array([xxhash.xxh3_64_intdigest("\n".join(ws)) >> (64 - 8 * WIDTH)], np.uint64)
+
     @staticmethod
     def bits(sets: list[np.ndarray]) -> np.ndarray:
         """(texts, 2) words of 64 bits: one bit of each of 128 MinHash values."""
@@ -149,15 +155,14 @@ def _representatives(texts: DataFrame, least_words: dict[str, int], shingle: int
         for f, r, m, t in zip(fields, reps, several, bodies):
             ws = words(t)
             if len(ws) >= least_words[f]:
-                s = maker.hashes(ws)
-                if len(s):
-                    out["rid"].append(r * len(place) + place[f])
-                    out["field_name"].append(f)
-                    out["rep"].append(r)
-                    out["several"].append(m)
-                    out["n"].append(len(s))
-                    out["sh"].append(pack(s))
-                    sets.append(s)
+                s = maker.hashes(ws) if len(ws) >= shingle else maker.whole(ws or [t])
+                out["rid"].append(r * len(place) + place[f])
+                out["field_name"].append(f)
+                out["rep"].append(r)
+                out["several"].append(m)
+                out["n"].append(len(s))
+                out["sh"].append(pack(s))
+                sets.append(s)
         if not sets:
             return None
         sig = Shingler.bits(sets).view(np.int64)

@@ -32,8 +32,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The class of every text among five-word shingles at a similarity of 0.8, and its number of links."""
-    return neardup.near_duplicate_groups(_texts(spark, sf_dir), LEAST_WORDS, shingle=5, threshold=0.8)
+    """The class of every text of any length among five-word shingles at a similarity of 0.8, and its number of links."""
+    return neardup.near_duplicate_groups(_texts(spark, sf_dir), dict.fromkeys(LEAST_WORDS, 0), shingle=5, threshold=0.8)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,25 @@ def test_empty_and_hot_copies(spark):
     assert g.where("class_id = 0").count() == 1000 and g.count() == 3000
 
 
+def test_groups_of_short_texts(spark):
+    error = "Internal Server Error. The server could not answer this request, please try again later or write to us. Incident"
+    rows = [(1, f"{error} 85aeea62."), (2, f"{error} 17bc03d9."), (3, f"{error} 85aeea62."), (4, "Read more"), (5, "Read more"), (6, "READ MORE…"), (7, "Read less"), (8, "---"), (9, "---"), (10, "***")]
+    least = {"content": 0}
+    df = spark.createDataFrame([("content", *r) for r in rows], "field_name string, id bigint, text string")
+    got = {r.id: (r.class_id, r.links) for r in N.near_duplicate_groups(df, least, shingle=5, threshold=0.8, **SMALL).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 1), 4: (4, 1), 5: (4, 1), 6: (4, 1), 7: (7, 0), 8: (8, 0), 9: (8, 0), 10: (10, 0)}
+
+
+def test_query_groups_texts_of_any_length(spark, tmp_path):
+    from lodeweave.llm import queries
+
+    hits = [(1, "two words"), (2, "two words"), (3, "other words")]
+    spark.createDataFrame(hits, "hit_id bigint, description string").write.parquet(str(tmp_path / "search_hit.parquet"))
+    spark.createDataFrame([(1, "one short line of text"), (2, "one short line of text")], "extract_id bigint, content string").write.parquet(str(tmp_path / "extract_result.parquet"))
+    got = {(r.field_name, r.id): r.class_id for r in queries.p2_groups(spark, str(tmp_path)).collect()}
+    assert got == {("description", 1): 1, ("description", 2): 1, ("description", 3): 3, ("content", 1): 1, ("content", 2): 1}
+
+
 @pytest.mark.parametrize("k, threshold", [(5, 0.8)])
 def test_default_of_stages(spark, k, threshold):
     least = {"content": 50, "description": 50}
