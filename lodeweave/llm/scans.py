@@ -5,7 +5,8 @@
 2. Every word gets correction candidates by an inverted join on character q-grams; gradient-boosted trees, trained
    on words misread on purpose, rank the candidates, and the best one replaces the word if it scores over one half.
 3. A logistic classifier over each line and its neighbours tells running lines (headers, footers, page numbers)
-   from body; a line that ends in a mark is joined with the next body line if the joined word is the likelier one.
+   from body; another one over a line that ends in a mark and the next body line tells words broken by the mark from
+   compounds.  Both are trained on the corpus, labelled by sure signs.
 
 Defined cases: null and blank content, and null ids, give no rows; a repeated row gives its lines once; content of any length is
 read whole; a word without a likely candidate stays as it is; a tie goes to the candidate that is more frequent.
@@ -17,6 +18,7 @@ import math
 import random
 import re
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -430,10 +432,15 @@ def train_lines(texts: list[str]) -> np.ndarray:
     x = np.vstack(x) if x else np.zeros((0, FEATURES), np.float32)
     y = seed_running(x)
     x, y = _expand(x[y >= 0]), y[y >= 0].astype(float)
-    w = np.zeros(FEATURES + len(_PRODUCT) + 1)
     if not len(y):
+        w = np.zeros(FEATURES + len(_PRODUCT) + 1)
         w[-1] = -4.0
         return w
+    return logistic(x, y)
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    w = np.zeros(x.shape[1])
     square = np.full(len(w), 1e-6)
     for _ in range(400):
         g = x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y) / len(y) + 1e-4 * w
@@ -453,9 +460,13 @@ def known(word: str, lexicon: dict[str, int]) -> int:
     return lexicon.get(word) or lexicon.get(word.lower()) or lexicon.get(word.strip("([!|")) or 0
 
 
+def halves(left: str, right: str) -> tuple[str, str]:
+    return left.lstrip("([" + _LEAD), core(right).strip("([")
+
+
 def joins(left: str, mark: str, right: str, lexicon: dict[str, int]) -> bool:
-    """Whether a mark at a line end breaks a word: the joined word is likelier than the compound."""
-    a, b = left.lstrip("([" + _LEAD), core(right).strip("([")
+    """Whether a mark at a line end breaks a word, by the counts alone: the sure signs that train the classifier."""
+    a, b = halves(left, right)
     if not a or not b or not b[0].isalpha():
         return False
     if mark not in "-":
@@ -468,10 +479,137 @@ def joins(left: str, mark: str, right: str, lexicon: dict[str, int]) -> bool:
     return not (known(a, lexicon) and known(b, lexicon))
 
 
-def examine(text: str, w: np.ndarray, lexicon: dict[str, int]) -> tuple[set[int], set[int], list[tuple[int, str, str | None]]]:
+_COMPOUND = re.compile(r"([^\W\d_]+)-([^\W\d_]+)")
+
+
+def broken_ends(lines: list[str], run: set[int]) -> list[tuple[str, str, str, float]]:
+    """(left piece, mark, next word, length of the line to that of full lines) of the body lines that end in a mark."""
+    body = [s for i, s in enumerate(lines) if i not in run and s and not s.isspace()]
+    width = full_width(lines)
+    out = []
+    for s, after in zip(body, body[1:]):
+        last = s.split()[-1]
+        if last[-1] in MARKS and len(last) > 1 and _LETTERS.search(last[-2]):
+            out.append((last[:-1], last[-1], after.split()[0], len(s.strip()) / width))
+    return out
+
+
+def full_width(lines: list[str]) -> int:
+    sizes = sorted(len(s.strip()) for s in lines if s and not s.isspace())
+    return sizes[int(0.8 * (len(sizes) - 1))] or 1 if sizes else 1
+
+
+class JoinModel:
+    """Logistic classifier over a line that ends in a mark and the next line: whether the mark breaks a word.
+
+    It goes by the counts of whole, compound and halves, the characters at the break, other compounds of the halves,
+    the mark, and the length of the line.  Trained on line pairs of the corpus and on words and compounds of the
+    lexicon broken on purpose, each with its counts and again without them, as words stand that are not in the lexicon.
+    """
+
+    def __init__(self, lexicon: dict[str, int], texts: list[str], w: np.ndarray, most: int = 3000, seed: int = 7):
+        rng = random.Random(seed)
+        self.memo: dict[tuple, bool] = {}
+        self.heads: Counter = Counter()
+        self.tails: Counter = Counter()
+        parts, half = Counter(), Counter()
+        compounds = []
+        for word, n in lexicon.items():
+            m = _COMPOUND.fullmatch(word)
+            if m:
+                compounds.append(word)
+                self.heads[m[1].lower()] += 1
+                self.tails[m[2].lower()] += 1
+            for piece in word.split("-"):
+                if piece:
+                    parts[piece] += n
+                    if not crc32(word.lower().encode()) % 2:
+                        half[piece] += n
+        self.chars = CharModel(half)  # words that are hidden below are not among its words
+        by_count = lambda ws: sorted(ws, key=lambda x: (-lexicon[x], x))[:most]
+        rows: list[tuple[tuple, float]] = []
+        for t in texts:
+            lines = t.split("\n")
+            for end in broken_ends(lines, running_lines(lines, w)):
+                a, b = halves(end[0], end[2])
+                if b and b[0].isalpha() and (end[1] != "-" or bool(known(a + b, lexicon)) != bool(known(f"{a}-{b}", lexicon))):
+                    rows.append((end, float(joins(*end[:3], lexicon))))
+        shares = [end[3] for end, _ in rows] or [1.0]
+        whole = []
+        for word in by_count(x for x in lexicon if x.isalpha() and len(x) >= 4):
+            cuts = range(2, len(word) - 1)
+            whole.append((word, rng.choice(cuts)))
+            words = [k for k in cuts if known(word[:k], lexicon) and known(word[k:], lexicon)]
+            if words:
+                whole.append((word, rng.choice(words)))
+        rows += [((x[:k], "-", x[k:], rng.choice(shares)), 1.0) for x, k in whole]
+        split = by_count(compounds)
+        for x in split * max(1, len(whole) // (4 * len(split))) if split else ():
+            a, b = x.split("-")
+            rows.append(((a, "-", b, rng.choice(shares)), 0.0))
+        both = []
+        for end, y in rows:
+            a, b = halves(end[0], end[2])
+            both.append((self.features(*end, lexicon), y))
+            if crc32((a + b if y else f"{a}-{b}").lower().encode()) % 2:
+                both.append((self.features(*end, lexicon, True), y))
+        self.chars = CharModel(parts)
+        self.w: np.ndarray | None = None  # no example of either kind: the counts decide
+        if len({y for _, y in both}) == 2:
+            self.w = logistic(np.array([x for x, _ in both]), np.array([y for _, y in both]))
+
+    def features(self, left: str, mark: str, right: str, share: float, lexicon: dict[str, int], hidden: bool = False) -> list[float]:
+        a, b = halves(left, right)
+        whole, compound, na, nb = known(a + b, lexicon), known(f"{a}-{b}", lexicon), known(a, lexicon), known(b, lexicon)
+        own = bool(compound)
+        if hidden:
+            whole = compound = 0
+        x, y, p = a.lower(), b.lower(), self.chars.p
+        head = ("^^" + x)[-2:]
+        inside = p.get(head + y[0], -8.0) + p.get((head[-1] + y + "$")[:3], -8.0)
+        apart = p.get(head + "$", -8.0) + p.get("^^" + y[0], -8.0) + p.get(("^" + y + "$")[:3], -8.0)
+        return [
+            max(-4.0, min(4.0, math.log((whole + 0.5) / (compound + 0.5)))),
+            float(whole > 0),
+            float(compound > 0),
+            float(na > 0),
+            float(nb > 0),
+            float(na > 0 and nb > 0),
+            float(not (whole or compound) and na > 0 and nb > 0),
+            float(mark in "‐‑"),
+            float(mark in "¬\xad"),
+            (inside - apart) / 8,
+            self.chars(x + y) / 4,
+            math.log1p(max(0, self.heads[x] - own)),
+            math.log1p(max(0, self.tails[y] - own)),
+            float(b[0].isupper()),
+            float(a[:1].isupper()),
+            min(len(a), 6) / 6,
+            min(len(b), 6) / 6,
+            min(share, 1.2),
+            1.0,
+        ]
+
+    def __call__(self, left: str, mark: str, right: str, share: float, lexicon: dict[str, int]) -> bool:
+        a, b = halves(left, right)
+        if not a or not b or not b[0].isalpha():
+            return False
+        if self.w is None:
+            return joins(left, mark, right, lexicon)
+        key = (a, mark, b, round(share, 1))
+        got = self.memo.get(key)
+        if got is None:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            got = self.memo[key] = float(np.dot(self.features(a, mark, b, key[3], lexicon), self.w)) > 0
+        return got
+
+
+def examine(text: str, w: np.ndarray, lexicon: dict[str, int], model: JoinModel) -> tuple[set[int], set[int], list[tuple[int, str, str | None]]]:
     """(running lines, lines with a broken word, (line, word, right or None if yet unknown)), lines from 0."""
     lines = text.split("\n")
     run = running_lines(lines, w)
+    width = full_width(lines)
     body = [i for i, s in enumerate(lines) if i not in run and s and not s.isspace()]
     broken: set[int] = set()
     odd: list[tuple[int, str, str | None]] = []
@@ -498,7 +636,7 @@ def examine(text: str, w: np.ndarray, lexicon: dict[str, int]) -> tuple[set[int]
             nxt = lines[body[k + 1]].split()[0]
             left, mark = tokens[-1][:-1], tokens[-1][-1]
             skip_first = True
-            if joins(left, mark, nxt, lexicon):
+            if model(left, mark, nxt, len(lines[i].strip()) / width, lexicon):
                 broken.add(i)
                 whole = core(left + nxt)
                 if not known(whole, lexicon):
@@ -517,7 +655,7 @@ def examine(text: str, w: np.ndarray, lexicon: dict[str, int]) -> tuple[set[int]
 NOISE = "pdf_id bigint, line_no int, noise string, word string, right string, next_line int"
 
 
-def scan_lines(ids: list[int], texts: list[str | None], w: np.ndarray, lexicon: dict[str, int]) -> dict[str, list]:
+def scan_lines(ids: list[int], texts: list[str | None], w: np.ndarray, lexicon: dict[str, int], model: JoinModel) -> dict[str, list]:
     out = {k: [] for k in ("pdf_id", "line_no", "noise", "word", "right", "next_line")}
 
     def add(*row):
@@ -527,7 +665,7 @@ def scan_lines(ids: list[int], texts: list[str | None], w: np.ndarray, lexicon:
     for i, t in zip(ids, texts):
         if not t or t.isspace():
             continue
-        run, broken, odd = examine(t, w, lexicon)
+        run, broken, odd = examine(t, w, lexicon, model)
         lines = t.split("\n")
         body = [k for k, s in enumerate(lines) if k not in run and s and not s.isspace()]
         after = dict(zip(body, body[1:]))
@@ -544,7 +682,7 @@ class Scans:
     """The models fitted to one corpus, and the tables they give."""
 
     def __init__(self, pdfs: DataFrame, max_sample: int = 400):
-        """pdfs(pdf_id, content).  The line classifier is trained on at most max_sample documents."""
+        """pdfs(pdf_id, content).  The line classifiers are trained on at most max_sample documents."""
         self.pdfs = pdfs.select("pdf_id", "content").where("pdf_id is not null and content is not null")
         spark = pdfs.sparkSession
 
@@ -563,8 +701,9 @@ class Scans:
         self.corrections = stored(find_corrections(self.words, frequent, ranker), "corrections")
         wrong = {r[0] for r in self.corrections.join(frequent, "word").select("word").collect()}
         good = {w: n for w, n in lexicon.items() if w not in wrong}
-        weights = train_lines([r[0] for r in self.pdfs.select("content").limit(max_sample).collect()])
-        self.box = spark.sparkContext.broadcast((weights, good))
+        sample = [r[0] for r in self.pdfs.select("content").limit(max_sample).collect()]
+        weights = train_lines(sample)
+        self.box = spark.sparkContext.broadcast((weights, good, JoinModel(good, sample, weights)))
         self.ranker = ranker
 
     def noise(self) -> DataFrame:
@@ -593,15 +732,16 @@ class Scans:
         docs = self.pdfs.dropDuplicates(["pdf_id"]).join(per, "pdf_id", "left").select("pdf_id", "content", "fixes")
 
         def run(ids, texts, lists):
-            weights, lexicon = box.value
-            return {"pdf_id": ids, "content": [repair(t, {f["word"]: f["right"] for f in fs or ()}, weights, lexicon) for t, fs in zip(texts, lists)]}
+            weights, lexicon, model = box.value
+            return {"pdf_id": ids, "content": [repair(t, {f["word"]: f["right"] for f in fs or ()}, weights, lexicon, model) for t, fs in zip(texts, lists)]}
 
         return map_batches(docs, "pdf_id bigint, content string", run)
 
 
-def repair(text: str, fixes: dict[str, str], w: np.ndarray, lexicon: dict[str, int]) -> str:
+def repair(text: str, fixes: dict[str, str], w: np.ndarray, lexicon: dict[str, int], model: JoinModel) -> str:
     lines = text.split("\n")
     run = running_lines(lines, w)
+    width = full_width(lines)
     fixes = {k.replace("\n", ""): v for k, v in fixes.items()}
 
     def mend(token: str) -> str:
@@ -612,7 +752,7 @@ def repair(text: str, fixes: dict[str, str], w: np.ndarray, lexicon: dict[str, i
         return token
 
     out: list[list[str]] = [[]]
-    pending: tuple[str, str] | None = None
+    pending: tuple[str, str, float] | None = None
     for i, line in enumerate(lines):
         if i in run:
             continue
@@ -622,13 +762,13 @@ def repair(text: str, fixes: dict[str, str], w: np.ndarray, lexicon: dict[str, i
                 out.append([])
             continue
         if pending:
-            left, mark = pending
-            tokens[0] = left + tokens[0] if joins(left, mark, tokens[0], lexicon) else f"{left}{mark}{tokens[0]}"
+            left, mark, share = pending
+            tokens[0] = left + tokens[0] if model(left, mark, tokens[0], share, lexicon) else f"{left}{mark}{tokens[0]}"
             pending = None
         if tokens[-1][-1] in MARKS and len(tokens[-1]) > 1 and tokens[-1][-2].isalpha():
-            pending = tokens[-1][:-1], tokens[-1][-1]
+            pending = tokens[-1][:-1], tokens[-1][-1], len(line.strip()) / width
             tokens = tokens[:-1]
         out[-1].extend(map(mend, tokens))
     if pending:
-        out[-1].append("".join(pending))
+        out[-1].append("".join(pending[:2]))
     return "\n\n".join(" ".join(p) for p in out if p)

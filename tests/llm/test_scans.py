@@ -68,6 +68,19 @@ def test_joins():
     assert not S.joins("rain", "-", "barrel", lex) and S.joins("xy", "¬", "zz", lex) and not S.joins("brid", "-", "", lex)
 
 
+HEADS, TAILS = "rain garden river stone well long short late".split(), "barrel gate bank wall term dated fed drained".split()
+WHOLES = "overcame overgrown overland overload overlap overcast overhead overtake income outcome become welcome became residue subdue pursue tissue within without outside output outline outlook inside insight midway midnight undergo".split()
+
+
+def test_join_classifier_on_words_the_lexicon_lacks():
+    lexicon = {w: 400 - k for k, w in enumerate(WORDS + WHOLES)} | dict.fromkeys("over look come out in side with and for".split() + HEADS + TAILS, 300)
+    lexicon |= {f"{a}-{b}": 60 for i, a in enumerate(HEADS) for j, b in enumerate(TAILS) if (i + j) % 3}
+    model = S.JoinModel(lexicon, [], S.train_lines([]))
+    assert not S.joins("over", "-", "look", lexicon) and model("over", "-", "look", 1.0, lexicon)
+    assert not model("garden", "-", "look", 1.0, lexicon)
+    assert model("brid", "-", "ge", 1.0, lexicon) and not model("rain", "-", "gate", 1.0, lexicon) and not model("brid", "-", "", 1.0, lexicon)
+
+
 def test_frame(spark):
     docs = corpus()
     lines = docs[3][1].split("\n")
