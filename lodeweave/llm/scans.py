@@ -143,6 +143,7 @@ class CharModel:
                 bi[s[i : i + 2]] += k
         self.p = {t: math.log((n + 0.01) / (bi[t[:2]] + 0.5)) for t, n in tri.items()}
         self.memo: dict[str, float] = {}
+        self.total = max(1, sum(lexicon.values()))
 
     def __call__(self, w: str) -> float:
         got = self.memo.get(w)
@@ -159,8 +160,8 @@ def pair_features(w: str, c: str, nw: int, nc: int, model: CharModel) -> list[fl
     return [
         _visual(x, y),
         float(max(len(x), len(y))),
-        math.log((nc + 1) / (nw + 1)),
-        math.log1p(nw),
+        math.log(nc / nw),
+        math.log(max(nw / model.total, RARE)),  # both are alike at every size of the corpus
         float(len(w)),
         float(w[:1] == c[:1]),
         float(seen_odd),
@@ -240,7 +241,7 @@ def misread(word: str, rng: random.Random) -> str | None:
     return word[:i] + b + word[i + len(a) :]
 
 
-def train_ranker(lexicon: dict[str, int], rare: list[str], most: int = 3000, seed: int = 7) -> tuple[BoostedTrees, CharModel]:
+def train_ranker(lexicon: dict[str, int], rare: dict[str, int] | list[str], most: int = 3000, seed: int = 7) -> tuple[BoostedTrees, CharModel]:
     """Train on at most ``most`` words of the lexicon, misread on purpose, and as many pairs of words that are both right."""
     model, rng = CharModel(lexicon), random.Random(seed)
     common = sorted((w for w, n in lexicon.items() if len(w) >= 3 and w.isalpha()), key=lambda w: (-lexicon[w], w))[: 2 * most]
@@ -250,32 +251,51 @@ def train_ranker(lexicon: dict[str, int], rare: list[str], most: int = 3000, see
             w = misread(c, rng)
             if w and w not in lexicon:
                 nc = lexicon[c]
-                nw = int(math.exp(rng.uniform(0, math.log(max(1.0, nc / 120)))))
-                x.append(pair_features(w, c, nw, nc, model))
+                ratio = math.exp(rng.uniform(math.log(LIKELY), max(math.log(2 * LIKELY), math.log(model.total) - 6)))
+                if nc / ratio > 3 * RARE * model.total:
+                    ratio *= 10  # seldom is one misreading as frequent as that
+                x.append(pair_features(w, c, nc / ratio, nc, model))
                 y.append(1.0)
     grams: dict[str, list[str]] = {}
     for c in common:
         for q in qgrams(c):
             grams.setdefault(q, []).append(c)
     right = [w for w in rare if w.isalpha()][:most] + common[-most:]
+    counts = {**dict.fromkeys(rare, 1), **(rare if isinstance(rare, dict) else {}), **lexicon}
     for w in rng.sample(right, min(most, len(right))):
         near = Counter(c for q in qgrams(w) for c in grams.get(q, ()) if c != w and abs(len(c) - len(w)) <= 1)
         for c, _ in near.most_common(2):
             _, a, b = differing(w, c)
             if w not in lexicon and _visual(a, b) <= 0.6 and (w.islower() or model(w) < -3.5):
                 continue  # may well be misread
-            if w in lexicon and _visual(a, b) <= 0.6 and rng.random() > 0.1:
-                continue  # words that are both right and look alike are seldom
-            x.append(pair_features(w, c, int(math.exp(rng.uniform(0, 3))), lexicon[c], model))
+            if w in lexicon and _visual(a, b) <= 0.6:
+                if LEAST_RATIO * lexicon[w] <= lexicon[c] < LIKELY * lexicon[w]:
+                    x.append(pair_features(w, c, lexicon[w], lexicon[c], model))  # too frequent for a misreading
+                    y.append(0.0)
+                if rng.random() > 0.1:
+                    continue  # words that are both right and look alike are seldom
+            x.append(pair_features(w, c, counts[w], max(lexicon[c], LEAST_RATIO * counts[w]), model))
             y.append(0.0)
+    # so frequent a word is right although a look-alike is up to 100 times as frequent; such pairs are few, hence the copies
+    for w in (w for w, n in lexicon.items() if n > 3 * RARE * model.total and len(w) >= 3 and w.isalpha()):
+        near = {w[:i] + b + w[i + len(a) :] for a, b in _VISUAL for i in range(len(w)) if w.startswith(a, i)}
+        for c in sorted(near):
+            if LEAST_RATIO * lexicon[w] <= lexicon.get(c, 0) < 100 * lexicon[w]:
+                x += [pair_features(w, c, lexicon[w], lexicon[c], model)] * 30
+                y += [0.0] * 30
     if len(set(y)) < 2:
         x, y = [[0.3] + [0.0] * 11, [9.0] + [0.0] * 11], [1.0, 0.0]
     return BoostedTrees().fit(np.array(x), np.array(y)), model
 
 
+RARE = 3e-5  # share of all occurrences; rarer words are alike to the ranker
+LEAST_RATIO = 5  # a right form is so many times as frequent as a misread one, whatever the size of the corpus
+LIKELY = 30  # the ratio from which on words are misread on purpose; what lies between is left to the ranker
+
+
 def enough(n, n_right):
-    """Whether a candidate is so much more frequent that the word can be a misreading of it (Columns or numbers)."""
-    return (n_right >= 5 * n) & ((n <= 3) | (n_right >= 20 * n)) & ((n <= 20) | (n_right >= 100 * n))
+    """Whether a candidate is so much more frequent that the ranker is asked (Columns or numbers)."""
+    return n_right >= LEAST_RATIO * n
 
 
 def find_corrections(words: DataFrame, lexicon: DataFrame, ranker) -> DataFrame:
@@ -300,8 +320,6 @@ def find_corrections(words: DataFrame, lexicon: DataFrame, ranker) -> DataFrame:
     low = exploded(words.where(F.length("word") >= 3), False)
     high = exploded(lexicon.where(F.length("word") >= 3), True).withColumnsRenamed({"word": "right", "n": "n_right"})
     met = low.join(high, ["gram", "size"]).where(enough(F.col("n"), F.col("n_right")) & (F.lower("word") != F.lower("right")))
-    # a name that stands several times is a name of its own unless the other is far more frequent
-    met = met.where(~(F.col("word").rlike("^[A-Z][a-z]+$") & (F.col("n") >= 3) & (F.col("n_right") < F.col("n") * 100)))
     # one confusion changes at most four q-grams of three, or three of two
     pairs = met.groupBy("word", "right", "n", "n_right").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.greatest(F.lit(1), F.length("word") - F.when(F.length("word") <= 5, 3).otherwise(4)))
 
@@ -695,8 +713,9 @@ class Scans:
         total = self.words.agg(F.sum("n")).first()[0] or 0
         self.least = max(4, total // 1_000_000)
         frequent = self.words.where(F.col("n") >= self.least)
-        lexicon = {r[0]: r[1] for r in frequent.collect()}  # at most 10^6 entries, by the threshold
-        rare = [r[0] for r in self.words.where(F.col("n") < self.least).limit(3000).collect()]
+        lexicon = dict(sorted((r[0], r[1]) for r in frequent.collect()))  # at most 10^6 entries, by the threshold
+        few = self.words.where(F.col("n") < self.least).orderBy(F.xxhash64("word"), "word").limit(3000)
+        rare = {r[0]: r[1] for r in few.collect()}
         ranker = train_ranker(lexicon, rare)
         self.corrections = stored(find_corrections(self.words, frequent, ranker), "corrections")
         wrong = {r[0] for r in self.corrections.join(frequent, "word").select("word").collect()}

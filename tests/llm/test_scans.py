@@ -57,6 +57,20 @@ def test_ranker_on_held_out_words():
     assert ok >= 0.9 * n
 
 
+def test_candidates_at_every_size_of_the_corpus(spark):
+    lexicon = {w: 4000 - 7 * i for i, w in enumerate(WORDS)} | {"now": 300, "how": 2700}
+    wrong = {"br1dge": ("bridge", 60), "quest1on": ("question", 45), "irnportant": ("important", 80), "Kolvarn": ("Kolvam", 30)}
+    got = []
+    for times in (1, 10, 100):
+        right = {w: n * times for w, n in lexicon.items()} | {"Kolvam": 150 * times}
+        words = right | {w: max(1, right[c] // r) for w, (c, r) in wrong.items()}
+        frame = lambda d: spark.createDataFrame(list(d.items()), "word string, n bigint")
+        ranker = S.train_ranker(right, {})
+        got.append({r.word: r.right for r in S.find_corrections(frame(words), frame(right), ranker).collect()})
+        assert S.enough(words["br1dge"], right["bridge"])
+    assert got[0] == got[1] == got[2] and got[0]["br1dge"] == "bridge" and got[0]["quest1on"] == "question" and "now" not in got[0]
+
+
 def test_numbers():
     assert S.number_of("l98O") == "1980" and S.number_of("B12") is None or S.number_of("B12") == "812"
     assert S.number_of("3g7") == "397" and S.number_of("abc") is None and S.number_of("123") is None
