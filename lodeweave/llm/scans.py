@@ -1,7 +1,8 @@
 """Noise in text from scanned pages: running lines, broken words, misread characters; repair into paragraphs.
 
 1. Word counts over the whole corpus.  Words with at least ``max(4, N / 10^6)`` of the N occurrences are the
-   lexicon; by that threshold it has 10^6 entries at most, which is the bound on what is broadcast.
+   lexicon; by that threshold it has 10^6 entries at most, which is the bound on what is broadcast.  Right forms
+   are all words that stand four times; they are joined, not broadcast.
 2. Every word gets correction candidates by an inverted join on character q-grams; gradient-boosted trees, trained
    on words misread on purpose, rank the candidates, and the best one replaces the word if it scores over one half.
 3. A logistic classifier over each line and its neighbours tells running lines (headers, footers, page numbers)
@@ -288,6 +289,7 @@ def train_ranker(lexicon: dict[str, int], rare: dict[str, int] | list[str], most
     return BoostedTrees().fit(np.array(x), np.array(y)), model
 
 
+LEAST_COUNT = 4  # of a right form, whatever the size of the corpus
 RARE = 3e-5  # share of all occurrences; rarer words are alike to the ranker
 LEAST_RATIO = 5  # a right form is so many times as frequent as a misread one, whatever the size of the corpus
 LIKELY = 30  # the ratio from which on words are misread on purpose; what lies between is left to the ranker
@@ -627,7 +629,7 @@ def examine(text: str, w: np.ndarray, lexicon: dict[str, int], model: JoinModel)
     """(running lines, lines with a broken word, (line, word, right or None if yet unknown)), lines from 0."""
     lines = text.split("\n")
     run = running_lines(lines, w)
-    width = full_width(lines)
+    width = 0
     body = [i for i, s in enumerate(lines) if i not in run and s and not s.isspace()]
     broken: set[int] = set()
     odd: list[tuple[int, str, str | None]] = []
@@ -653,6 +655,7 @@ def examine(text: str, w: np.ndarray, lexicon: dict[str, int], model: JoinModel)
         if tokens and tokens[-1][-1] in MARKS and len(tokens[-1]) > 1 and _LETTERS.search(tokens[-1][-2]) and k + 1 < len(body):
             nxt = lines[body[k + 1]].split()[0]
             left, mark = tokens[-1][:-1], tokens[-1][-1]
+            width = width or full_width(lines)
             skip_first = True
             if model(left, mark, nxt, len(lines[i].strip()) / width, lexicon):
                 broken.add(i)
@@ -711,13 +714,14 @@ class Scans:
         counts = map_batches(self.pdfs.select("content"), "word string, n bigint", count).groupBy("word").agg(F.sum("n").alias("n"))
         self.words = stored(counts, "words")
         total = self.words.agg(F.sum("n")).first()[0] or 0
-        self.least = max(4, total // 1_000_000)
+        self.least = max(LEAST_COUNT, total // 1_000_000)  # of the lexicon that is broadcast
+        self.rights = self.words.where(F.col("n") >= LEAST_COUNT)
         frequent = self.words.where(F.col("n") >= self.least)
         lexicon = dict(sorted((r[0], r[1]) for r in frequent.collect()))  # at most 10^6 entries, by the threshold
         few = self.words.where(F.col("n") < self.least).orderBy(F.xxhash64("word"), "word").limit(3000)
         rare = {r[0]: r[1] for r in few.collect()}
         ranker = train_ranker(lexicon, rare)
-        self.corrections = stored(find_corrections(self.words, frequent, ranker), "corrections")
+        self.corrections = stored(find_corrections(self.words, self.rights, ranker), "corrections")
         wrong = {r[0] for r in self.corrections.join(frequent, "word").select("word").collect()}
         good = {w: n for w, n in lexicon.items() if w not in wrong}
         sample = [r[0] for r in self.pdfs.select("content").limit(max_sample).collect()]
@@ -734,7 +738,7 @@ class Scans:
         # words broken at a line end were not counted whole: they get candidates of their own
         split = unknown.where(F.col("word").contains("\n"))
         fresh = split.select(F.col("key").alias("word")).groupBy("word").agg(F.count("*").alias("n")).join(self.words.select("word"), "word", "left_anti")
-        more = find_corrections(fresh, self.words.where(F.col("n") >= self.least), self.ranker)
+        more = find_corrections(fresh, self.rights, self.ranker)
         fixes = self.corrections.unionByName(more).withColumnsRenamed({"word": "key", "right": "fix"})
         found = unknown.drop("right").join(fixes, "key")
         cut = F.instr("word", "\n") - 1

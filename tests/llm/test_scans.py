@@ -115,6 +115,17 @@ def test_frame(spark):
     assert fixed[100] == fixed[3] and "Page" not in fixed[100] and "important" in fixed[100]
 
 
+def test_right_forms_below_the_broadcast_lexicon(spark, monkeypatch):
+    rows = [(k, x) for k, x in corpus()] + [(200 + k, "The wonderful marmalade of yesterday.") for k in range(6)] + [(300, "The wonderful rnarmalade of yesterday.")]
+    df = spark.createDataFrame(rows, "pdf_id bigint, content string")
+    whole = S.Scans(df)
+    monkeypatch.setattr(S, "max", lambda *a: 50 if len(a) == 2 and a[0] == 4 else max(*a), raising=False)  # as N / 10^6 is in a large corpus
+    cut = S.Scans(df)
+    assert cut.least == 50 and whole.least == 4
+    found = lambda s: {(r.word, r.right) for r in s.corrections.where("right = 'marmalade'").collect()}
+    assert found(cut) == found(whole) == {("rnarmalade", "marmalade")}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "pdf_id bigint, content string")
     assert S.Scans(df).noise().count() == 0
