@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -168,12 +169,28 @@ def main_text(html: str | None) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(out))).strip()
 
 
-def markdown(html: str | None) -> str:
-    """Markdown of a page: headings, lists, links, emphasis, code and quotes."""
+# Signs that Markdown would read: anywhere, and at the head of a text.
+_SIGN = re.compile(r"[\\*`_\[\]]")
+_HEAD = re.compile(r"^(?=[->]|=+|~~~|#{1,6} |\+ )")
+_HEAD_NUMBER = re.compile(r"^(\d+)\. ")
+
+
+def escaped(text: str) -> str:
+    return _HEAD_NUMBER.sub(r"\1\\. ", _HEAD.sub(r"\\", _SIGN.sub(r"\\\g<0>", text)))
+
+
+def main_markdown(html: str | None) -> str:
+    """Markdown of the main part of a page, without menus and scripts."""
+    root = parse(html)
+    return markdown(_MAIN.first(root) or _BODY.first(root) or root, lambda n: n.tag == "title" or _DROPPED.matches(n))
+
+
+def markdown(html: str | None | Node, drop: Callable[[Node], bool] = lambda n: False) -> str:
+    """Markdown of a page: headings, lists, links, emphasis, code and quotes, without what is to be dropped."""
 
     def inline(n: Node | str) -> str:
         if isinstance(n, str):
-            return re.sub(r"\s+", " ", n)
+            return escaped(re.sub(r"\s+", " ", n))
         inner = "".join(inline(c) for c in n.children)
         if n.tag in ("strong", "b"):
             return f"**{inner.strip()}**" if inner.strip() else ""
@@ -199,6 +216,8 @@ def markdown(html: str | None) -> str:
                 out.append(prefix + s)
 
         for i, c in enumerate(n.children):
+            if not isinstance(c, str) and drop(c):
+                continue
             if isinstance(c, str) or (c.tag not in BLOCKS and c.tag not in ("script", "style", "iframe", "noscript", "html", "head", "#root")):
                 held.append(inline(c))
                 continue
@@ -211,7 +230,7 @@ def markdown(html: str | None) -> str:
                 out.append(f"{prefix}```\n{c.text().strip()}\n```")
             elif c.tag in ("ul", "ol"):
                 items = [x for x in c.children if isinstance(x, Node) and x.tag == "li"]
-                lines = [f"{prefix}{'- ' if c.tag == 'ul' else f'{k}. '}{inline(x).strip()}" for k, x in enumerate(items, 1)]
+                lines = [f"{prefix}{'-   ' if c.tag == 'ul' else f'{k}.  '}{inline(x).strip()}" for k, x in enumerate(items, 1)]
                 if lines:
                     out.append("\n".join(lines))
             elif c.tag == "blockquote":
@@ -220,5 +239,5 @@ def markdown(html: str | None) -> str:
                 block(c, prefix)
         flush()
 
-    block(parse(html))
+    block(html if isinstance(html, Node) else parse(html))
     return "\n\n".join(out)

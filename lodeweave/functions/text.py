@@ -20,6 +20,7 @@ AD_MARKERS = {
 }
 # Sources of an abstract, best first, as (attribute, value).
 ABSTRACT_SOURCES = (("name", "citation_abstract"), ("name", "dc.description"), ("name", "description"), ("property", "og:description"))
+# Fixed value: the ending of cut snippets.
 READ_MORE = r"(?iu)\s*(?:\.{3}|…)?\s*(?:Read more|More results|더보기)\s*$"
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
 
@@ -99,6 +100,11 @@ def abstract(html: Column | str, least: int = 80) -> Column:
     return F.coalesce(*tries)
 
 
+def citation_pdf(html: Column | str) -> Column:
+    """Address of the PDF that a page's meta tags name, as written there; NULL if there is none."""
+    return meta_content(html, "name", "citation_pdf_url")
+
+
 def pdf_address(url: Column | str) -> Column:
     """Address of the PDF behind an article page of three kinds of sites; NULL for other pages."""
     u = col(url)
@@ -135,9 +141,13 @@ def url_guard(url: Column | str, allow_private: bool = False) -> Column:
     return out
 
 
+# The lines around untrusted text.
+FENCE = ("--- BEGIN UNTRUSTED CONTENT ---", "--- END UNTRUSTED CONTENT ---")
+
+
 def fence(x: Column | str) -> Column:
-    """Untrusted text between markers."""
-    return F.concat(F.lit("<untrusted>\n"), col(x), F.lit("\n</untrusted>"))
+    """Untrusted text between marker lines."""
+    return F.concat(F.lit(f"\n{FENCE[0]}\n"), col(x), F.lit(f"\n{FENCE[1]}\n"))
 
 
 def is_pdf(body: Column | str, content_type: Column | str) -> Column:

@@ -42,7 +42,7 @@ def gate_b(selector: Column, source: Column) -> Column:
     return (
         F.when(F.coalesce(F.length(selector), F.lit(0)) < 3, "selector too short or empty")
         .when(selector.rlike(r"(?i)#tads|#tadsb|\[data-text-ad\]"), "matches ad selectors")
-        .when((source == "class-fallback") & ~selector.rlike(r"\[(data-ved|jscontroller|data-hveid)\]"), "class-only fallback")
+        .when((source == "class-fallback") & ~selector.rlike(r"\[(data-ved|jscontroller|data-hveid)\]"), "class-only fallback (less stable)")
     )
 
 
@@ -53,10 +53,23 @@ def gate_c(confidence: Column, decision: Column) -> Column:
 def trials(queries: DataFrame, least: int = 3) -> DataFrame:
     """queries(query_id, results, mean_confidence) with passed and reason."""
     mean = F.coalesce("mean_confidence", F.lit(0.0))
-    reason = F.when(F.col("results") < least, "too few results").when(mean < 0.5, "low confidence")
+    few = F.concat(F.lit("results count "), F.col("results").cast("string"), F.lit(f" < min {least}"))
+    reason = F.when(F.col("results") < least, few).when(mean < 0.5, F.format_string("geometric mean %.2f < 0.5", mean))
     return queries.withColumns({"passed": reason.isNull(), "reason": reason})
 
 
+def triple_gate(layouts: DataFrame, proposals: DataFrame, key: str) -> DataFrame:
+    """(key, a, b, c, passed): the three gates of each proposal together.
+
+    layouts: what gate_a gives by key; a proposal without a layout fails the first gate.
+    proposals(key, selector, source, confidence, decision).
+    """
+    b, c = gate_b(F.col("selector"), F.col("source")).isNull(), gate_c(F.col("confidence"), F.col("decision"))
+    both = proposals.select(key, b.alias("b"), F.coalesce(c, F.lit(False)).alias("c")).join(layouts.select(key, F.col("passed").alias("_a")), key, "left")
+    a = F.coalesce("_a", F.lit(False))
+    return both.select(key, a.alias("a"), "b", "c", (a & F.col("b") & F.col("c")).alias("passed"))
+
+
 def verdict(passed: Column, total: Column) -> Column:
     return F.when((passed == total) & (total >= 3), "apply").when(passed >= 2, "caution_flag").otherwise("escalate")
 
@@ -67,16 +80,24 @@ def decision(gates_passed: Column, verdict_: Column) -> Column:
     return F.struct(go.alias("open"), (go & (verdict_ == "caution_flag")).alias("caution"))
 
 
-def offline_choice(first_selector: Column) -> Column:
-    """The choice made without a model: the first candidate, or a fixed selector."""
+def offline_choice(first_selector: Column, reason: str = "SURF_LLM_HEAL not enabled") -> Column:
+    """The choice made without a model: the first candidate, or a fixed selector.  reason: why no model was asked."""
+    any_ = first_selector.isNotNull()
     return F.struct(
-        F.when(first_selector.isNotNull(), "approve_candidate").otherwise("propose_new").alias("decision"),
+        F.when(any_, "approve_candidate").otherwise("propose_new").alias("decision"),
         F.coalesce(first_selector, F.lit("[data-ved] h3")).alias("selector"),
+        F.when(any_, f"[mock] {reason}, defaulting to first candidate").otherwise(f"[mock] {reason}, fallback to data-ved anchor").alias("rationale"),
         F.lit("low").alias("confidence"),
         F.lit(5).alias("expected_min_blocks"),
     )
 
 
+def offline_choices(pages: DataFrame, selectors: DataFrame) -> DataFrame:
+    """The choice for each of pages(page_id) among what synthesize gives with a page_id; the first by element and place."""
+    first = selectors.groupBy("page_id").agg(F.min_by("selector", F.struct("element_id", "place")).alias("_first"))
+    return pages.join(first, "page_id", "left").select("page_id", offline_choice(F.col("_first")).alias("c")).select("page_id", "c.*")
+
+
 def report(selector: Column, verdict_: Column, lines: Column) -> Column:
     """Text of a change proposal with one line for each trial."""
     return F.concat_ws("\n", F.concat(F.lit("Selector: "), selector), F.concat(F.lit("Verdict: "), verdict_), F.array_join(lines, "\n"))

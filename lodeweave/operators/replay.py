@@ -36,15 +36,22 @@ def fold(df: DataFrame, key: str, order: list[str], schema: str, start: Callable
 
 
 def admissions(requests: DataFrame, per: int, window_us: int) -> DataFrame:
-    """(key, request_id, granted) for requests(key, at_us, request_id): at most ``per`` grants in the time before."""
+    """(key, request_id, granted, recent, retry_after_us) for requests(key, at_us, request_id).
+
+    At most ``per`` grants stand in any window.  recent: grants in the window once the request is decided;
+    retry_after_us: how long a request that comes then has to wait, 0 below the limit.  Only grants count.
+    """
 
     def step(grants, key, at, request):
         live = [g for g in grants if g > at - window_us]
-        if len(live) < per:
-            return [*live, at], (key, request, True)
-        return live, (key, request, False)
+        granted = len(live) < per
+        if granted:
+            live.append(at)
+        wait = max(0, window_us - (at - live[0])) + 5_000 if len(live) >= per else 0
+        return live, (key, request, granted, len(live), wait)
 
-    return fold(requests.select("key", "at_us", "request_id"), "key", ["at_us", "request_id"], "key bigint, request_id bigint, granted boolean", list, step)
+    schema = "key bigint, request_id bigint, granted boolean, recent int, retry_after_us bigint"
+    return fold(requests.select("key", "at_us", "request_id"), "key", ["at_us", "request_id"], schema, list, step)
 
 
 def queued_admissions(requests: DataFrame, per: int, window_us: int, wait_us: int) -> DataFrame:
@@ -75,26 +82,62 @@ def cache_replay(reads: DataFrame, ttl_us: int | None) -> DataFrame:
     return fold(reads.select("key", "at_us", "request_id"), "key", ["at_us", "request_id"], "key bigint, request_id bigint, hit boolean", lambda: None, step)
 
 
-def cascade_replay(events: DataFrame, retries: int = 2) -> DataFrame:
-    """(key, request_id, mode, failures) after each event(key, at_us, request_id, captcha).
+def cascade_replay(attempts: DataFrame, first: int = 1, second: int = 2) -> DataFrame:
+    """(key, request_id, mode, failures, off, on, step) after each of attempts(key, at_us, request_id, captcha).
 
-    Off turns on with the first captcha; on counts captchas and goes to the third tier at ``retries``; success resets.
+    A captcha counts in its mode.  Off turns on at ``first`` of them; on asks for the third tier at ``second``, which
+    starts its count again and leaves it on.  A success changes nothing.  off, on: captchas so far in each mode;
+    step: what the captcha led to ('on', 'retry', 'tier3', 'fail'), NULL for a success.
     """
 
     def step(state, key, at, request, captcha):
-        mode, n = state
+        mode, n, off, on = state
+        made = None
         if captcha:
+            n += 1
+            off, on = (off + 1, on) if mode == "off" else (off, on + 1)
             if mode == "off":
-                mode, n = "on", 0
-            elif n + 1 >= retries:
-                mode, n = "tier3", 0
+                made = "fail"
+                if n >= first:
+                    mode, n, made = "on", 0, "on"
             else:
-                n += 1
-        else:
-            n = 0
-        return (mode, n), (key, request, mode, n)
+                made = "retry"
+                if n >= second:
+                    n, made = 0, "tier3"
+        return (mode, n, off, on), (key, request, mode, n, off, on, made)
+
+    schema = "key bigint, request_id bigint, mode string, failures int, off int, on int, step string"
+    return fold(attempts.select("key", "at_us", "request_id", "captcha"), "key", ["at_us", "request_id"], schema, lambda: ("off", 0, 0, 0), step)
+
+
+def name_lookups(lookups: DataFrame, life_us: int = 300_000_000) -> DataFrame:
+    """(key, request_id, address, asked) for lookups(key, at_us, request_id, address): a name's address is kept for its life.
+
+    key: the name; address: what the name server would say then, NULL if it fails, which is not kept.
+    """
+
+    def step(held, key, at, request, address):
+        if held is not None and held[1] > at:
+            return held, (key, request, held[0], False)
+        return ((address, at + life_us) if address is not None else None), (key, request, address, True)
+
+    schema = "key string, request_id bigint, address string, asked boolean"
+    return fold(lookups.select("key", "at_us", "request_id", "address"), "key", ["at_us", "request_id"], schema, lambda: None, step)
 
-    return fold(events.select("key", "at_us", "request_id", "captcha"), "key", ["at_us", "request_id"], "key bigint, request_id bigint, mode string, failures int", lambda: ("off", 0), step)
+
+def failure_budget(events: DataFrame, most: int = 3) -> DataFrame:
+    """(key, request_id, failures, given_up) for rebuilds(key, at_us, request_id, failed): a success starts the count again.
+
+    From ``most`` failures in a row on, nothing is tried any more and the count stays.
+    """
+
+    def step(n, key, at, request, failed):
+        if n < most:
+            n = n + 1 if failed else 0
+        return n, (key, request, n, n >= most)
+
+    schema = "key bigint, request_id bigint, failures int, given_up boolean"
+    return fold(events.select("key", "at_us", "request_id", "failed"), "key", ["at_us", "request_id"], schema, int, step)
 
 
 def longest_failure_run(events: DataFrame, key: str, order: list[str], failed: str, limit: int = 3) -> DataFrame:
@@ -105,19 +148,6 @@ def longest_failure_run(events: DataFrame, key: str, order: list[str], failed: s
     return runs.groupBy(key).agg(F.max("_n").alias("longest"), (F.max("_n") >= limit).alias("falls_back"))
 
 
-def recent_counts(events: DataFrame, key: str, at: str, window: str) -> DataFrame:
-    """Events of the key in the open interval before and up to each event.  window: an interval a microsecond short of it."""
-    frame = F.expr(f"count(*) OVER (PARTITION BY {key} ORDER BY {at} RANGE BETWEEN INTERVAL {window} PRECEDING AND CURRENT ROW)")
-    return events.withColumn("recent", frame)
-
-
-def retry_after(events: DataFrame, key: str, at_us: str, per: int, window_us: int) -> DataFrame:
-    """Microseconds until the next request would be granted: 0 below the limit."""
-    over = Window.partitionBy(key).orderBy(at_us).rangeBetween(-(window_us - 1), 0)
-    wait = F.greatest(F.lit(0), F.lit(window_us + 5_000) - (F.col(at_us) - F.min(at_us).over(over)))
-    return events.withColumn("retry_after_us", F.when(F.count("*").over(over) < per, F.lit(0)).otherwise(wait))
-
-
 def newest_entries(entries: DataFrame, namespace: str, at: str, cap: int, tie: str) -> DataFrame:
     """The ``cap`` entries of each namespace written last."""
     w = Window.partitionBy(namespace).orderBy(F.col(at).desc(), F.col(tie).desc())

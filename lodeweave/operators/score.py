@@ -103,6 +103,17 @@ def best_strategy(candidates: DataFrame, key: str) -> DataFrame:
     return tried.groupBy(key).agg(pick).select(key, "best.strategy_id", "best.hits", "best.confidence")
 
 
+def of_best_strategy(hits: DataFrame, key: str) -> DataFrame:
+    """The hits of the strategy best_strategy picks, in one pass over hits(key, strategy_id, strategy_pos, _conf, ...)."""
+    n = F.count("*").over(Window.partitionBy(key, "strategy_id"))
+    page = Window.partitionBy(key)
+    good = (F.col("_hits") >= 5) & (F.col("_conf") >= 0.7)
+    value = F.struct(F.col("_hits") * (1 + F.col("_conf")), -F.col("strategy_pos"))
+    tried = hits.withColumn("_hits", n).withColumn("_stop", F.min(F.when(good, F.col("strategy_pos"))).over(page))
+    tried = tried.withColumn("_value", F.when(F.col("_stop").isNull() | (F.col("strategy_pos") <= F.col("_stop")), value))
+    return tried.withColumn("_best", F.max("_value").over(page)).where("_value = _best").drop("_hits", "_stop", "_value", "_best")
+
+
 def best_attempt(attempts: DataFrame, key: str) -> DataFrame:
     """The attempt with the most hits of each key; the first one wins ties.  attempts(key, attempt, hits)."""
     return attempts.groupBy(key).agg(F.max_by("attempt", F.struct("hits", -F.col("attempt"))).alias("attempt"), F.max("hits").alias("hits"))

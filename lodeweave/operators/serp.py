@@ -62,6 +62,8 @@ def hits(blocks: DataFrame, most: int = 20) -> DataFrame:
     good = blocks.where(~F.col("in_ad") & F.col("title").isNotNull() & F.col("url").isNotNull()).withColumn("host", host("url"))
     good = good.where(F.col("host").isNotNull() & ~F.col("host").isin(*SKIP_HOSTS))
     keys = ["page_id", "strategy_id"]
+    # one exchange by page serves every window below, and those of search
+    good = good.repartition("page_id")
     once = good.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "url").orderBy("block_index"))).where("_n = 1")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("block_index"))
     out = once.withColumn("pos", rank - 1).where(F.col("pos") < most)
@@ -99,10 +101,30 @@ def page_signals(pages: DataFrame) -> DataFrame:
 
 
 def page_state(signals: DataFrame, parsed: DataFrame, stale_h3: int = 5) -> DataFrame:
-    """(page_id, h3_count, hits, is_stale): many headings but no hit under any strategy."""
+    """(page_id, h3_count, hits, is_stale, error): many headings but no hit under any strategy.
+
+    signals may hold wait_error, what went wrong while the page was awaited; on a page without hits it goes before stale.
+    """
     n = parsed.groupBy("page_id").agg(F.count("*").alias("hits"))
     out = signals.join(n, "page_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
-    return out.select("page_id", "h3_count", "hits", ((F.col("h3_count") >= stale_h3) & (F.col("hits") == 0)).alias("is_stale"))
+    none = F.col("hits") == 0
+    wait = F.col("wait_error") if "wait_error" in signals.columns else F.lit(None).cast("string")
+    error = F.when(none & wait.isNotNull(), F.concat(F.lit("search wait failed and no results: "), F.substring(wait, 1, 120))).when(
+        none & (F.col("h3_count") >= stale_h3), F.concat(F.lit("parser stale: "), F.col("h3_count").cast("string"), F.lit(" h3 elements but 0 results extracted by any strategy"))
+    )
+    return out.select("page_id", "h3_count", "hits", ((F.col("h3_count") >= stale_h3) & none).alias("is_stale"), error.alias("error"))
+
+
+def parse_compat(pages: DataFrame, most: int) -> DataFrame:
+    """(page_id, h3_count, pos, title, url, description): the hits of the class strategy alone; pages without hits have none."""
+    found = hits(raw_blocks(pages).where(F.col("strategy_id") == STRATEGIES[1][0]), most)
+    heads = page_signals(pages).select("page_id", "h3_count")
+    return found.join(heads, "page_id").select("page_id", "h3_count", "pos", "title", "url", "description")
+
+
+def repair_html(pages: DataFrame, most: int = 100_000) -> DataFrame:
+    """pages with the HTML cut to what a repair looks at."""
+    return pages.withColumn("html", F.substring("html", 1, most))
 
 
 def candidates(pages: DataFrame, most: int = 5) -> DataFrame:

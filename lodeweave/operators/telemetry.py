@@ -6,10 +6,25 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..storage import stored
 
-def latest(df: DataFrame, key: str, at: str) -> DataFrame:
-    """One row for each key, the one delivered last."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(at).desc()))).where("_n = 1").drop("_n")
+
+SLOTS = 1 << 21  # of keys delivered twice; at most so many are broadcast
+
+
+def latest(df: DataFrame, key: str, at: str, tie: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each key, the one delivered last; of those, the greatest in the columns of ``tie``.
+
+    Keys delivered twice are found on the key alone.  Only rows in the slots of such keys, whose number is bounded,
+    are shuffled with all their columns.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
+    twice = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(slot.alias("_slot")).distinct()
+    marked = df.withColumn("_slot", slot)
+    once = marked.join(F.broadcast(twice), "_slot", "left_anti").drop("_slot")
+    order = Window.partitionBy(key).orderBy(F.col(at).desc(), *(F.col(c).desc() for c in tie))
+    last = marked.join(F.broadcast(twice), "_slot", "left_semi").drop("_slot").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return once.unionByName(last)
 
 
 def since(df: DataFrame, at: str, now: str, days: float) -> DataFrame:
@@ -19,33 +34,28 @@ def since(df: DataFrame, at: str, now: str, days: float) -> DataFrame:
 
 
 def number_field(json: Column | str, field: str) -> Column:
-    """A field of a JSON text if it is a finite number, not a number written as a string."""
-    v = F.get_json_object(json, f"$.{field}")
-    quoted = F.col(json).rlike(f'"{field}"\\s*:\\s*"') if isinstance(json, str) else json.rlike(f'"{field}"\\s*:\\s*"')
-    d = v.try_cast("double")
-    return F.when(~quoted & ~F.isnan(d), d)
+    """A field of a JSON text if it is a number, not a number written as a string; NULL also for broken JSON."""
+    whole = F.try_parse_json(json if isinstance(json, Column) else F.col(json))
+    kind = F.schema_of_variant(F.try_variant_get(whole, f"$.{field}", "variant"))
+    return F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(whole, f"$.{field}", "double"))
 
 
-def nearest_rank(df: DataFrame, group: str, value: str, p: float, spread: float = 0.002) -> DataFrame:
+def nearest_rank(df: DataFrame, group: str, value: str, p: float) -> DataFrame:
     """(group, percentile): the value at place floor(p * n), clamped, of each group, exactly.
 
-    An approximate quantile gives a bracket around that place; only values inside it are ordered, and those below
-    are counted.  If the bracket misses, which a check shows, the group is ordered whole.
+    Counted values are written once in ranges of (group, value), so that a large group is in several of them.  The
+    sums of the ranges, a few for each group, tell which one holds the place; only its values are put in order.
     """
-    have = df.where(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).alias("_v"))
-    lo, hi = max(0.0, p - spread), min(1.0, p + spread)
-    bounds = have.groupBy("_g").agg(F.count("*").alias("_n"), F.percentile_approx("_v", lo, 20_000).alias("_lo"), F.percentile_approx("_v", hi, 20_000).alias("_hi"))
-    bounds = bounds.withColumn("_place", F.least(F.col("_n") - 1, F.greatest(F.lit(0), F.floor(F.lit(p) * F.col("_n")))))
-    joined = have.join(bounds, "_g")
-    inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
-    below = joined.groupBy("_g").agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"), F.count_if(inside).alias("_inside"), F.first("_place").alias("_at"))
-    fits = (F.col("_at") >= F.col("_below")) & (F.col("_at") < F.col("_below") + F.col("_inside"))
-    chosen = joined.join(below.select("_g", "_below", fits.alias("_fits")), "_g").where(~F.col("_fits") | inside)
-    # equal values are counted before they are put in order
-    counts = chosen.groupBy("_g", "_v", "_below", "_place", "_fits").agg(F.count("*").alias("_k"))
-    upto = F.sum("_k").over(Window.partitionBy("_g").orderBy("_v")) + F.when(F.col("_fits"), F.col("_below")).otherwise(0)
-    found = counts.withColumn("_upto", upto).where(F.col("_upto") > F.col("_place"))
-    return found.groupBy(F.col("_g").alias(group)).agg(F.min("_v").alias("percentile"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
+    ranges = stored(counts.repartitionByRange("_g", "_v").withColumn("_part", F.spark_partition_id()), "percentile")
+    sums = ranges.groupBy("_g", "_part").agg(F.sum("_k").alias("_size"))
+    every = Window.partitionBy("_g")
+    sums = sums.withColumns({"_n": F.sum("_size").over(every), "_upto": F.sum("_size").over(every.orderBy("_part"))})
+    place = F.least(F.col("_n") - 1, F.greatest(F.lit(0), F.floor(F.lit(p) * F.col("_n"))))
+    holds = sums.withColumn("_place", place).where((F.col("_upto") > F.col("_place")) & (F.col("_upto") - F.col("_size") <= F.col("_place")))
+    inside = ranges.join(holds.select("_g", "_part", (F.col("_place") - F.col("_upto") + F.col("_size")).alias("_at")), ["_g", "_part"])
+    upto = F.sum("_k").over(Window.partitionBy("_g", "_part").orderBy("_v"))
+    return inside.withColumn("_upto", upto).where("_upto > _at").groupBy(F.col("_g").alias(group)).agg(F.min("_v").alias("percentile"))
 
 
 def mean(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -61,7 +71,7 @@ def ewma(df: DataFrame, group: str, value: str, order: list[str], alpha: float =
     depth = 1 if alpha >= 1 else math.ceil(math.log(1e-18) / math.log(1 - alpha))
     have = df.where(F.col(value).isNotNull())
     newest = Window.partitionBy(group).orderBy(*(F.col(c).desc() for c in order))
-    ranked = have.withColumn("_r", F.row_number().over(newest) - 1).where(F.col("_r") <= depth)
+    ranked = have.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= depth + 1).withColumn("_r", F.col("_r") - 1)
     sizes = have.groupBy(group).agg(F.count("*").alias("_n"))
     weight = F.when(F.col("_r") == F.col("_n") - 1, F.pow(F.lit(1 - alpha), F.col("_r"))).otherwise(F.lit(alpha) * F.pow(F.lit(1 - alpha), F.col("_r")))
     return ranked.join(sizes, group).groupBy(group).agg(F.sum(F.col(value) * weight).alias("ewma"))

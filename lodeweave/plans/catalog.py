@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..config import Config
 from ..functions import text as T
 from ..functions.text import r3
 from ..operators import extract as ex, geometry, ranking, repair, replay, score, serp, telemetry, triage
 from ..sources import events as ev
+from ..storage import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,20 +32,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def hits_of(spark, d) -> DataFrame:
-    return telemetry.latest(table(spark, d, "search_hit"), "hit_id", "loaded_at")
+    return telemetry.latest(table(spark, d, "search_hit"), "hit_id", "loaded_at", ("captured_at", "pos"))
 
 
 def extracts_of(spark, d) -> DataFrame:
-    return telemetry.latest(table(spark, d, "extract_result"), "extract_id", "loaded_at")
+    return telemetry.latest(table(spark, d, "extract_result"), "extract_id", "loaded_at", ("fetched_at", "hit_id"))
 
 
 def log_of(spark, d) -> DataFrame:
-    return telemetry.latest(table(spark, d, "telemetry_event"), "event_id", "logged_at")
+    return telemetry.latest(table(spark, d, "telemetry_event"), "event_id", "logged_at", ("ts",))
 
 
-HITS = "hits AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY hit_id ORDER BY loaded_at DESC) n FROM search_hit) WHERE n = 1)"
-EXTRACTS = "ext AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY extract_id ORDER BY loaded_at DESC) n FROM extract_result) WHERE n = 1)"
-LOG = "log AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY logged_at DESC) n FROM telemetry_event) WHERE n = 1)"
+HITS = "hits AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY hit_id ORDER BY loaded_at DESC, captured_at DESC, pos DESC) n FROM search_hit) WHERE n = 1)"
+EXTRACTS = "ext AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY extract_id ORDER BY loaded_at DESC, fetched_at DESC, hit_id DESC) n FROM extract_result) WHERE n = 1)"
+LOG = "log AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY logged_at DESC, ts DESC) n FROM telemetry_event) WHERE n = 1)"
 SQL_HOST = "nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#@]*@)?([^/?#:]+)', 2)), '')"
 _EN = r"(?i)(^|[^A-Za-z0-9_])(sponsored|advertisement)($|[^A-Za-z0-9_])|(^|\s)ads?(\s*[·•‧▾\-—]|\s*$)"
 _MARK = f"(regexp_matches(coalesce(title, ''), '{_EN}') OR regexp_matches(coalesce(description, ''), '{_EN}'))"
@@ -182,23 +184,39 @@ def repair_gate_a(spark, d):
     return g.select("page_id", "blocks", r3(F.col("organic_ratio")).alias("organic_ratio"), r3(F.col("mean_confidence")).alias("mean_confidence"), "passed")
 
 
+_PAGE_MEAN = "floor(sum(round(confidence * 1000)) / count(*) + 0.5) / 1000"
+_TRIALS = f"q AS (SELECT page_id, count(*) AS results, avg(in_organic::INT) AS o, {_PAGE_MEAN} AS m FROM geo GROUP BY page_id), t AS (SELECT *, page_id % 50 AS selector_id, CASE WHEN results < 3 THEN 'results count ' || results || ' < min 3' WHEN m < 0.5 THEN 'geometric mean ' || printf('%.2f', floor(m * 100 + 0.5) / 100) || ' < 0.5' END AS reason FROM q)"
+
+
+def trials_of(spark, d) -> DataFrame:
+    return repair.trials(blocks_of(spark, d).groupBy("page_id").agg(F.count("*").alias("results"), T.mean3(F.col("confidence")).alias("mean_confidence")))
+
+
+@query(f"WITH {_GEO}, {_TRIALS} SELECT page_id, results::BIGINT AS results, m AS mean_confidence, reason IS NULL AS passed, reason FROM t")
+def repair_trials(spark, d):
+    return trials_of(spark, d).select("page_id", "results", "mean_confidence", "passed", "reason")
+
+
 @query(
-    f"""WITH {_GEO}, q AS (SELECT page_id, count(*) AS results, floor(sum(round(confidence * 1000)) / count(*) + 0.5) / 1000 AS m FROM geo GROUP BY page_id), t AS (SELECT page_id % 50 AS selector_id, CASE WHEN results < 3 THEN 'too few results' WHEN m < 0.5 THEN 'low confidence' END AS reason FROM q),
-v AS (SELECT selector_id, count(*) FILTER (reason IS NULL) AS ok, count(*) AS total FROM t GROUP BY selector_id), w AS (SELECT *, CASE WHEN ok = total AND total >= 3 THEN 'apply' WHEN ok >= 2 THEN 'caution_flag' ELSE 'escalate' END AS verdict FROM v)
-SELECT selector_id::BIGINT AS selector_id, ok::BIGINT AS passed, total::BIGINT AS total, verdict, (selector_id % 4 <> 0 AND verdict <> 'escalate') AS opens, (selector_id % 4 <> 0 AND verdict = 'caution_flag') AS caution FROM w"""
+    f"""WITH {_GEO}, {_TRIALS}, v AS (SELECT selector_id, count(*) FILTER (reason IS NULL) AS ok, count(*) AS total FROM t GROUP BY selector_id), w AS (SELECT *, CASE WHEN ok = total AND total >= 3 THEN 'apply' WHEN ok >= 2 THEN 'caution_flag' ELSE 'escalate' END AS verdict FROM v),
+g AS (SELECT w.*, coalesce(results >= 5 AND o >= 0.6 AND m >= 0.5, false) AS a, selector_id % 5 <> 2 AS b, selector_id % 3 <> 0 AS c FROM w LEFT JOIN q ON q.page_id = w.selector_id)
+SELECT selector_id::BIGINT AS selector_id, ok::BIGINT AS passed, total::BIGINT AS total, verdict, a AS gate_a, b AS gate_b, c AS gate_c, (a AND b AND c AND verdict <> 'escalate') AS opens, (a AND b AND c AND verdict = 'caution_flag') AS caution FROM g"""
 )
 def repair_verdict(spark, d):
-    """Trials of pages grouped by id (synthetic), their verdict and the decision."""
-    q = blocks_of(spark, d).groupBy("page_id").agg(F.count("*").alias("results"), T.mean3(F.col("confidence")).alias("mean_confidence"))
-    t = repair.trials(q).groupBy((F.col("page_id") % 50).alias("selector_id")).agg(F.count_if("passed").alias("passed"), F.count("*").alias("total"))
+    """Trials of pages grouped by id, the three gates of a proposal each (its selector and confidence synthetic), and the decision."""
+    t = trials_of(spark, d).groupBy((F.col("page_id") % 50).alias("selector_id")).agg(F.count_if("passed").alias("passed"), F.count("*").alias("total"))
     v = t.withColumn("verdict", repair.verdict(F.col("passed"), F.col("total")))
-    x = v.withColumn("_d", repair.decision(F.col("selector_id") % 4 != 0, F.col("verdict")))
-    return x.select("selector_id", "passed", "total", "verdict", F.col("_d.open").alias("opens"), F.col("_d.caution").alias("caution"))
+    i = F.col("selector_id")
+    proposals = v.select("selector_id", F.when(i % 5 == 2, "#tads div").otherwise("[data-ved]").alias("selector"), F.lit("data-ved").alias("source"), F.when(i % 3 == 0, "low").otherwise("high").alias("confidence"), F.lit("approve_candidate").alias("decision"))
+    layouts = repair.gate_a(blocks_of(spark, d)).withColumnRenamed("page_id", "selector_id")
+    gates = repair.triple_gate(layouts, proposals, "selector_id").withColumnRenamed("passed", "gates")
+    x = v.join(gates, "selector_id").withColumn("_d", repair.decision(F.col("gates"), F.col("verdict")))
+    return x.select("selector_id", "passed", "total", "verdict", F.col("a").alias("gate_a"), F.col("b").alias("gate_b"), F.col("c").alias("gate_c"), F.col("_d.open").alias("opens"), F.col("_d.caution").alias("caution"))
 
 
 @query(
     f"""WITH {HITS}, c AS (SELECT hit_id, CASE hit_id % 5 WHEN 0 THEN '[data-ved]' WHEN 1 THEN 'div.g' WHEN 2 THEN '#tads div' WHEN 3 THEN '' ELSE 'div[jscontroller]' END AS selector, CASE WHEN hit_id % 5 = 1 THEN 'class-fallback' ELSE 'data-ved' END AS source FROM hits)
-SELECT hit_id, selector, CASE WHEN length(selector) < 3 THEN 'selector too short or empty' WHEN selector LIKE '%#tads%' THEN 'matches ad selectors' WHEN source = 'class-fallback' THEN 'class-only fallback' END AS reason,
+SELECT hit_id, selector, CASE WHEN length(selector) < 3 THEN 'selector too short or empty' WHEN selector LIKE '%#tads%' THEN 'matches ad selectors' WHEN source = 'class-fallback' THEN 'class-only fallback (less stable)' END AS reason,
 (hit_id % 3 <> 0 AND hit_id % 2 = 0) AS choice_passes FROM c"""
 )
 def repair_gate_b(spark, d):
@@ -250,18 +268,45 @@ def pdf_address(spark, d):
     return hits_of(spark, d).select("hit_id", T.pdf_address(F.get(urls, (F.col("hit_id") % 6).cast("int"))).alias("pdf"))
 
 
-@query(f"WITH {EXTRACTS} SELECT extract_id, CASE WHEN error IS NOT NULL AND content IS NULL THEN 'EXTRACT_FAILED' ELSE 'ok' END AS outcome FROM ext")
+@query(f"WITH {EXTRACTS} SELECT extract_id, CASE WHEN f THEN 'EXTRACT_FAILED' END AS code, CASE WHEN f THEN error END AS message, CASE WHEN f THEN true END AS retryable, CASE WHEN f THEN 1000 END::BIGINT AS retry_after_ms FROM (SELECT *, coalesce(error, '') <> '' AND coalesce(content, '') = '' AS f FROM ext)")
 def extract_outcome(spark, d):
-    return extracts_of(spark, d).select("extract_id", triage.extract_outcome(F.col("content"), F.col("error")).alias("outcome"))
+    return extracts_of(spark, d).select("extract_id", triage.extract_outcome(F.col("content"), F.col("error")).alias("e")).select("extract_id", "e.*")
 
 
-@query(
-    f"""WITH {EXTRACTS}, c AS (SELECT extract_id, CASE WHEN error IS NULL THEN NULL WHEN regexp_matches(error, '(?i)captcha') THEN 'CAPTCHA_REQUIRED' WHEN regexp_matches(error, '(?i)profile not initialized') THEN 'PROFILE_MISSING' WHEN regexp_matches(error, '(?i)timeout') THEN 'NAV_TIMEOUT'
-WHEN regexp_matches(error, '(?i)429|too many requests|rate.?limit') THEN 'RATE_LIMITED' WHEN regexp_matches(error, '(?i)parser.?stale|h3.+but.+0 results') THEN 'PARSER_STALE' WHEN regexp_matches(error, '(?i)private/internal address|loopback') THEN 'PRIVATE_ADDRESS' ELSE 'INTERNAL' END AS code FROM ext)
-SELECT extract_id, code, CASE WHEN code IS NOT NULL THEN code IN ('NAV_TIMEOUT', 'RATE_LIMITED') END AS retryable, CASE code WHEN 'NAV_TIMEOUT' THEN 1000 WHEN 'RATE_LIMITED' THEN 60000 END::BIGINT AS retry_after_ms FROM c"""
-)
+# Messages of every kind by id (synthetic), with the errors of the extracts among them.
+_MESSAGES = ("Google CAPTCHA at home", "Profile not initialized. Run bootstrap", "page.goto: Timeout 12000ms exceeded", "HTTP 429", "Rate-limit hit", "parser stale: 7 h3 elements but 0 results extracted by any strategy", "private/internal address blocked", "resolved to loopback", "something broke")
+_KINDS = f"k AS (SELECT extract_id, extract_id % 2 = 0 AS cloud, CASE WHEN extract_id % 10 = 9 THEN error ELSE [{', '.join(chr(39) + m + chr(39) for m in _MESSAGES)}][extract_id % 10 + 1] END AS m FROM ext)"
+_CODE = """c AS (SELECT *, CASE WHEN m IS NULL THEN NULL WHEN starts_with(m, 'Google CAPTCHA at ') THEN CASE WHEN cloud THEN 'CAPTCHA_REQUIRED' ELSE 'CAPTCHA_RECOVER_FAIL' END WHEN regexp_matches(m, '(?i)profile not initialized') THEN 'PROFILE_MISSING' WHEN regexp_matches(m, '(?i)timeout') THEN 'NAV_TIMEOUT'
+WHEN regexp_matches(m, '(?i)429|too many requests|rate.?limit') THEN 'RATE_LIMITED' WHEN regexp_matches(m, '(?i)parser.?stale|h3.+but.+0 results') THEN 'PARSER_STALE' WHEN regexp_matches(m, '(?i)private/internal address|loopback') THEN 'PRIVATE_ADDRESS' ELSE 'INTERNAL' END AS code FROM k),
+e AS (SELECT extract_id, code, CASE WHEN code = 'CAPTCHA_REQUIRED' THEN 'Google CAPTCHA encountered. Cloud mode cannot solve interactively.' WHEN code = 'INTERNAL' THEN substr(m, 1, 500) ELSE m END AS message, CASE WHEN code IS NOT NULL THEN code IN ('NAV_TIMEOUT', 'RATE_LIMITED') END AS retryable, CASE code WHEN 'NAV_TIMEOUT' THEN 1000 WHEN 'RATE_LIMITED' THEN 60000 END::BIGINT AS retry_after_ms,
+CASE code WHEN 'CAPTCHA_REQUIRED' THEN 'Run on an interactive desktop session, or refresh profile: npm run bootstrap' WHEN 'CAPTCHA_RECOVER_FAIL' THEN 'Solve CAPTCHA in opened browser, or run: npm run bootstrap' WHEN 'PROFILE_MISSING' THEN 'Run: npm run bootstrap' WHEN 'PARSER_STALE' THEN 'Selector may need update. Check repo for newer version.' END AS user_action FROM c)"""
+
+
+def errors_of(spark, d) -> DataFrame:
+    i = F.col("extract_id")
+    m = F.when(i % 10 == 9, F.col("error")).otherwise(F.get(F.array(*map(F.lit, _MESSAGES)), (i % 10).cast("int")))
+    rows = extracts_of(spark, d).select("extract_id", m.alias("m"))
+    return rows.select("extract_id", triage.error_info(F.col("m"), F.col("m").startswith("Google CAPTCHA at "), i % 2 == 0).alias("e"))
+
+
+@query(f"WITH {EXTRACTS}, {_KINDS}, {_CODE} SELECT * FROM e")
 def error_info(spark, d):
-    return extracts_of(spark, d).select("extract_id", triage.error_code(F.col("error")).alias("e")).select("extract_id", "e.*")
+    return errors_of(spark, d).select("extract_id", "e.*")
+
+
+@query(f"WITH {EXTRACTS}, {_KINDS}, {_CODE} SELECT extract_id, 'Error [' || code || ']: ' || message || coalesce(chr(10) || 'Action: ' || user_action, '') || coalesce(chr(10) || 'Retry after: ' || retry_after_ms || 'ms', '') AS text, code IS NOT NULL AS is_error FROM e WHERE code IS NOT NULL")
+def error_response(spark, d):
+    """What a reader is told about each error."""
+    none = F.lit(None).cast("string")
+    answers = errors_of(spark, d).where("e is not null").select("extract_id", triage.response(none, F.col("e"), none).alias("r"))
+    return answers.select("extract_id", "r.text", "r.is_error")
+
+
+@query("SELECT event_id, event_type IN ('error') OR event_id % 3 = 0 AS known FROM events")
+def error_codes(spark, d):
+    """Words that are error codes and words that are not (synthetic)."""
+    word = F.when((F.col("event_type") == "error") | (F.col("event_id") % 3 == 0), F.get(F.array(*map(F.lit, triage.ERROR_CODES)), (F.col("event_id") % 10).cast("int"))).otherwise(F.upper("event_type"))
+    return table(spark, d, "events").select("event_id", triage.is_error_code(word).alias("known"))
 
 
 @query(f"WITH {HITS}, {EXTRACTS} SELECT hits.hit_id, ext.extract_id, ext.extraction_quality, coalesce(ext.error, '') AS error, length(ext.content)::INT AS length FROM hits LEFT JOIN ext ON hits.hit_id = ext.hit_id")
@@ -307,12 +352,15 @@ def url_guard_resolved(spark, d):
     return ex.resolved_guard(h, dns).select("hit_id", "reason")
 
 
-@query(f"WITH {EXTRACTS} SELECT extract_id, (url LIKE '%/sorry/%' OR url LIKE '%consent.google.%' OR coalesce(regexp_matches(content, '(?i)unusual traffic|systems have detected|are not a robot'), false)) AS blocked FROM ext WHERE url IS NOT NULL")
+@query(f"WITH {EXTRACTS} SELECT extract_id, (url LIKE '%/sorry/%' OR url LIKE '%consent.google.%' OR coalesce(regexp_matches(content, '(?i)unusual traffic|systems have detected|are not a robot'), false) OR extract_id % 50 < 2) AS blocked FROM ext WHERE url IS NOT NULL")
 def block_detect(spark, d):
-    return extracts_of(spark, d).where("url is not null").select("extract_id", triage.blocked(F.col("url"), F.col("content")).alias("blocked"))
+    """Block pages by address, text and HTML, where some pages hold a captcha's form or frame by id (synthetic)."""
+    i = F.col("extract_id") % 50
+    html = F.when(i == 0, "<p>x</p><form class='a' id='captcha-form' action='x'>").when(i == 1, '<iframe title="t" src="https://x.test/recaptcha/api">').otherwise('<form id="captcha-formal"></form><iframe src="/a"></iframe>')
+    return extracts_of(spark, d).where("url is not null").select("extract_id", triage.blocked(F.col("url"), F.col("content"), html).alias("blocked"))
 
 
-@query(f"WITH {EXTRACTS} SELECT extract_id, '<untrusted>' || chr(10) || content || chr(10) || '</untrusted>' AS fenced FROM ext WHERE content IS NOT NULL")
+@query(f"WITH {EXTRACTS} SELECT extract_id, chr(10) || '--- BEGIN UNTRUSTED CONTENT ---' || chr(10) || content || chr(10) || '--- END UNTRUSTED CONTENT ---' || chr(10) AS fenced FROM ext WHERE content IS NOT NULL")
 def fenced_content(spark, d):
     return extracts_of(spark, d).where("content is not null").select("extract_id", T.fence("content").alias("fenced"))
 
@@ -323,7 +371,7 @@ def best_attempt(spark, d):
     return score.best_attempt(a, "page_id")
 
 
-@query(f"WITH {HITS} SELECT hit_id, CASE WHEN hit_id % 4 = 0 THEN 'propose_new' ELSE 'approve_candidate' END AS decision, CASE WHEN hit_id % 4 = 0 THEN '[data-ved] h3' ELSE 'div.x' || hit_id::VARCHAR END AS selector, 'low' AS confidence, 5::INT AS expected_min_blocks FROM hits")
+@query(f"WITH {HITS} SELECT hit_id, CASE WHEN hit_id % 4 = 0 THEN 'propose_new' ELSE 'approve_candidate' END AS decision, CASE WHEN hit_id % 4 = 0 THEN '[data-ved] h3' ELSE 'div.x' || hit_id::VARCHAR END AS selector, '[mock] SURF_LLM_HEAL not enabled, ' || CASE WHEN hit_id % 4 = 0 THEN 'fallback to data-ved anchor' ELSE 'defaulting to first candidate' END AS rationale, 'low' AS confidence, 5::INT AS expected_min_blocks FROM hits")
 def repair_offline_choice(spark, d):
     first = F.when(F.col("hit_id") % 4 != 0, F.concat(F.lit("div.x"), F.col("hit_id").cast("string")))
     return hits_of(spark, d).select("hit_id", repair.offline_choice(first).alias("c")).select("hit_id", "c.*")
@@ -456,10 +504,10 @@ def fault_triage(spark, d):
     return faults_of(spark, d).select("page_id", "results", "h3", "status", "fault")
 
 
-@query(f"WITH {_SIGNAL}, {_FAULT} SELECT page_id, fault || ' status=' || status::VARCHAR || ' h3=' || h3::VARCHAR || ' results=' || results::VARCHAR || CASE WHEN geom IS NOT NULL THEN ' geom=' || printf('%.2f', geom::DOUBLE) ELSE '' END AS description FROM f")
+@query(f"WITH {_SIGNAL}, {_FAULT} SELECT page_id, 'type=' || fault || ' results=' || results::VARCHAR || ' h3=' || h3::VARCHAR || CASE WHEN status <> 200 THEN ' status=' || status::VARCHAR ELSE '' END || CASE WHEN geom IS NOT NULL THEN ' geom=' || printf('%.2f', geom::DOUBLE) ELSE '' END AS description FROM f")
 def fault_text(spark, d):
     f = faults_of(spark, d)
-    return f.select("page_id", triage.describe(*(F.col(c) for c in ("fault", "status", "h3", "results", "geom"))).alias("description"))
+    return f.select("page_id", triage.describe(*(F.col(c) for c in ("fault", "results", "h3", "status", "geom"))).alias("description"))
 
 
 @query(
@@ -482,13 +530,26 @@ def requests_of(spark, d) -> DataFrame:
 _REQ = "q AS (SELECT user_id AS key, epoch_us(ts) AS at_us, event_id AS request_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events)"
 
 
-@query(
-    f"""WITH RECURSIVE {_REQ}, w AS (SELECT key, n, request_id, at_us, true AS granted, [at_us] AS g FROM q WHERE n = 1 UNION ALL
+_LIMITER = f"""{_REQ}, w AS (SELECT key, n, request_id, at_us, true AS granted, [at_us] AS g FROM q WHERE n = 1 UNION ALL
 SELECT q.key, q.n, q.request_id, q.at_us, len(list_filter(w.g, lambda x: x > q.at_us - 3600000000)) < 2, CASE WHEN len(list_filter(w.g, lambda x: x > q.at_us - 3600000000)) < 2 THEN list_append(list_filter(w.g, lambda x: x > q.at_us - 3600000000), q.at_us) ELSE list_filter(w.g, lambda x: x > q.at_us - 3600000000) END
-FROM w JOIN q ON q.key = w.key AND q.n = w.n + 1) SELECT key, request_id, granted FROM w"""
-)
+FROM w JOIN q ON q.key = w.key AND q.n = w.n + 1)"""
+
+
+@query(f"WITH RECURSIVE {_LIMITER} SELECT key, request_id, granted FROM w")
 def limiter_replay(spark, d):
-    return replay.admissions(requests_of(spark, d), 2, 3_600_000_000)
+    return replay.admissions(requests_of(spark, d), 2, 3_600_000_000).select("key", "request_id", "granted")
+
+
+@query(f"WITH RECURSIVE {_LIMITER} SELECT key, request_id, len(g)::INT AS recent FROM w")
+def recent_count(spark, d):
+    """Grants in the window once each request is decided."""
+    return replay.admissions(requests_of(spark, d), 2, 3_600_000_000).select("key", "request_id", "recent")
+
+
+@query(f"WITH RECURSIVE {_LIMITER} SELECT key, request_id, CASE WHEN len(g) < 2 THEN 0 ELSE greatest(0, 3600000000 - (at_us - g[1])) + 5000 END::BIGINT AS retry_after_us FROM w")
+def retry_after(spark, d):
+    """How long a request that comes next would have to wait."""
+    return replay.admissions(requests_of(spark, d), 2, 3_600_000_000).select("key", "request_id", "retry_after_us")
 
 
 @query(
@@ -500,35 +561,47 @@ def ttl_replay(spark, d):
 
 
 @query(
-    f"""WITH RECURSIVE {_REQ}, w AS (SELECT key, n, request_id, CASE WHEN event_type = 'error' THEN 'on' ELSE 'off' END AS mode, 0 AS failures FROM q WHERE n = 1 UNION ALL
-SELECT q.key, q.n, q.request_id, CASE WHEN q.event_type <> 'error' THEN w.mode WHEN w.mode = 'off' THEN 'on' WHEN w.failures + 1 >= 2 THEN 'tier3' ELSE w.mode END, CASE WHEN q.event_type <> 'error' OR w.mode = 'off' OR w.failures + 1 >= 2 THEN 0 ELSE w.failures + 1 END
-FROM w JOIN q ON q.key = w.key AND q.n = w.n + 1) SELECT key, request_id, mode, failures FROM w"""
+    f"""WITH RECURSIVE {_REQ}, e AS (SELECT *, (event_type IN ('error', 'click'))::INT AS c FROM q), w AS (SELECT key, n, request_id, CASE WHEN c = 1 THEN 'on' ELSE 'off' END AS mode, 0 AS failures, c AS off, 0 AS "on", CASE WHEN c = 1 THEN 'on' END AS step FROM e WHERE n = 1 UNION ALL
+SELECT e.key, e.n, e.request_id, CASE WHEN e.c = 1 THEN 'on' ELSE w.mode END, CASE WHEN e.c = 0 THEN w.failures WHEN w.mode = 'off' OR w.failures + 1 >= 2 THEN 0 ELSE w.failures + 1 END, w.off + CASE WHEN w.mode = 'off' THEN e.c ELSE 0 END, w."on" + CASE WHEN w.mode = 'on' THEN e.c ELSE 0 END,
+CASE WHEN e.c = 0 THEN NULL WHEN w.mode = 'off' THEN 'on' WHEN w.failures + 1 >= 2 THEN 'tier3' ELSE 'retry' END FROM w JOIN e ON e.key = w.key AND e.n = w.n + 1) SELECT key, request_id, mode, failures, off, "on", step FROM w"""
 )
 def cascade_replay(spark, d):
-    r = requests_of(spark, d)
-    return replay.cascade_replay(r.withColumn("captcha", F.col("event_type") == "error"))
+    return replay.cascade_replay(requests_of(spark, d).withColumn("captcha", F.col("event_type").isin("error", "click")))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_REQ}, w AS (SELECT key, n, request_id, at_us AS start, [at_us] AS g FROM q WHERE n = 1 UNION ALL SELECT key, n, request_id, CASE WHEN ok THEN turn END, CASE WHEN ok THEN list_append(g, turn)[-2:] ELSE g END FROM (SELECT *, turn - at_us <= 600000000 AS ok FROM
+(SELECT q.key, q.n, q.request_id, q.at_us, list_filter(w.g, lambda x: x > q.at_us - 3600000000) AS g, greatest(q.at_us, coalesce(list_filter(w.g, lambda x: x > q.at_us - 3600000000)[-1], q.at_us), CASE WHEN len(list_filter(w.g, lambda x: x > q.at_us - 3600000000)) >= 2 THEN list_filter(w.g, lambda x: x > q.at_us - 3600000000)[-2] + 3600000000 ELSE q.at_us END) AS turn FROM w JOIN q ON q.key = w.key AND q.n = w.n + 1)))
+SELECT key, request_id, start IS NOT NULL AS granted, start AS start_us FROM w"""
+)
 def queue_replay(spark, d):
     """Requests that may wait up to ten minutes for their turn."""
     return replay.queued_admissions(requests_of(spark, d), 2, 3_600_000_000, 600_000_000)
 
 
-@query(f"WITH {_REQ}, m AS (SELECT *, sum((event_type <> 'error')::INT) OVER (PARTITION BY key ORDER BY at_us, request_id) AS run FROM q), g AS (SELECT key, run, count(*) FILTER (event_type = 'error') AS k FROM m GROUP BY key, run) SELECT key, max(k)::BIGINT AS longest, max(k) >= 3 AS falls_back FROM g GROUP BY key")
-def pool_fallback(spark, d):
-    r = requests_of(spark, d).withColumn("failed", F.col("event_type") == "error")
-    return replay.longest_failure_run(r, "key", ["at_us", "request_id"], "failed")
+@query(
+    f"""WITH RECURSIVE {_REQ}, a AS (SELECT *, CASE WHEN request_id % 7 <> 0 THEN '10.0.0.' || (request_id % 200) END AS address FROM q), w AS (SELECT key, n, request_id, address, true AS asked, CASE WHEN address IS NULL THEN 0 ELSE at_us + 36000000000 END AS until FROM a WHERE n = 1 UNION ALL
+SELECT a.key, a.n, a.request_id, CASE WHEN w.until > a.at_us THEN w.address ELSE a.address END, w.until <= a.at_us, CASE WHEN w.until > a.at_us THEN w.until WHEN a.address IS NULL THEN 0 ELSE a.at_us + 36000000000 END FROM w JOIN a ON a.key = w.key AND a.n = w.n + 1) SELECT key::VARCHAR AS key, request_id, address, asked FROM w"""
+)
+def name_lookups(spark, d):
+    """Names that are users' ids, with an address for each request (synthetic) that lives ten hours."""
+    i = F.col("request_id")
+    address = F.when(i % 7 != 0, F.concat(F.lit("10.0.0."), (i % 200).cast("string")))
+    return replay.name_lookups(requests_of(spark, d).withColumns({"key": F.col("key").cast("string"), "address": address}), 36_000_000_000)
 
 
-@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '599.999999' SECOND PRECEDING AND CURRENT ROW)::BIGINT AS recent FROM events")
-def recent_count(spark, d):
-    return replay.recent_counts(table(spark, d, "events"), "user_id", "ts", "'599.999999' SECOND").select("event_id", "recent")
+@query(
+    f"""WITH RECURSIVE {_REQ}, b AS (SELECT *, (event_type <> 'view')::INT AS bad FROM q), w AS (SELECT key, n, request_id, bad AS failures FROM b WHERE n = 1 UNION ALL
+SELECT b.key, b.n, b.request_id, CASE WHEN w.failures >= 3 THEN w.failures WHEN bad = 1 THEN w.failures + 1 ELSE 0 END FROM w JOIN b ON b.key = w.key AND b.n = w.n + 1) SELECT key, request_id, failures::INT AS failures, failures >= 3 AS given_up FROM w"""
+)
+def failure_budget(spark, d):
+    return replay.failure_budget(requests_of(spark, d).withColumn("failed", F.col("event_type") != "view"))
 
 
-@query(f"WITH {_REQ}, x AS (SELECT key, request_id, at_us, count(*) OVER w AS k, min(at_us) OVER w AS oldest FROM q WINDOW w AS (PARTITION BY key ORDER BY at_us RANGE BETWEEN 35999999999 PRECEDING AND CURRENT ROW)) SELECT key, request_id, CASE WHEN k < 3 THEN 0 ELSE greatest(0, 36000005000 - (at_us - oldest)) END::BIGINT AS retry_after_us FROM x")
-def retry_after(spark, d):
-    return replay.retry_after(requests_of(spark, d), "key", "at_us", 3, 36_000_000_000).select("key", "request_id", F.col("retry_after_us").cast("bigint").alias("retry_after_us"))
+@query(f"WITH {_REQ}, m AS (SELECT *, sum((event_type <> 'error')::INT) OVER (PARTITION BY key ORDER BY at_us, request_id) AS run FROM q), g AS (SELECT key, run, count(*) FILTER (event_type = 'error') AS k FROM m GROUP BY key, run) SELECT key, max(k)::BIGINT AS longest, max(k) >= 3 AS falls_back FROM g GROUP BY key")
+def pool_fallback(spark, d):
+    r = requests_of(spark, d).withColumn("failed", F.col("event_type") == "error")
+    return replay.longest_failure_run(r, "key", ["at_us", "request_id"], "failed")
 
 
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 10")
@@ -561,7 +634,7 @@ def backoff_schedule(spark, d):
     return replay.backoff_schedule(spark, 100, 2.0, 4)
 
 
-@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'cloud' WHEN event_id % 3 = 0 AND event_id % 2 <> 0 THEN 'headless' ELSE 'local' END AS mode FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'cloud_fail_fast' WHEN event_id % 2 = 0 THEN 'remote_debug' WHEN event_id % 3 <> 0 THEN 'always_headed' ELSE 'notify_spawn' END AS mode FROM events")
 def captcha_mode(spark, d):
     i = F.col("event_id")
     return table(spark, d, "events").select("event_id", triage.captcha_mode(i % 5 == 0, i % 3 == 0, i % 2 == 0).alias("mode"))
@@ -573,52 +646,203 @@ def captchas_by_mode(spark, d):
 
 
 @query(
-    f"""WITH {_FIELDS}, {_OUT}, s AS ({_STATS} o GROUP BY strategy_id) SELECT (SELECT count(*) FROM f)::BIGINT AS events, (SELECT count(*) FILTER (event_type = 'tool.error') FROM f)::BIGINT AS errors, (SELECT count(DISTINCT event_type) FROM events)::BIGINT AS cache_entries, (SELECT count(*) FROM s)::BIGINT AS strategies, (SELECT sum(wins) FROM s)::BIGINT AS wins"""
+    f"""WITH RECURSIVE {_REQ}, l AS (SELECT *, row_number() OVER (ORDER BY at_us, request_id) AS i FROM q WHERE key = 1),
+lw AS (SELECT i, at_us, [at_us] AS g FROM l WHERE i = 1 UNION ALL SELECT l.i, l.at_us, CASE WHEN len(list_filter(lw.g, lambda x: x > l.at_us - 60000000)) < 10 THEN list_append(list_filter(lw.g, lambda x: x > l.at_us - 60000000), l.at_us) ELSE list_filter(lw.g, lambda x: x > l.at_us - 60000000) END FROM lw JOIN l ON l.i = lw.i + 1),
+c AS (SELECT i, CASE WHEN event_type = 'error' THEN 'on' ELSE 'off' END AS mode, 0 AS n, (event_type = 'error')::INT AS o, 0 AS k FROM l WHERE i = 1 UNION ALL SELECT l.i, CASE WHEN l.event_type = 'error' THEN 'on' ELSE c.mode END, CASE WHEN l.event_type <> 'error' THEN c.n WHEN c.mode = 'off' OR c.n + 1 >= 2 THEN 0 ELSE c.n + 1 END, c.o + CASE WHEN c.mode = 'off' AND l.event_type = 'error' THEN 1 ELSE 0 END, c.k + CASE WHEN c.mode = 'on' AND l.event_type = 'error' THEN 1 ELSE 0 END FROM c JOIN l ON l.i = c.i + 1),
+b AS (SELECT i, (event_type <> 'view')::INT AS n FROM l WHERE i = 1 UNION ALL SELECT l.i, CASE WHEN b.n >= 3 THEN b.n WHEN l.event_type <> 'view' THEN b.n + 1 ELSE 0 END FROM b JOIN l ON l.i = b.i + 1),
+{_FIELDS}, {_OUT}, s AS ({_STATS} o GROUP BY strategy_id)
+SELECT (SELECT count(*) FROM f)::BIGINT AS events, (SELECT count(*) FILTER (event_type = 'tool.error') FROM f)::BIGINT AS errors, (SELECT count(DISTINCT event_type) FROM events)::BIGINT AS cache_search, 1::BIGINT AS cache_extract, 'data-ved-anchor-v1,class-mjjyud-v1,hveid-jscontroller-v1' AS strategy_order, (SELECT count(*) FROM s)::BIGINT AS strategies, (SELECT sum(wins) FROM s)::BIGINT AS wins,
+(SELECT last(mode ORDER BY i) FROM c) AS cascade_mode, (SELECT last(n ORDER BY i) FROM c)::INT AS cascade_failures, (SELECT last(o ORDER BY i) FROM c)::INT AS captchas_off, (SELECT last(k ORDER BY i) FROM c)::INT AS captchas_on, (SELECT last(len(g) ORDER BY i) FROM lw)::INT AS recent_requests, (SELECT last(n ORDER BY i) FROM b)::INT AS pool_failures, (SELECT last(n ORDER BY i) >= 3 FROM b) AS pool_fallback, 10::INT AS requests_per_minute, true AS telemetry, true AS self_healing"""
 )
 def health_snapshot(spark, d):
+    """The state of one process, here user 1's events: errors stand for captchas, all but views for failed rebuilds."""
     from .api import health
 
-    entries = table(spark, d, "events").select(F.lit("search").alias("ns"), F.col("event_type").alias("key")).distinct()
-    return health(log_of(spark, d), entries, ranking.outcome_counts(outcomes_of(spark, d)))
+    log = requests_of(spark, d).where("key = 1")
+    entries = table(spark, d, "events").select(F.lit("search").alias("ns"), F.col("event_type").alias("key")).distinct().union(spark.createDataFrame([("extract", "a")], "ns string, key string"))
+    return health(log_of(spark, d), entries, ranking.outcome_counts(outcomes_of(spark, d)), log.withColumn("captcha", F.col("event_type") == "error"), log, log.withColumn("failed", F.col("event_type") != "view"))
+
+
+# ---- logs and counters as files -----------------------------------------------------------------------------
+
+
+@query(f"WITH {LOG} SELECT ts, event_type AS type, json_extract_string(event_data, '$.extract_id')::BIGINT AS extract_id, count(*)::BIGINT AS times FROM log WHERE ts IS NOT NULL AND json_valid(event_data) AND json_type(event_data) = 'OBJECT' GROUP BY ALL")
+def log_round_trip(spark, d):
+    """Events written as a log and read again: those with a time and whole JSON."""
+    path = new_path(spark, "log")
+    ev.write_events(log_of(spark, d).select("ts", F.col("event_type").alias("type"), F.col("event_data").alias("data")), path)
+    back = ev.read_events(spark, path)
+    return back.groupBy("ts", "type", F.expr("try_variant_get(data, '$.extract_id', 'bigint')").alias("extract_id")).agg(F.count("*").alias("times"))
+
+
+@query(f"WITH {LOG} SELECT count(DISTINCT substr(ts, 1, 10))::INT AS days, count(*)::BIGINT AS events FROM log WHERE ts IS NOT NULL AND json_valid(event_data) AND json_type(event_data) = 'OBJECT'")
+def log_volume(spark, d):
+    """Days and events of a log written from the event table."""
+    path = new_path(spark, "log")
+    ev.write_events(log_of(spark, d).select("ts", F.col("event_type").alias("type"), F.col("event_data").alias("data")), path)
+    return ev.read_events(spark, path).agg(F.count_distinct("day").cast("int").alias("days"), F.count("*").alias("events"))
+
+
+@query(f"WITH {_FIELDS}, {_OUT}, s AS ({_STATS} o GROUP BY strategy_id) SELECT strategy_id, wins, zeros, losses FROM s WHERE strategy_id IN ('structural', 'class')")
+def stats_round_trip(spark, d):
+    """Counters written as a file and read again: those of known strategies."""
+    path = new_path(spark, "stats")
+    ev.write_stats(ranking.outcome_counts(outcomes_of(spark, d)).withColumn("last_win", F.col("last_win").cast("string")), path)
+    return ev.read_stats(spark, path, ["structural", "class", "unused"]).select("strategy_id", "wins", "zeros", "losses")
+
+
+@query("WITH s AS (SELECT event_type AS ns, user_id AS key, max(ts) AS newest FROM events GROUP BY ALL), n AS (SELECT ns, row_number() OVER (PARTITION BY ns ORDER BY newest DESC, key::VARCHAR DESC) AS i FROM s) SELECT ns, count(*)::BIGINT AS entries FROM n WHERE i <= 50 AND ns <> 'error' GROUP BY ns")
+def cache_sizes(spark, d):
+    """Entries of each namespace after puts beyond its cap and the clearing of one."""
+    puts = table(spark, d, "events").select(F.col("event_type").alias("ns"), F.col("user_id").cast("string").alias("key"), F.lit("x").alias("value"), F.col("ts").alias("stored_at"), F.col("ts").alias("expires_at"))
+    return ev.cache_size(ev.clear_entries(ev.put_entries(puts.where("false"), puts, 50), "error"))
 
 
 # ---- captured pages -----------------------------------------------------------------------------------------
 
 
+def _escaped(c: Column) -> Column:
+    for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&#39;")):
+        c = F.replace(c, F.lit(raw), F.lit(name))
+    return c
+
+
 def pages_of(spark, d) -> DataFrame:
     """Result pages written from the captured hits: one block a hit, some in advertisement containers."""
     h = hits_of(spark, d).where("title is not null and url is not null")
     block = F.concat(
         F.when(F.col("hit_id") % 13 == 0, "<div id='tads'>").otherwise("<div>"),
-        F.lit("<div class='g' data-hveid='x' jscontroller='y'><a href='"), F.col("url"), F.lit("'><h3>"), F.col("title"), F.lit("</h3></a><div class='VwiC3b'>"), F.coalesce("description", F.lit("")), F.lit("</div></div></div>"),
+        F.lit("<div class='g' data-hveid='x' jscontroller='y'><a href='"), _escaped(F.col("url")), F.lit("'><h3>"), _escaped(F.col("title")), F.lit("</h3></a><div class='VwiC3b'>"), _escaped(F.coalesce("description", F.lit(""))), F.lit("</div></div></div>"),
     )
     rows = h.select("page_id", F.struct("pos", "hit_id", block.alias("b")).alias("b"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda x: x["b"]), "")  # a page has some ten hits
     return rows.groupBy("page_id").agg(F.concat(F.lit("<html><head><title>Results</title></head><body><div id='search'>"), body, F.lit("</div></body></html>")).alias("html"))
 
 
-@query()
+_CLEAN = lambda x: f"substr(regexp_replace(regexp_replace({x}, '^{_TRIM}|{_TRIM}$', '', 'g'), '(?i)\\s*(\\.{{3}}|…)?\\s*(Read more|More results|더보기)\\s*$', ''), 1, 600)"
+_PARSED = f"""{HITS}, p0 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos, hit_id) - 1 AS block_index FROM hits WHERE title IS NOT NULL AND url IS NOT NULL), p1 AS (SELECT *, {SQL_HOST} AS host FROM p0 WHERE hit_id % 13 <> 0),
+p2 AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY block_index) AS k FROM p1 WHERE host NOT IN ('www.google.com', 'accounts.google.com', 'webcache.googleusercontent.com', 'translate.google.com')),
+parsed AS (SELECT page_id, block_index, row_number() OVER (PARTITION BY page_id ORDER BY block_index) - 1 AS spot, hit_id, regexp_replace(title, '^{_TRIM}|{_TRIM}$', '', 'g') AS title, url, host, {_CLEAN("coalesce(description, '')")} AS description FROM p2 WHERE k = 1)"""
+_IDS = "(SELECT unnest(['data-ved-anchor-v1', 'class-mjjyud-v1', 'hveid-jscontroller-v1']) AS strategy_id)"
+
+
+@query(f"WITH {_PARSED} SELECT page_id, strategy_id, block_index::INT AS block_index, spot::INT AS pos, title, url, host, description FROM parsed, {_IDS} s WHERE spot < 20")
 def page_hits(spark, d):
     parsed = serp.hits(serp.raw_blocks(pages_of(spark, d)))
     return parsed.select("page_id", "strategy_id", "block_index", "pos", "title", "url", "host", "description")
 
 
-@query(f"WITH {HITS} SELECT page_id, count(*)::INT AS h3_count, count(*)::INT AS link_count, count(*)::INT AS marked_count FROM hits WHERE title IS NOT NULL AND url IS NOT NULL GROUP BY page_id")
+@query(f"WITH {_PARSED}, c AS (SELECT page_id, count(*) AS h FROM hits WHERE title IS NOT NULL AND url IS NOT NULL GROUP BY page_id) SELECT page_id, h::INT AS h3_count, spot::INT AS pos, title, url FROM parsed JOIN c USING (page_id) WHERE spot < 5")
+def page_compat(spark, d):
+    """The hits of one strategy alone, five a page."""
+    return serp.parse_compat(pages_of(spark, d), 5).select("page_id", "h3_count", "pos", "title", "url")
+
+
+@query(f"WITH {_PARSED}, c AS (SELECT page_id, count(*) AS h, page_id % 3 = 0 AS w FROM hits WHERE title IS NOT NULL AND url IS NOT NULL GROUP BY page_id), n AS (SELECT page_id, count(*) AS n FROM parsed WHERE page_id % 2 = 0 GROUP BY page_id) SELECT page_id, h::INT AS h3_count, coalesce(n, 0)::BIGINT AS hits, (h >= 5 AND n IS NULL) AS is_stale, CASE WHEN n IS NULL AND w THEN 'search wait failed and no results: Timeout' WHEN n IS NULL AND h >= 5 THEN 'parser stale: ' || h || ' h3 elements but 0 results extracted by any strategy' END AS error FROM c LEFT JOIN n USING (page_id)")
+def page_states(spark, d):
+    """Pages of which half are taken as unparsed and a third as failed while awaited (synthetic)."""
+    pages = pages_of(spark, d)
+    parsed = serp.hits(serp.raw_blocks(pages.where("page_id % 2 = 0")).where("strategy_pos = 0"), 1000)
+    signals = serp.page_signals(pages).withColumn("wait_error", F.when(F.col("page_id") % 3 == 0, "Timeout"))
+    return serp.page_state(signals, parsed)
+
+
+@query(f"WITH {HITS} SELECT page_id, count(*)::INT AS h3_count, count(*)::INT AS link_count, count(*)::INT AS marked_count, 2::INT AS class_count, (length(layout) > 0) AS has_layout FROM (SELECT page_id, 'x' AS layout FROM hits WHERE title IS NOT NULL AND url IS NOT NULL) GROUP BY page_id, layout")
 def page_signals(spark, d):
-    return serp.page_signals(pages_of(spark, d)).select("page_id", "h3_count", "link_count", "marked_count")
+    return serp.page_signals(pages_of(spark, d)).select("page_id", "h3_count", "link_count", "marked_count", "class_count", F.col("layout").rlike("^[0-9]+-(div|a|h3|,)+").alias("has_layout"))
 
 
-@query()
+_FIRST = f"""{_PARSED}, marked AS (SELECT *, (regexp_matches(title, '{_EN}') OR regexp_matches(description, '{_EN}')) AS ad, (CASE WHEN length(title) > 0 THEN 0.3 ELSE 0.0 END)::DOUBLE + 0.3::DOUBLE + (CASE WHEN length(description) > 20 THEN 0.4 ELSE 0.0 END)::DOUBLE AS s FROM parsed)"""
+
+
+@query(f"WITH {_FIRST}, o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY spot) AS rank, {R3('0.25 + s * 0.5')} AS overall FROM marked WHERE spot < 10 AND NOT ad) SELECT page_id, 'data-ved-anchor-v1' AS strategy_id, rank::INT AS rank, title, url, description, 'organic' AS classification, overall, CASE WHEN 0.25 + s * 0.5 >= 0.8 THEN 'high' WHEN 0.25 + s * 0.5 >= 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM o WHERE rank <= 5")
 def page_search(spark, d):
     from .api import search
 
     return search(pages_of(spark, d), 5)
 
 
-@query()
+_LAYOUT = "SELECT page_id, block_index, CASE WHEN (page_id + block_index) % 4 = 0 THEN 0.2 ELSE 0.9 END::DOUBLE AS g, (page_id + block_index) % 4 = 0 AS ad FROM (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos, hit_id) - 1 AS block_index FROM hits WHERE title IS NOT NULL AND url IS NOT NULL)"
+
+
+def layouts_of(spark, d) -> DataFrame:
+    """Layout evidence of the blocks of the pages, for the class strategy only; a fourth lies over advertisements (synthetic)."""
+    h = hits_of(spark, d).where("title is not null and url is not null")
+    w = Window.partitionBy("page_id").orderBy("pos", "hit_id")
+    b = h.select("page_id", (F.row_number().over(w) - 1).alias("block_index"))
+    ad = (F.col("page_id") + F.col("block_index")) % 4 == 0
+    yes, no = F.lit(True), F.lit(False)
+    return b.select("page_id", F.lit("class-mjjyud-v1").alias("strategy_id"), "block_index", F.when(ad, 0.2).otherwise(0.9).alias("confidence"), yes.alias("in_organic"), ad.alias("overlaps_ad"), no.alias("overlaps_sidebar"), yes.alias("has_h3"), yes.alias("has_link"))
+
+
+@query(
+    f"""WITH {_FIRST}, layout AS ({_LAYOUT}), x AS (SELECT marked.*, g, layout.ad AS over, row_number() OVER (PARTITION BY page_id ORDER BY spot) FROM marked JOIN layout USING (page_id, block_index) WHERE spot < 10 AND NOT marked.ad AND NOT layout.ad),
+o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY spot) AS rank, least(1, (g * 0.5 + s * 0.5) * 1.1) AS overall FROM x) SELECT page_id, 'class-mjjyud-v1' AS strategy_id, rank::INT AS rank, url, {R3('overall')} AS overall, 'organic' AS classification FROM o WHERE rank <= 5"""
+)
+def page_search_layout(spark, d):
+    """Search with layout evidence, which only the class strategy has, so that it is the best one on every page."""
+    from .api import search
+
+    return search(pages_of(spark, d), 5, blocks=layouts_of(spark, d)).select("page_id", "strategy_id", "rank", "url", "overall", "classification")
+
+
+@query(
+    f"""WITH {_FIRST}, m AS (SELECT *, ad::INT AS a, coalesce(sum((NOT ad)::INT) OVER (PARTITION BY page_id ORDER BY spot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM marked WHERE spot < 10)
+SELECT page_id, 'hveid-jscontroller-v1' AS strategy_id, count(*) FILTER (NOT ad)::BIGINT AS results, count(*) FILTER (ad)::BIGINT AS dropped, CASE WHEN count(*) FILTER (ad) > 0 THEN 'sponsored' ELSE '' END AS dropped_reasons FROM m WHERE before < 5 GROUP BY page_id"""
+)
+def page_meta(spark, d):
+    """What a search says beside its hits, in the order that counters of strategies set."""
+    from .api import search_meta
+
+    stats = spark.createDataFrame([("hveid-jscontroller-v1", 9, 1, 0, None), ("class-mjjyud-v1", 2, 0, 0, None), ("gone-v0", 50, 0, 0, None)], "strategy_id string, wins bigint, zeros bigint, losses bigint, last_win timestamp")
+    return search_meta(pages_of(spark, d), 5, stats=stats).withColumn("dropped_reasons", F.array_join("dropped_reasons", ","))
+
+
+@query(
+    f"""WITH {_FIRST}, o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY spot) AS rank FROM marked WHERE spot < 10 AND NOT ad), r AS (SELECT page_id, string_agg(url, ' ' ORDER BY rank) AS urls FROM o WHERE rank <= 5 GROUP BY page_id), p AS (SELECT DISTINCT page_id FROM hits WHERE title IS NOT NULL AND url IS NOT NULL)
+SELECT page_id, urls, CASE WHEN urls IS NULL THEN 'no results' END AS error FROM p LEFT JOIN r USING (page_id)"""
+)
+def page_search_parallel(spark, d):
+    from .api import search_parallel
+
+    out = search_parallel(pages_of(spark, d), 5)
+    return out.select("page_id", F.array_join(F.transform("results", lambda x: x["url"]), " ").alias("urls"), "error")
+
+
+@query(
+    f"""WITH RECURSIVE {_FIRST}, o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY spot) AS rank FROM marked WHERE spot < 10 AND NOT ad), r AS (SELECT page_id, count(*) AS n FROM o WHERE rank <= 5 GROUP BY page_id),
+p AS (SELECT page_id AS request_id, page_id % 20 AS client, CASE WHEN page_id % 6 = 0 THEN '' ELSE 'query ' || (page_id % 1000) END AS query FROM (SELECT DISTINCT page_id FROM hits WHERE title IS NOT NULL AND url IS NOT NULL)),
+m AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY request_id) AS i, request_id * 1000000 AS at_us FROM p WHERE query <> '' AND request_id % 1000 % 7 <> 3),
+w AS (SELECT client, i, request_id, true AS ok, [at_us] AS g FROM m WHERE i = 1 UNION ALL SELECT m.client, m.i, m.request_id, len(list_filter(w.g, lambda x: x > m.at_us - 60000000)) < 2, CASE WHEN len(list_filter(w.g, lambda x: x > m.at_us - 60000000)) < 2 THEN list_append(list_filter(w.g, lambda x: x > m.at_us - 60000000), m.at_us) ELSE list_filter(w.g, lambda x: x > m.at_us - 60000000) END FROM w JOIN m ON m.client = w.client AND m.i = w.i + 1)
+SELECT p.request_id, CASE WHEN p.query = '' THEN NULL WHEN p.request_id % 1000 % 7 = 3 THEN 'hit' ELSE 'miss' END AS cache, CASE WHEN p.query = '' THEN 'INTERNAL' WHEN w.ok = false THEN 'RATE_LIMITED' END AS code, CASE WHEN p.query = '' THEN NULL WHEN p.request_id % 1000 % 7 = 3 THEN 1 WHEN w.ok THEN coalesce(r.n, 0) END::INT AS results FROM p LEFT JOIN w USING (request_id) LEFT JOIN r ON r.page_id = p.request_id"""
+)
+def search_answers(spark, d):
+    """Search as a call: blank queries, cached ones, and twenty clients with two requests a minute each (synthetic)."""
+    from .api import answer
+
+    pages = pages_of(spark, d)
+    i = F.col("page_id")
+    requests = pages.select(i.alias("request_id"), "page_id", (i % 20).alias("client"), F.timestamp_seconds(i).alias("at"), F.when(i % 6 == 0, " ").otherwise(F.concat(F.lit(" query "), (i % 1000).cast("string"))).alias("query"))
+    value = F.lit('[{"rank":1,"title":"t","url":"u","description":"d"}]')
+    n = F.col("id")
+    entries = spark.range(1000).where("id % 7 = 3").select(F.lit("search").alias("ns"), F.concat(F.lit("query "), n.cast("string"), F.lit("|en-US|5")).alias("key"), value.alias("value"), F.timestamp_seconds(F.lit(0)).alias("stored_at"), F.lit(None).cast("timestamp").alias("expires_at"))
+    out = answer(requests, pages, entries, 5, Config(requests_per_minute=2))
+    return out.select("request_id", "cache", "code", F.when(F.col("results").isNotNull(), F.size("results")).alias("results"))
+
+
+@query(f"WITH {HITS}, p AS (SELECT page_id, least(3, count(*)) AS n FROM hits WHERE title IS NOT NULL AND url IS NOT NULL GROUP BY page_id) SELECT page_id || '-' || k AS element_id, place::INT AS place, selector, xpath, source FROM (SELECT page_id, unnest(range(n)) AS k FROM p), (VALUES (1, 'div[jscontroller]', '//div[@jscontroller]', 'jscontroller'), (2, 'div[data-hveid]', '//div[@data-hveid]', 'data-hveid')) v(place, selector, xpath, source)")
 def repair_candidates(spark, d):
-    c = serp.candidates(pages_of(spark, d), 3)
-    return repair.synthesize(c.withColumn("element_id", F.concat_ws("-", "page_id", "element_id")))
+    c = serp.candidates(serp.repair_html(pages_of(spark, d)), 3)
+    return repair.synthesize(c.withColumn("element_id", F.concat_ws("-", "page_id", "element_id"))).select("element_id", "place", "selector", "xpath", "source")
+
+
+@query(f"WITH {HITS} SELECT page_id, 'approve_candidate' AS decision, 'div[jscontroller]' AS selector, 'low' AS confidence FROM hits WHERE title IS NOT NULL AND url IS NOT NULL GROUP BY page_id")
+def repair_choices(spark, d):
+    """The choice made for each page among the candidates of its elements."""
+    pages = pages_of(spark, d)
+    c = repair.synthesize(serp.candidates(pages, 3).withColumn("element_id", F.struct("page_id", "element_id")))
+    found = c.select("element_id.page_id", "element_id.element_id", "place", "selector")
+    return repair.offline_choices(pages.select("page_id"), found).select("page_id", "decision", "selector", "confidence")
 
 
 @query(f"WITH {HITS} SELECT page_id, 'Results' AS title FROM hits WHERE title IS NOT NULL AND url IS NOT NULL GROUP BY page_id")
@@ -626,20 +850,111 @@ def page_title(spark, d):
     return pages_of(spark, d).select("page_id", T.page_title("html").alias("title"))
 
 
-@query()
-def extract_tiers(spark, d):
-    """Fetched pages through the tiers: articles as HTML, one redirect to a barred address, PDFs and failures by id."""
+# ---- extraction ---------------------------------------------------------------------------------------------
+
+_PLAIN = lambda x: f"trim(replace(regexp_replace(regexp_replace(replace({x}, '</p><p>', chr(10) || chr(10)), '<[^>]+>', '', 'g'), '[ ]+', ' ', 'g'), '&gt;', '>'), ' ' || chr(10))"
+
+
+@query(f"SELECT article_id, {_PLAIN('content')} AS text FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY loaded_at DESC) AS n FROM readability_output) WHERE n = 1 AND content IS NOT NULL")
+def article_text(spark, d):
+    """Plain text of articles' HTML."""
+    a = telemetry.latest(table(spark, d, "readability_output"), "article_id", "loaded_at").where("content is not null")
+    return a.select("article_id", F.regexp_replace(ex.html_text("content"), "[ ]+", " ").alias("text"))
+
+
+_MD = lambda x: r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + x + r", '([\\*`_\[\]])', '\\\1', 'g'), '(^|\n)([->])', '\1\\\2', 'g'), '(^|\n)(\d+)\. ', '\1\2\\. ', 'g'), '(^|\n)(=+|~~~|#{1,6} |\+ )', '\1\\\2', 'g')"
+
+
+@query(f"SELECT article_id, {_MD(_PLAIN('content'))} AS markdown FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY loaded_at DESC) AS n FROM readability_output) WHERE n = 1 AND content IS NOT NULL")
+def article_markdown(spark, d):
+    """Markdown of articles' HTML, with the signs escaped that Markdown would read."""
+    a = telemetry.latest(table(spark, d, "readability_output"), "article_id", "loaded_at").where("content is not null")
+    return a.select("article_id", ex.html_markdown("content").alias("markdown"))
+
+
+_TAGGED = "SELECT doc_id, coalesce(replace(replace(title, '\"', ''), '&', ''), '') AS t, repeat('long abstract ', 8) AS a FROM documents"
+
+
+def tagged_of(spark, d) -> DataFrame:
+    """Pages with meta tags in several places by id, written from documents' titles (synthetic)."""
+    i, t = F.col("doc_id"), F.replace(F.replace(F.coalesce("title", F.lit("")), F.lit('"'), F.lit("")), F.lit("&"), F.lit(""))
+    tag = lambda name, value, kind="name": F.concat(F.lit(f'<meta {kind}="{name}" content="'), value, F.lit('"/>'))
+    long = F.lit("long abstract " * 8)
+    html = F.concat(
+        F.lit("<html><head><title> Plain </title>"), F.when(i % 3 == 0, tag("og:title", t, "property")).otherwise(""), F.when(i % 4 == 0, tag("citation_title", F.concat(F.lit("C "), t))).otherwise(""),
+        F.when(i % 5 == 0, tag("description", F.lit("short"))).otherwise(""), F.when(i % 5 == 1, tag("og:description", F.concat(F.lit("o"), long), "property")).otherwise(""), F.when(i % 7 == 0, tag("citation_abstract", long)).otherwise(""),
+        F.when(i % 2 == 0, tag("citation_pdf_url", F.concat(F.lit("/pdf/"), i.cast("string")))).otherwise(""), F.when(i % 9 == 0, F.lit("</head><a href='/articles/PMC12'>x</a>")).otherwise("</head>"), F.lit("</html>"),
+    )
+    return table(spark, d, "documents").select("doc_id", html.alias("html"))
+
+
+@query(f"WITH p AS ({_TAGGED}) SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'C ' || t WHEN doc_id % 3 = 0 AND t <> '' THEN t ELSE 'Plain' END AS title, CASE WHEN doc_id % 7 = 0 THEN 'citation_abstract' WHEN doc_id % 5 = 1 THEN 'og:description' END AS source, CASE WHEN doc_id % 7 = 0 THEN a WHEN doc_id % 5 = 1 THEN 'o' || a END AS abstract, CASE WHEN doc_id % 2 = 0 THEN '/pdf/' || doc_id END AS pdf, CASE WHEN doc_id % 9 = 0 THEN 'https://pmc.ncbi.nlm.nih.gov/articles/PMC12/' END AS archive FROM p")
+def page_tags(spark, d):
+    """Title, abstract, citation PDF and archive address of pages by their meta tags and links."""
+    p = tagged_of(spark, d).withColumn("a", T.abstract("html"))
+    return p.select("doc_id", T.page_title("html").alias("title"), F.col("a.source").alias("source"), F.col("a.content").alias("abstract"), T.citation_pdf("html").alias("pdf"), T.full_text_address("html").alias("archive"))
+
+
+def fetches_of(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(fetches, PDF pages) written from articles (synthetic): by id a 404, a redirect to a barred address or a relative one,
+    an own PDF, a page whose citation tag names a PDF, or a plain article; a tenth is captured twice."""
     a = telemetry.latest(table(spark, d, "readability_output"), "article_id", "loaded_at").where("content is not null")
     i = F.col("article_id")
-    hops = F.when(i % 11 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    f = a.select(
-        F.concat("url", F.lit("#"), i.cast("string")).alias("url"),
-        F.explode(hops).alias("hop"),
-        F.when(i % 7 == 0, 404).otherwise(200).alias("status"),
-        F.when(i % 5 == 0, "application/pdf").otherwise("text/html").alias("content_type"),
-        F.when(i % 11 == 0, "http://10.0.0.1/").alias("location"),
-        F.encode("content", "UTF-8").alias("body"),
+    n = i.cast("string")
+    url = F.concat(F.lit("https://site.test/a/"), n)
+    kind = F.when(i % 7 == 0, "missing").when(i % 11 == 0, "barred").when(i % 13 == 0, "moved").when(i % 5 == 0, "pdf").when(i % 3 == 0, "cited").otherwise("plain")
+    base = a.select(i, n.alias("n"), url.alias("url"), kind.alias("kind"), "content")
+    pdf = F.concat(F.lit("%PDF-1.7 "), F.col("n"))
+    none = F.lit(None).cast("string")
+    hop = lambda url, k, status, location, ctype, body: F.struct(url.alias("url"), F.lit(k).alias("hop"), F.lit(status).alias("status"), location.alias("location"), F.lit(ctype).alias("content_type"), body.alias("body"))
+    u, k = F.col("url"), F.col("kind")
+    html = F.concat(F.when(k == "cited", F.concat(F.lit('<meta name="citation_pdf_url" content="../p/'), F.col("n"), F.lit('.pdf">'))).otherwise(""), F.col("content"))
+    there = F.concat(F.lit("https://site.test/p/"), F.col("n"), F.lit(".pdf"))
+    hops = (
+        F.when(k == "missing", F.array(hop(u, 0, 404, none, "text/html", html)))
+        .when(k == "barred", F.array(hop(u, 0, 302, F.lit("http://10.0.0.1/"), "text/html", F.lit("")), hop(u, 1, 200, none, "text/html", html)))
+        .when(k == "moved", F.array(hop(u, 0, 301, F.lit("/moved?x=1"), "text/html", F.lit("")), hop(u, 1, 200, none, "text/html", html)))
+        .when(k == "pdf", F.array(hop(u, 0, 200, none, "application/pdf", pdf)))
+        .when(k == "cited", F.array(hop(u, 0, 200, none, "text/html", html), hop(there, 0, 200, none, "application/octet-stream", pdf)))
+        .otherwise(F.array(hop(u, 0, 200, none, "text/html", html)))
     )
-    return ex.extract(f, None, "full")
+    again = F.explode(F.when(i % 10 == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    f = base.select(hops.alias("h"), i, again.alias("fetch_id")).select("fetch_id", F.explode("h").alias("h")).select("fetch_id", "h.*").withColumn("body", F.encode("body", "UTF-8"))
+    pages = base.where("kind in ('pdf', 'cited') and article_id % 2 = 0").select(F.when(k == "pdf", u).otherwise(there).alias("url"), F.explode(F.array(F.struct(F.lit(1).alias("page_no"), F.concat(F.lit("one "), F.col("n")).alias("text")), F.struct(F.lit(2).alias("page_no"), F.lit("two").alias("text")))).alias("p")).select("url", "p.*")
+    return f, pages
+
 
+_KIND = "SELECT article_id, 'https://site.test/a/' || article_id AS url, CASE WHEN article_id % 7 = 0 THEN 'missing' WHEN article_id % 11 = 0 THEN 'barred' WHEN article_id % 13 = 0 THEN 'moved' WHEN article_id % 5 = 0 THEN 'pdf' WHEN article_id % 3 = 0 THEN 'cited' ELSE 'plain' END AS kind, article_id % 2 = 0 AS readable, content FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY loaded_at DESC) AS n FROM readability_output) WHERE n = 1 AND content IS NOT NULL"
+_TIERS = f"""k AS ({_KIND}), x AS (SELECT url, kind, readable, substr(regexp_replace({_MD(_PLAIN('content'))}, '^\\s+', ''), 1, 8000) AS md FROM k),
+t AS (SELECT url, CASE WHEN kind IN ('missing', 'barred') THEN NULL WHEN kind = 'pdf' AND NOT readable THEN NULL WHEN kind = 'pdf' OR (kind = 'cited' AND readable) THEN 'one ' || substr(url, 21) || chr(10) || chr(10) || 'two' WHEN md = '' THEN NULL ELSE md END AS content, CASE WHEN readable AND kind IN ('pdf', 'cited') THEN 2 END::INT AS page_count,
+CASE WHEN kind IN ('missing', 'barred') OR (kind = 'pdf' AND NOT readable) OR (md = '' AND NOT (readable AND kind IN ('pdf', 'cited'))) THEN NULL ELSE 'full_text' END AS extraction_quality, CASE WHEN kind = 'missing' THEN 'http 404' WHEN kind = 'barred' THEN 'private/internal address blocked: http://10.0.0.1/' WHEN kind = 'pdf' AND NOT readable THEN 'pdf parse failed: no pages' WHEN md = '' AND NOT (readable AND kind IN ('pdf', 'cited')) THEN 'no extractable content' END AS error FROM x)"""
 
+
+@query(f"WITH {_TIERS}, c AS (SELECT 'https://site.test/p/' || article_id || '.pdf' AS url, CASE WHEN readable THEN 'one ' || article_id || chr(10) || chr(10) || 'two' END AS content, CASE WHEN readable THEN 2 END::INT AS page_count, CASE WHEN readable THEN 'full_text' END AS extraction_quality, CASE WHEN NOT readable THEN 'pdf parse failed: no pages' END AS error FROM k WHERE kind = 'cited') SELECT * FROM t UNION ALL SELECT * FROM c")
+def extract_tiers(spark, d):
+    """Fetched pages through the tiers: redirects, PDFs of their own or named by a tag, articles as Markdown, failures."""
+    f, pages = fetches_of(spark, d)
+    return ex.extract(f, pages, "full").select("url", "content", "page_count", "extraction_quality", "error")
+
+
+@query(f"WITH {_TIERS} SELECT url, CASE WHEN coalesce(error, '') <> '' AND coalesce(content, '') = '' THEN 'EXTRACT_FAILED' END AS code FROM t")
+def extract_call(spark, d):
+    """Extract as a call: which addresses fail."""
+    from .api import extract
+
+    f, pages = fetches_of(spark, d)
+    return extract(f, 8000, "full", pages).where("url like '%/a/%'").select("url", "failure.code")
+
+
+@query(
+    f"""WITH {_FIRST}, o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY spot) AS rank, url IN (SELECT url FROM hits WHERE title IS NOT NULL AND url IS NOT NULL AND hit_id % 2 = 0) AS f FROM marked WHERE spot < 10 AND NOT ad)
+SELECT page_id, rank::INT AS rank, url, CASE WHEN f THEN 'abstract ' || repeat('x', 90) END AS content, CASE WHEN f THEN 'meta_abstract' END AS extraction_quality FROM o WHERE rank <= 5"""
+)
+def search_extract(spark, d):
+    """Hits with the abstracts of their pages; the addresses of every second hit were fetched, twice each (synthetic)."""
+    from .api import search_extract as call
+
+    body = F.encode(F.lit('<meta name="description" content="abstract ' + "x" * 90 + '">'), "UTF-8")
+    half = hits_of(spark, d).where("title is not null and url is not null and hit_id % 2 = 0")
+    f = half.select("url", F.lit(0).alias("hop"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("location"), F.lit("text/html").alias("content_type"), body.alias("body"))
+    return call(pages_of(spark, d), f.union(f), 5).select("page_id", "rank", "url", "content", "extraction_quality")

@@ -2,34 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.telemetry import truncated
 
 EVENT = "ts string, type string, data variant, _corrupt_record string"
 
 
+_DAY = r"(\d{4}-\d{2}-\d{2})[^/]*(?:/[^/]*)?$"
+
+
 def read_events(spark: SparkSession, path: str, since_day: str | None = None) -> DataFrame:
-    """(ts, type, data, file) of the valid lines of the *.jsonl files of a folder; broken lines are left out."""
-    raw = spark.read.schema(EVENT).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.jsonl").json(path)
-    raw = raw.withColumn("file", F.col("_metadata.file_name"))
+    """(ts, type, data, day) of the valid lines of a log: <day>.jsonl files, or day=<day> folders as write_events makes.
+
+    Broken lines are left out; days before since_day are not read.
+    """
+    raw = spark.read.schema(EVENT).option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jsonl,txt}").json(path)
+    raw = raw.withColumn("day", F.regexp_extract(F.col("_metadata.file_path"), _DAY, 1))
     if since_day:
-        raw = raw.where(F.col("file") >= f"{since_day}.jsonl")
+        raw = raw.where(F.col("day") >= since_day)
     shape = F.schema_of_variant("data")
-    return raw.where(F.col("_corrupt_record").isNull() & F.col("ts").isNotNull() & F.col("type").isNotNull() & (shape.startswith("OBJECT") | shape.startswith("ARRAY"))).select("ts", "type", "data", "file")
+    return raw.where(F.col("_corrupt_record").isNull() & F.col("ts").isNotNull() & F.col("type").isNotNull() & (shape.startswith("OBJECT") | shape.startswith("ARRAY"))).select("ts", "type", "data", "day")
+
+
+def event_line(events: DataFrame, most: int = 4096) -> Column:
+    """The line of an event(ts, type, data JSON text) in a log; NULL if its data is no JSON."""
+    data = F.try_parse_json(truncated(events, "ts", "type", "data", most))
+    return F.when(data.isNotNull(), F.to_json(F.struct("ts", "type", data.alias("data"))))
 
 
-def write_events(events: DataFrame, path: str, most: int = 4096) -> None:
-    """Append events(ts, type, data JSON text), one folder a UTC day; data of lines that are too long is cut to a note."""
-    out = events.select("ts", "type", truncated(events, "ts", "type", "data", most).alias("data"), F.substring("ts", 1, 10).alias("dt"))
-    out.write.mode("append").partitionBy("dt").json(path)
+def write_events(events: DataFrame, path: str, most: int = 4096, enabled: bool = True) -> None:
+    """Append events(ts, type, data JSON text), one folder a UTC day; data of lines that are too long is cut to a note.
 
+    Events whose data is no JSON are left out; a log that is not enabled writes nothing.
+    """
+    if enabled:
+        lines = events.select(event_line(events, most).alias("value"), F.substring("ts", 1, 10).alias("day"))
+        lines.where("value is not null and day is not null").write.mode("append").partitionBy("day").text(path)
 
-def log_size(spark: SparkSession, path: str) -> DataFrame:
-    """(files, events): empty files count as files."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*.jsonl")
-    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
-    return read_events(spark, path).agg(F.lit(len(found or ())).alias("files"), F.count("*").alias("events"))
+
+def log_size(spark: SparkSession, path: str, enabled: bool = True) -> DataFrame:
+    """(files, events): empty files count as files; a log that is not enabled has none of either."""
+    if not enabled:
+        return spark.range(1).select(F.lit(0).alias("files"), F.lit(0).cast("bigint").alias("events"))
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sum(len(fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{glob}")) or ()) for glob in ("*.jsonl", "*/*.txt"))
+    return read_events(spark, path).agg(F.lit(found).alias("files"), F.count("*").alias("events"))
 
 
 def read_stats(spark: SparkSession, path: str, known: list[str]) -> DataFrame:
@@ -47,16 +66,23 @@ def write_stats(stats: DataFrame, path: str) -> None:
     doc.coalesce(1).write.mode("overwrite").text(path)
 
 
-def cache_key(*parts: str):
-    """The key of a cached search and its file name."""
+def cache_key(*parts: str | Column) -> Column:
+    """STRUCT<key, name>: the key of a cached search and its file name."""
     key = F.concat_ws("|", *parts)
     return F.struct(key.alias("key"), F.substring(F.sha2(key, 256), 1, 16).alias("name"))
 
 
-def put_entries(entries: DataFrame, new: DataFrame) -> DataFrame:
-    """Entries (ns, key, value, stored_at, expires_at) with the new ones; the one stored last wins."""
+def put_entries(entries: DataFrame, new: DataFrame, most: int | None = None) -> DataFrame:
+    """Entries (ns, key, value, stored_at, expires_at) with the new ones; the one stored last wins.
+
+    most: how many entries a namespace keeps, those stored last.
+    """
     both = entries.unionByName(new)
-    return both.groupBy("ns", "key").agg(F.max_by(F.struct("value", "stored_at", "expires_at"), "stored_at").alias("e")).select("ns", "key", "e.*")
+    out = both.groupBy("ns", "key").agg(F.max_by(F.struct("value", "stored_at", "expires_at"), F.struct("stored_at", "value")).alias("e")).select("ns", "key", "e.*")
+    if most is not None:
+        newest = Window.partitionBy("ns").orderBy(F.col("stored_at").desc(), F.col("key").desc())
+        out = out.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= most).drop("_n")
+    return out
 
 
 def get_entries(requests: DataFrame, entries: DataFrame) -> DataFrame:
@@ -71,5 +97,10 @@ def drop_entries(entries: DataFrame, keys: DataFrame) -> DataFrame:
     return entries.join(keys, ["ns", "key"], "left_anti")
 
 
+def clear_entries(entries: DataFrame, namespace: str | None = None) -> DataFrame:
+    """Entries without those of one namespace, or none at all."""
+    return entries.where(F.lit(False)) if namespace is None else entries.where(F.col("ns") != namespace)
+
+
 def cache_size(entries: DataFrame) -> DataFrame:
     return entries.groupBy("ns").agg(F.count("*").alias("entries"))

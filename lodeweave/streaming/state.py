@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
+from ..operators.ranking import outcome_counts
+
 EVENT = "ts string, type string, data string"
 
 
@@ -29,8 +31,8 @@ def idle_sessions(events: DataFrame, gap: str = "30 seconds") -> DataFrame:
 
 
 def running_outcomes(outcomes: DataFrame, flush: Callable[[DataFrame], None], checkpoint: str, every: str = "5 seconds"):
-    """Counters of a stream of (strategy_id, kind), handed to flush with each trigger."""
-    counts = outcomes.groupBy("strategy_id").agg(F.count_if(F.col("kind") == "win").alias("wins"), F.count_if(F.col("kind") == "zero").alias("zeros"), F.count_if(F.col("kind") == "loss").alias("losses"))
+    """Counters of a stream of (strategy_id, kind, ts), with the last win, handed to flush with each trigger."""
+    counts = outcome_counts(outcomes)
     return counts.writeStream.outputMode("update").foreachBatch(lambda df, _: flush(df)).option("checkpointLocation", checkpoint).trigger(processingTime=every)
 
 

@@ -116,7 +116,15 @@ def test_faults(spark, args, want):
 
 def test_error_codes(spark):
     df = spark.createDataFrame([("Timeout 5",), ("got 429",), ("private/internal address blocked",), ("7 h3 but 0 results",), ("resolved to private address",), (None,)], "m string")
-    assert [r.e and r.e.code for r in df.select(triage.error_code(F.col("m")).alias("e")).collect()] == ["NAV_TIMEOUT", "RATE_LIMITED", "PRIVATE_ADDRESS", "PARSER_STALE", "INTERNAL", None]
+    assert [r.e and r.e.code for r in df.select(triage.error_info(F.col("m")).alias("e")).collect()] == ["NAV_TIMEOUT", "RATE_LIMITED", "PRIVATE_ADDRESS", "PARSER_STALE", "INTERNAL", None]
+    for cloud, own, want in ((True, None, "CAPTCHA_REQUIRED"), (False, None, "CAPTCHA_RECOVER_FAIL"), (False, "do this", "CAPTCHA_RECOVER_FAIL")):
+        e = spark.range(1).select(triage.error_info(F.lit("captcha timeout"), True, cloud, F.lit(own)).alias("e")).first().e
+        assert e.code == want and not e.retryable and e.user_action == (own or triage.ADVICE[want])
+    long = spark.range(1).select(triage.error_info(F.lit("x" * 900)).alias("e")).first().e
+    assert len(long.message) == 500
+    assert [r.k for r in spark.createDataFrame([("INTERNAL",), ("OTHER",), (None,)], "c string").select(triage.is_error_code(F.col("c")).alias("k")).collect()] == [True, False, None]
+    r = spark.range(1).select(triage.response(F.lit("d"), triage.error_info(F.lit("Timeout")), F.lit("m")).alias("r")).first().r
+    assert r.is_error and r.text == "Error [NAV_TIMEOUT]: Timeout\nRetry after: 1000ms"
     assert df.select(triage.h3_in_message(F.col("m")).alias("n")).collect()[3].n == 7
 
 
@@ -141,7 +149,14 @@ def test_replays(spark):
     assert [r.hit for r in replay.cache_replay(req, 20).orderBy("request_id").collect()] == [False, True, True, False, True]
     assert not any(r.hit for r in replay.cache_replay(req, 0).collect())
     ev = req.withColumn("captcha", F.col("request_id") != 3)
-    assert [r.mode for r in replay.cascade_replay(ev).orderBy("request_id").collect()] == ["on", "on", "tier3", "tier3", "tier3"]
+    # a success keeps the count, and the third tier leaves the mode on
+    assert [(r.mode, r.failures, r.off, r.on, r.step) for r in replay.cascade_replay(ev).orderBy("request_id").collect()] == [("on", 0, 1, 0, "on"), ("on", 1, 1, 1, "retry"), ("on", 0, 1, 2, "tier3"), ("on", 0, 1, 2, None), ("on", 1, 1, 3, "retry")]
+    a = {r.request_id: (r.recent, r.retry_after_us) for r in replay.admissions(req, 2, 100).collect()}
+    assert a == {0: (1, 0), 1: (2, 5_090), 2: (2, 5_080), 3: (2, 5_010), 4: (2, 5_005)}
+    names = req.select(F.lit("h").alias("key"), "at_us", "request_id", F.when(F.col("request_id") > 0, F.col("request_id").cast("string")).alias("address"))
+    assert [(r.address, r.asked) for r in replay.name_lookups(names, 90).orderBy("request_id").collect()] == [(None, True), ("1", True), ("1", False), ("3", True), ("3", False)]
+    b = replay.failure_budget(req.withColumn("failed", F.col("request_id") != 0), 3).orderBy("request_id").collect()
+    assert [(r.failures, r.given_up) for r in b] == [(0, False), (1, False), (2, False), (3, True), (3, True)]
     assert replay.admissions(req.limit(0), 2, 100).count() == 0
 
 
@@ -184,7 +199,7 @@ def test_extract_tiers(spark):
     pdf = spark.createDataFrame([("https://d.test/", 1, "one"), ("https://d.test/", 2, "two")], "url string, page_no int, text string")
     out = {r.url: r for r in extract.extract(f, pdf).collect()}
     assert out["https://a.test/"].content == "Body text" and out["https://a.test/"].title == "A"
-    assert out["https://b.test/"].error == "private/internal address blocked (redirected)"
+    assert out["https://b.test/"].error == "private/internal address blocked: http://10.0.0.1/"
     assert out["https://c.test/"].error == "http 404"
     assert out["https://d.test/"].content == "one\n\ntwo" and out["https://d.test/"].page_count == 2
     assert out["http://localhost/"].error == "private/internal address blocked"
@@ -194,6 +209,58 @@ def test_extract_tiers(spark):
         api.extract(f, mode="other")
 
 
+def test_one_row_an_address_and_relative_redirects(spark):
+    rows = [
+        (1, "https://a.test/x/1", 0, 302, "text/html", "/y", b""), (1, "https://a.test/x/1", 1, 302, "text/html", "z?q=1", b""), (1, "https://a.test/x/1", 2, 200, "text/html", None, b"<p>old</p>"),
+        (2, "https://a.test/x/1", 0, 200, "text/html", None, b"<p>new</p>"), (2, "https://a.test/x/1", 0, 200, "text/html", None, b"<p>new</p>"),
+        *((1, "https://b.test/", k, 302, None, "/" + "r" * k, b"") for k in range(7)), (1, "https://c.test/", 0, 302, None, "//10.0.0.1/", b""), (1, "https://c.test/", 1, 200, None, None, b"x"), (1, None, 0, 200, None, None, b"x"),
+    ]
+    f = spark.createDataFrame(rows, "fetch_id int, url string, hop int, status int, content_type string, location string, body binary")
+    got = {r.url: r for r in extract.landed(f).collect()}
+    assert set(got) == {"https://a.test/x/1", "https://b.test/", "https://c.test/"} and bytes(got["https://a.test/x/1"].body) == b"<p>new</p>"
+    assert got["https://b.test/"].error == "too many redirects" and got["https://c.test/"].error == "private/internal address blocked: https://10.0.0.1/"
+    old = extract.landed(f.where("fetch_id = 1")).where("url = 'https://a.test/x/1'").first()
+    assert (old.landed, old.error, bytes(old.body)) == ("https://a.test/z?q=1", None, b"<p>old</p>")
+    assert extract.extract(f.limit(0)).count() == 0
+
+
+def test_candidates_for_pdfs(spark):
+    page = b'<title>T</title><meta name="citation_pdf_url" content="../p.pdf"><p>text</p>'
+    rows = [
+        ("https://a.test/x/", "text/html", page), ("https://a.test/p.pdf", "text/html", b"%PDF"),
+        ("https://openreview.net/forum?id=7", "text/html", b"<p>o</p>"), ("https://openreview.net/pdf?id=7", None, b"%PDF"),
+        ("https://i.test/", "text/html", b"<a href='/articles/PMC12'>x</a>"), ("https://pmc.ncbi.nlm.nih.gov/articles/PMC12/", "text/html", b'<meta name="citation_pdf_url" content="m.pdf">m'), ("https://pmc.ncbi.nlm.nih.gov/articles/PMC12/m.pdf", None, b"%PDF"),
+        ("https://n.test/", "text/html", b'<meta name="citation_pdf_url" content="http://10.0.0.1/p.pdf"><p>n</p>'), ("http://10.0.0.1/p.pdf", None, b"%PDF"),
+    ]
+    f = spark.createDataFrame([(u, 0, 200, c, None, b) for u, c, b in rows], "url string, hop int, status int, content_type string, location string, body binary")
+    pdf = spark.createDataFrame([(u, 1, u[-5:]) for u, _, b in rows if b == b"%PDF"], "url string, page_no int, text string")
+    out = {r.url: r for r in extract.extract(f, pdf).collect()}
+    assert [out[u].content for u in ("https://a.test/x/", "https://openreview.net/forum?id=7", "https://i.test/")] == ["p.pdf", "?id=7", "m.pdf"]
+    assert out["https://a.test/x/"].title == "T" and out["https://n.test/"].content == "n"
+    fenced = {r.url: r for r in extract.extract(f, pdf, fenced=True).collect()}
+    assert fenced["https://n.test/"].content == "\n--- BEGIN UNTRUSTED CONTENT ---\nn\n--- END UNTRUSTED CONTENT ---\n"
+
+
+def test_fault_text_and_captcha_modes(spark):
+    df = spark.createDataFrame([("selector_broken", 0, 8, 200, 0.3), ("network_error", 0, 0, 503, None)], "k string, n int, h int, s int, g double")
+    assert [r.d for r in df.select(triage.describe(*(F.col(c) for c in "k n h s g".split())).alias("d")).collect()] == ["type=selector_broken results=0 h3=8 geom=0.30", "type=network_error results=0 h3=0 status=503"]
+    modes = [(True, False, True, "cloud_fail_fast"), (False, True, True, "remote_debug"), (False, False, False, "always_headed"), (False, True, False, "notify_spawn")]
+    df = spark.createDataFrame(modes, "c boolean, h boolean, r boolean, want string")
+    assert all(r.m == r.want for r in df.select("want", triage.captcha_mode(F.col("c"), F.col("h"), F.col("r")).alias("m")).collect())
+
+
+def test_plans(spark):
+    """A bounded group limit before the sort, narrow keys before wide rows, pages parsed once."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    e = spark.createDataFrame([("a", 1.0, 1, 1)], "g string, v double, t int, i int")
+    assert "WindowGroupLimit" in plan(telemetry.ewma(e, "g", "v", ["t", "i"]))
+    pages = spark.createDataFrame([(1, PAGE)], "page_id bigint, html string")
+    found = plan(api.search(pages, 2))
+    assert found.count("MapInArrow") <= 2 and found.count("Exchange") <= 2 or "AdaptiveSparkPlan" in found and found.count("MapInArrow") == 1
+    wide = telemetry.latest(spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "z")], "k int, t int, x string"), "k", "t")
+    assert sorted(tuple(r) for r in wide.collect()) == [(1, 2, "y"), (2, 1, "z")]
+
+
 def test_resolve():
     assert serp.resolve("https://a.test/x/", "../p.pdf") == "https://a.test/p.pdf"
     assert serp.resolve(None, "p") is None and serp.resolve("https://a.test", None) is None

@@ -1,4 +1,5 @@
 import json
+import os
 
 
 from lodeweave.sources import events as ev
@@ -14,7 +15,7 @@ def test_event_log(spark, tmp_path):
     write(tmp_path / "2026-05-16.jsonl", [good, "{broken", json.dumps({"ts": "x", "type": "a", "data": None})])
     write(tmp_path / "2026-05-15.jsonl", [good])
     (tmp_path / "2026-05-14.jsonl").write_text("")
-    (tmp_path / "other.txt").write_text("x")
+    (tmp_path / "other.csv").write_text("x")
     assert ev.read_events(spark, str(tmp_path)).count() == 2
     assert ev.read_events(spark, str(tmp_path), "2026-05-16").count() == 1
     assert tuple(ev.log_size(spark, str(tmp_path)).first()) == (3, 2)
@@ -23,8 +24,12 @@ def test_event_log(spark, tmp_path):
 def test_write_events_cuts_long_lines(spark, tmp_path):
     df = spark.createDataFrame([("2026-05-16T08:00:00Z", "a", "1" * 5000), ("2026-05-17T08:00:00Z", "b", "{}")], "ts string, type string, data string")
     ev.write_events(df, str(tmp_path / "log"))
-    rows = {r.type: r for r in spark.read.json(str(tmp_path / "log")).collect()}
-    assert rows["a"].data == '{"_truncated":true,"_originalType":"a"}' and str(rows["b"].dt) == "2026-05-17"
+    rows = {r.type: r for r in ev.read_events(spark, str(tmp_path / "log")).collect()}
+    assert rows["a"].data.toPython() == {"_truncated": True, "_originalType": "a"} and rows["b"].day == "2026-05-17"
+    assert ev.read_events(spark, str(tmp_path / "log"), "2026-05-17").count() == 1
+    assert tuple(ev.log_size(spark, str(tmp_path / "log")).first()) == (2, 2) and tuple(ev.log_size(spark, "x", False).first()) == (0, 0)
+    ev.write_events(df, str(tmp_path / "off"), enabled=False)
+    assert not (tmp_path / "off").exists()
 
 
 def test_stats_round_trip(spark, tmp_path):
@@ -48,6 +53,16 @@ def test_cache(spark):
     assert ev.put_entries(spark.createDataFrame([], shape), newer).count() == 1
 
 
+def test_tables_between_stages_are_deleted(spark, tmp_path):
+    from lodeweave import storage
+
+    with storage.scope():
+        df = storage.stored(spark.range(3), "x")
+        path = df.inputFiles()[0].removeprefix("file://")
+        assert df.count() == 3 and os.path.exists(path)
+    assert not os.path.exists(path)
+
+
 def run(stream, tmp_path, mode="append"):
     q = stream.writeStream.format("memory").queryName("out").outputMode(mode).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -73,10 +88,10 @@ def test_streamed_admission(spark, tmp_path):
 
 def test_running_outcomes(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    spark.createDataFrame([("a", "win"), ("a", "zero"), ("b", "loss")], "strategy_id string, kind string").write.parquet(str(tmp_path / "in" / "p"))
+    spark.createDataFrame([("a", "win", 5), ("a", "win", 3), ("a", "zero", 9), ("b", "loss", 1)], "strategy_id string, kind string, ts bigint").write.parquet(str(tmp_path / "in" / "p"))
     got = {}
-    stream = spark.readStream.schema("strategy_id string, kind string").parquet(str(tmp_path / "in" / "p"))
-    q = state.running_outcomes(stream, lambda df: got.update({r.strategy_id: (r.wins, r.zeros, r.losses) for r in df.collect()}), str(tmp_path / "cp"), "1 second").start()
+    stream = spark.readStream.schema("strategy_id string, kind string, ts bigint").parquet(str(tmp_path / "in" / "p"))
+    q = state.running_outcomes(stream, lambda df: got.update({r.strategy_id: (r.wins, r.zeros, r.losses, r.last_win) for r in df.collect()}), str(tmp_path / "cp"), "1 second").start()
     q.processAllAvailable()
     q.stop()
-    assert got == {"a": (1, 1, 0), "b": (0, 0, 1)}
+    assert got == {"a": (2, 1, 0, 5), "b": (0, 0, 1, None)}

@@ -94,4 +94,4 @@ def test_dom_survives_broken_pages():
 def test_main_text_and_markdown():
     html = "<html><body><nav>Menu</nav><main><h1>T</h1><p>a <b>b</b> <a href='u'>l</a></p><ul><li>x</li><li>y</li></ul><pre>c d</pre></main><footer>F</footer></body></html>"
     assert main_text(html).split("\n") == ["T", "", "a b l", "", "x", "", "y", "", "c d"] or "Menu" not in main_text(html)
-    assert markdown(html.replace("<nav>Menu</nav>", "")).startswith("# T\n\na **b** [l](u)\n\n- x\n- y\n\n```\nc d\n```")
+    assert markdown(html.replace("<nav>Menu</nav>", "")).startswith("# T\n\na **b** [l](u)\n\n-   x\n-   y\n\n```\nc d\n```")
