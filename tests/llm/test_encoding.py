@@ -10,7 +10,7 @@ CLEAN = [
 
 @pytest.mark.parametrize("text", CLEAN)
 def test_clean_text_of_any_language_stays(text):
-    assert E.examine([text], {}) == [None]
+    assert E.examine([text]) == [None]
 
 
 ROUND = [
@@ -21,35 +21,35 @@ ROUND = [
 
 @pytest.mark.parametrize("text, written, read", ROUND)
 def test_round_trip(text, written, read):
-    (found,) = E.examine([text.encode(written).decode(read)], {})
+    (found,) = E.examine([text.encode(written).decode(read)])
     assert found == (text, True)
 
 
 @pytest.mark.parametrize("text, written, read", [("The town’s answer came late.", "utf-8", "cp850"), ("I don’t know what they’re doing", "mac_roman", "cp1252"), ("the café, the résumé, the fiancé", "cp1252", "mac_roman"), ("the café, the résumé, the fiancé", "cp1252", "cp850")])
 def test_capitals_left_by_a_misreading(text, written, read):
-    assert E.examine([text.encode(written).decode(read)], {}) == [(text, True)]
+    assert E.examine([text.encode(written).decode(read)]) == [(text, True)]
 
 
 @pytest.mark.parametrize("text", ["MÜNCHEN UND KÖLN, ÄÖÜ", "PÃO DE AÇÚCAR; AÇÃO; CORAÇÕES; ÀS; ÇA", "L'École d'Évora, Àvila. LÁ, É, Ô!"])
 def test_capitals_of_clean_text_stay(text):
-    assert E.examine([text], {}) == [None]
+    assert E.examine([text]) == [None]
 
 
 def test_garbled_twice():
     once = "Gärtnerin für 30 €".encode().decode("cp1252")
     twice = once.encode().decode("cp1252", "replace")
-    (found,) = E.examine([twice], {})
+    (found,) = E.examine([twice])
     assert found is not None
-    assert E.examine([once], {}) == [("Gärtnerin für 30 €", True)]
+    assert E.examine([once]) == [("Gärtnerin für 30 €", True)]
 
 
 def test_long_text_is_labelled_in_pieces():
     text = "El niño cambió la montaña, según él. " * 3000
-    assert E.examine([text.encode().decode("latin-1")], {}) == [(text, True)]
+    assert E.examine([text.encode().decode("latin-1")]) == [(text, True)]
 
 
 def test_lost_characters_are_found_but_not_whole():
-    (found,) = E.examine(["the caf�� by the quay"], {})
+    (found,) = E.examine(["the caf�� by the quay"])
     assert found[1] is False
 
 
