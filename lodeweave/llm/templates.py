@@ -1,37 +1,42 @@
 """Template residue and error pages.
 
-Short messages (error values, and content short enough to be a notice) are masked, pre-aggregated and mined for
-templates with a fixed-depth prefix tree: first by number of tokens, then by the leading tokens, then by the
-nearest template in the leaf.  Each template is classified once and its verdict goes back to all its messages.
+A linear word model (see notices) scores every text, of any length.  Those that do not clearly read like ordinary
+text are masked, pre-aggregated and mined for templates with a fixed-depth prefix tree: first by number of tokens,
+then by the leading tokens, then by the nearest template in the leaf.  Leaves are salted, so that none is mined in one
+task, and the templates of the salts are merged by leaf.  Each template is classified once, by a model of its words,
+support, spread over sites and form, and its verdict goes back to all its messages.
 Ordinary records are searched separately for slots that were never filled, filler passages and printed empty
 values; text quoted as code is left out of that search.
 
 Defined cases: null and blank values give no finding; a repeated row gives its id once; texts of any length are
-read whole; an unknown short message is clean unless its template reads like a notice.
+read whole; without a column url a template's spread counts as one site.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import notices
 from .common import map_batches, stored
 
-MAX_TOKENS = 60  # longer texts are ordinary records, not messages
 DEPTH = 3  # leading tokens that the prefix tree looks at
 SIMILARITY = 0.5  # share of equal tokens that joins a message to a template
 SALTS = 16  # parts of each leaf, so that no leaf is mined in one task
+MAX_ROWS = 600  # records whose sentences train the word model, taken by the hash of their id
+MAX_TEMPLATES = 5000  # templates that train the template model, taken by the hash of their text
 
 # Forms in which templating systems write a slot.
 _NAME = r"[A-Za-z_][\w.\-]*(?:\s[A-Za-z_][\w.\-]*){0,3}"
 SLOT = re.compile(
-    r"\{\{[^{}\n]{1,80}\}\}|\$\{[^{}\n]{1,80}\}|\{%[^%\n]{1,80}%\}|<%[^%\n]{1,80}%>|#\{[^{}\n]{1,80}\}"
+    r"\{\{[^{}\n]+\}\}|\$\{[^{}\n]+\}|\{%[^%\n]+%\}|<%[^%\n]+%>|#\{[^{}\n]+\}"
     rf"|__[A-Z][A-Za-z0-9_.]*__|%%{_NAME}%%|@@{_NAME}@@|\[\[{_NAME}\]\]"
-    r"|\[(?:INSERT|Insert|insert|YOUR|Your|your|ENTER|Enter|ADD|Add)\s[^\]\n]{1,60}\]"
-    r"|(?<![\w{$#\\])\{[A-Za-z_][\w.]{2,40}\}|(?<![\w{$#\\])\{[A-Z_]+(?:\s[A-Z_]+){0,3}\}|<[A-Z][A-Z_.]{2,40}(?:\s[A-Z_.]{2,40}){0,3}>"
-    r"|(?<![\w%])%[A-Z][A-Z_]{2,40}%(?!\w)"
+    r"|\[(?:INSERT|Insert|insert|YOUR|Your|your|ENTER|Enter|ADD|Add)\s[^\]\n]+\]"
+    r"|(?<![\w{$#\\])\{[A-Za-z_][\w.]{2,}\}|(?<![\w{$#\\])\{[A-Z_]+(?:\s[A-Z_]+){0,3}\}|<[A-Z][A-Z_.]{2,}(?:\s[A-Z_.]{2,}){0,3}>"
+    r"|(?<![\w%])%[A-Z][A-Z_]{2,}%(?!\w)"
 )
 _SLOT_MARK = re.compile(r"[{%@\[<_]")
 CODE = re.compile(r"```.*?```|`[^`\n]*`|<(code|pre|kbd|samp)\b[^>]*>.*?</\1>", re.S | re.I)
@@ -73,22 +78,6 @@ OWN_ERROR = re.compile(
     re.I,
 )
 
-# What a notice says, by subject.  A template is a notice if most of its sentences speak so.
-NOTICE = re.compile(
-    r"\b(?:enable|activate|activez|needs?|requires?|turn on|switch on|allow|without|disabled?|supports?|run)\b.{0,60}\b(?:javascript|scripts?|cookies)\b|\b(?:javascript|scripts?|cookies)\b.{0,60}\b(?:disabled|off|enabled|required|needed|necessary|blocked|blocker|to work|turned)\b"
-    r"|javascript.{0,40}(?:aktivier|activ|actív|habilit|nécess|necesit|benötig|erforder|necess|abilita|활성화|켜|有効|オン|включ)|(?:자바스크립트|ジャバスクリプト).{0,40}|(?:nécessite|necesita|benötigt|precisa|richiede|требует).{0,40}javascript"
-    r"|\bturn them on\b|\breload (?:the|this) page\b|\bblocker stops\b|\blegacy version of\b"
-    r"|\b(?:page|link|file|document|address|url|resource)\b.{0,50}\b(?:not (?:be )?found|does(?: not|n.t) exist|no longer (?:exists|available)|has been (?:moved|removed|deleted)|went nowhere|missing|broken)\b|\bnot found\b|\bgo back to the (?:start|home|front)|\bvisit our homepage\b|\btry the search box\b"
-    r"|nicht gefunden|seite.{0,30}(?:existiert nicht|nicht verfügbar)|introuvable|n.existe (?:pas|plus)|no (?:se )?(?:ha )?(?:encontrad|encuentr|existe)|não (?:foi )?(?:encontrad|existe)|non (?:è stata )?trovat|찾을 수 없|존재하지 않|見つかりません|存在しません|не найден"
-    r"|\b(?:access|permission|request)\b.{0,30}\b(?:denied|forbidden|refused|blocked|rejected)\b|\bforbidden\b|\bdo(?:es)? not have permission\b|\bnot authori[sz]ed\b|zugriff verweigert|accès (?:refusé|interdit)|acceso denegado|acesso negado|접근.{0,10}(?:거부|차단|제한)|アクセス.{0,8}(?:拒否|禁止)|доступ (?:запрещ|ограничен)"
-    r"|\b(?:internal|unexpected|unknown) (?:server )?error\b|\bserver (?:met|error|encountered|could not|is (?:down|busy|overloaded))|\bcould not complete your request\b|\bsomething went wrong\b|\btry again (?:in|later)\b|\b(?:service|temporarily|currently|site) (?:temporarily )?(?:unavailable|overloaded)\b|\bbad gateway\b|\bgateway time-?out\b|\bunder maintenance\b|\bscheduled maintenance\b|fehlercode|erreur (?:interne|serveur|\d)|error \d{3}|오류가 발생|エラーが発生|ошибка (?:сервера|\d)"
-    r"|\bdatabase connection\b|\bmysqli?_|\bconnection (?:refused|was reset|timed out|reset)\b|\bcan.t be reached\b|\bfatal error\b|\buncaught \w*(?:error|exception)\b|\bstack trace\b|\bwarning: \w+\(|\bnginx/|\bapache/|\bcloudflare\b|\bray id\b|\bincident [0-9a-f<]|\breference #"
-    r"|\btoo many requests\b|\baddress has been limited\b|\brate limit|\bunusual traffic\b|\bnot a robot\b|\bare (?:you )?human\b|\bchecking your browser\b|\bcomplete the (?:check|captcha|challenge)\b|\bcaptcha\b|\bthis process is automatic\b|\bverify (?:that )?you\b|로봇이 아|비정상적인 트래픽|ロボットではない"
-    r"|\bsession (?:has )?expired\b|\b(?:sign|log) in again\b|\bmust be (?:logged|signed) in\b|\b(?:sign|log) in to (?:continue|read|view)\b|세션이 만료|sitzung.{0,20}abgelaufen|session a expiré|sesión ha (?:caducado|expirado)"
-    r"|^\s*loading\s*(?:\.\.\.|…)?\s*$|\bnothing appears after\b|<html|<title>|\berror</title>|^\s*[45]\d\d(?:\s+\w+){1,4}\s*$|\breload\b.{0,20}\bto try again\b",
-    re.I | re.M,
-)
-
 _NUM, _HEX, _HOST = re.compile(r"\d+(?:[.,]\d+)*"), re.compile(r"\b(?=[0-9a-f.]*\d)(?=[0-9a-f.]*[a-f])[0-9a-f]{4,}(?:\.[0-9a-f]{4,})*\b", re.I), re.compile(r"\b(?:[\w-]+\.)+[a-z]{2,12}\b")
 WILD = "<*>"
 
@@ -136,22 +125,11 @@ def has_filler(text: str) -> bool:
     return False
 
 
-def is_notice(template: str) -> bool:
-    """Whether a template reads like a site's error page, block notice or demand to enable scripts."""
-    parts = [p for p in _SENTENCE.split(template.replace("<num>", "404").replace("<hex>", "a0b1").replace("<host>", "site.example")) if p.strip()]
-    hits = sum(len(p.split()) for p in parts if NOTICE.search(p))
-    total = sum(len(p.split()) for p in parts)
-    if not hits and NOTICE.search(" ".join(parts)):
-        hits = total
-    return total > 0 and hits >= 0.34 * total
-
-
 class PrefixTree:
     """Templates of messages that share token count and leading tokens (one leaf of a fixed-depth tree)."""
 
     def __init__(self) -> None:
         self.templates: list[list[str]] = []
-        self.verdicts: list[bool] = []
 
     def add(self, tokens: list[str]) -> int:
         best, at = -1.0, -1
@@ -172,20 +150,21 @@ def leaf_key(masked: str, depth: int = DEPTH) -> str:
     return f"{len(tokens)}|" + " ".join(WILD if any(c.isdigit() for c in t) or t[:1] == "<" else t for t in tokens[:depth])
 
 
-def scan_records(ids: list[int], contents: list[str | None], errors: list[str | None]) -> dict[str, list]:
-    """(extract_id, field_name, kind, message): kind 'residue' for slots and filler, 'message' for what is to be mined."""
-    out: dict[str, list] = {"extract_id": [], "field_name": [], "kind": [], "message": [], "leaf": []}
-    for i, *values in zip(ids, contents, errors):
+def scan_records(model: notices.WordModel, ids: list[int], contents: list[str | None], errors: list[str | None], urls: list[str | None]) -> dict[str, list]:
+    """(extract_id, field_name, kind, message, leaf, site): 'residue' for slots and filler, 'message' for what is to be mined."""
+    out: dict[str, list] = {"extract_id": [], "field_name": [], "kind": [], "message": [], "leaf": [], "site": []}
+    for i, *values, url in zip(ids, contents, errors, urls):
         for field, text in zip(("content", "error"), values):
             if i is None or not text or text.isspace():
                 continue
             if has_slot(text) or has_filler(text):
-                row = ("residue", None, None)
-            elif len(text) < 1200 and len(text.split()) <= MAX_TOKENS:
-                if field == "error" and OWN_ERROR.fullmatch(text):
-                    continue
+                row = ("residue", None, None, None)
+            elif field == "error" and OWN_ERROR.fullmatch(text):
+                continue
+            elif model(text) >= notices.CANDIDATE:
                 m = mask(text)
-                row = ("message", m, leaf_key(m))
+                site = _SITE.match(url or "")
+                row = ("message", m, leaf_key(m), site[1].lower() if site else "")
             else:
                 continue
             for k, v in zip(out, (i, field, *row)):
@@ -193,45 +172,98 @@ def scan_records(ids: list[int], contents: list[str | None], errors: list[str |
     return out
 
 
-def mine_templates(messages: DataFrame) -> DataFrame:
-    """(message, template, is_notice) from pre-aggregated messages(message, leaf, n): streaming over sorted leaves."""
-    schema = "message string, template string, is_notice boolean"
+_SITE = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
+
+
+def _mine(parts: DataFrame, by: str) -> DataFrame:
+    """(by, place, message, template): each message with the place of its template, and each template of a part.
+
+    Rows stream through sorted parts; only the templates of one part are held.
+    """
 
     def run(batches):
-        leaf, tree, held = None, PrefixTree(), []
+        part, tree = None, PrefixTree()
 
-        def flush():
-            verdicts = [is_notice(" ".join(t)) for t in tree.templates]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([m for m, _ in held]), pa.array([" ".join(tree.templates[k]) for _, k in held]), pa.array([verdicts[k] for _, k in held])],
-                names=["message", "template", "is_notice"],
-            )
+        def found():
+            n = len(tree.templates)
+            return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.string()), pa.array(range(n), pa.int64()), pa.array([None] * n, pa.string()), pa.array([" ".join(t) for t in tree.templates], pa.string())], names=names)
 
+        names = [by, "place", "message", "template"]
         for b in batches:
-            for key, message in zip(b.column("part").to_pylist(), b.column("message").to_pylist()):
-                if (key != leaf or len(held) >= 50_000) and held:
-                    yield flush()
-                    tree, held = PrefixTree(), []
-                leaf = key
-                held.append((message, tree.add(message.split(" "))))
-        if held:
-            yield flush()
+            rows = ([], [], [])
+            for key, message in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if key != part:
+                    if tree.templates:
+                        yield found()
+                    part, tree = key, PrefixTree()
+                for column, v in zip(rows, (key, tree.add(message.split(" ")), message)):
+                    column.append(v)
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string()), pa.nulls(len(rows[0]), pa.string())], names=names)
+        if tree.templates:
+            yield found()
+
+    return parts.select(by, "message").repartition(by).sortWithinPartitions(by, "message").mapInArrow(run, f"{by} string, place bigint, message string, template string")
+
+
+def mine_templates(messages: DataFrame) -> DataFrame:
+    """(message, template) of different messages(message, leaf)."""
+    salt = F.pmod(F.xxhash64("message"), F.lit(SALTS)).cast("string")
+    mined = stored(_mine(messages.select(F.concat_ws("#", "leaf", salt).alias("part"), "message"), "part"), "mined")
+    ends = mined.where("template is not null").select("part", "place", "template", F.regexp_replace("part", "#[0-9]+$", "").alias("leaf"))
+    # the templates of a leaf's salts, merged by mining them again
+    merged = stored(_mine(ends.select("leaf", F.col("template").alias("message")).distinct(), "leaf"), "merged")
+    whole = merged.where("template is not null").select("leaf", "place", F.col("template").alias("whole"))
+    to = merged.where("template is null").select("leaf", "place", F.col("message").alias("template")).join(whole, ["leaf", "place"]).select("leaf", "template", "whole")
+    places = ends.join(to, ["leaf", "template"]).select("part", "place", F.col("whole").alias("template"))
+    return mined.where("template is null").select("part", "place", "message").join(places, ["part", "place"]).select("message", "template")
+
+
+def word_model(extracts: DataFrame) -> notices.WordModel:
+    """Fitted to the labelled examples and to at most MAX_ROWS records, taken by the hash of their id."""
+    ids = extracts.where("content is not null and trim(content) != ''").select("extract_id").orderBy(F.xxhash64("extract_id"), "extract_id").limit(MAX_ROWS)
+    rows = extracts.join(F.broadcast(ids.distinct()), "extract_id", "left_semi").select("extract_id", "content").dropDuplicates(["extract_id"]).orderBy("extract_id")
+    first = notices.train([])
+    return notices.train([r[1] for r in rows.collect() if r[1] and not (first(r[1]) > 0 or has_slot(r[1]) or has_filler(r[1]))])
+
+
+def classify(templates: DataFrame, model: notices.WordModel) -> DataFrame:
+    """(template) of those of templates(template, n, sites) that are notices."""
+    spark = templates.sparkSession
+    sample = templates.orderBy(F.xxhash64("template"), "template").limit(MAX_TEMPLATES).collect()
+    box = spark.sparkContext.broadcast((model, notices.TemplateModel([notices.form(r[0], model(plain(r[0])), r[1], r[2]) for r in sample])))
+
+    def run(texts, ns, sites):
+        words, judge = box.value
+        yes = judge([notices.form(t, words(plain(t)), n, k) for t, n, k in zip(texts, ns, sites)])
+        return {"template": [texts[i] for i in np.flatnonzero(yes)]}
+
+    return map_batches(templates.select("template", "n", "sites"), "template string", run)
+
+
+def plain(template: str) -> str:
+    """A template without its wildcards and masks."""
+    return _MASK.sub(" ", template)
+
 
-    part = F.concat_ws("#", "leaf", F.pmod(F.xxhash64("message"), F.lit(SALTS)).cast("string"))
-    parts = messages.select(part.alias("part"), "message").repartition("part").sortWithinPartitions("part", "message")
-    return parts.mapInArrow(run, schema)
+_MASK = re.compile(r"<(?:\*|num|hex|host)>")
 
 
 def find_residue(extracts: DataFrame) -> DataFrame:
-    """(extract_id, field_name, kind, template): rows of extracts(extract_id, content, error) to be left out."""
+    """(extract_id, field_name, kind, template): rows of extracts(extract_id, content, error, url) to be left out."""
+    url = F.col("url") if "url" in extracts.columns else F.lit(None).cast("string")
+    model = word_model(extracts)
+    box = extracts.sparkSession.sparkContext.broadcast(model)
     marked = map_batches(
-        extracts.select("extract_id", "content", "error"),
-        "extract_id bigint, field_name string, kind string, message string, leaf string",
-        scan_records,
+        extracts.select("extract_id", "content", "error", url.alias("url")),
+        "extract_id bigint, field_name string, kind string, message string, leaf string, site string",
+        lambda *columns: scan_records(box.value, *columns),
     )
     marked = stored(marked, "messages")
-    counted = marked.where("kind = 'message'").groupBy("message", "leaf").agg(F.count("*").alias("n"))
-    mined = mine_templates(counted).where("is_notice")
-    notices = marked.where("kind = 'message'").join(mined, "message").select("extract_id", "field_name", F.lit("notice").alias("kind"), "template")
+    counted = marked.where("kind = 'message'").groupBy("message", "leaf", "site").agg(F.count("*").alias("n"))
+    mined = stored(mine_templates(counted.select("message", "leaf").distinct()), "templates")
+    support = counted.groupBy("message", "site").agg(F.sum("n").alias("n")).join(mined, "message").groupBy("template").agg(F.sum("n").alias("n"), F.approx_count_distinct("site").alias("sites"))
+    verdicts = mined.join(classify(support, model), "template")
+    notes = marked.where("kind = 'message'").join(verdicts, "message").select("extract_id", "field_name", F.lit("notice").alias("kind"), "template")
     residue = marked.where("kind = 'residue'").select("extract_id", "field_name", "kind", F.lit(None).cast("string").alias("template"))
-    return residue.unionByName(notices).distinct()
+    return residue.unionByName(notes).distinct()
