@@ -209,14 +209,15 @@ class WordModel:
         return self.bias + 4.0 * sum([get(w, other) for w in words]) / math.sqrt(len(words) * max(4, min(len(words), 40)) ** 0.5 * 2.0)
 
 
-def train(prose: list[str], rounds: int = 300) -> WordModel:
-    """Logistic regression over words; prose: texts of ordinary records, whose sentences are not notices."""
-    texts = [(s, 1.0) for e in EXAMPLES for s in (e, *(x for x in sentences(e) if len(tokens(x)) >= 4))]
+def train(prose: list[str], examples: list[str] = EXAMPLES, others: tuple[str, ...] | list[str] = PROSE, rounds: int = 300) -> WordModel:
+    """Logistic regression over words; prose: texts of ordinary records, whose sentences are of the other class."""
+    least = 4 if examples is EXAMPLES else 1
+    texts = [(s, 1.0) for e in examples for s in (e, *(x for x in sentences(e) if len(tokens(x)) >= least))]
     own = [s for t in prose for s in sentences(t)]
-    texts += [(s, 0.0) for s in (*PROSE, *own)]
+    texts += [(s, 0.0) for s in (*others, *own)]
     docs = [Counter(tokens(t)) for t, _ in texts]
     df: Counter = Counter(w for d in docs for w in d)
-    given = set(tokens("\n".join((*EXAMPLES, *PROSE))))
+    given = set(tokens("\n".join((*examples, *others))))
     vocab = {w: i for i, w in enumerate(sorted(w for w in df if df[w] > 2 or w in given))}
     n, unknown = len(vocab), len(vocab)
     rows = [[(vocab.get(w, unknown), c) for w, c in d.items()] for d in docs]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import boilerplate, encoding, leakage, neardup, packing, prose, scans, templates
 from .common import table
@@ -45,10 +45,14 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.find_garbled(table(spark, sf_dir, "extract_result")).distinct()
 
 
+def _site() -> Column:
+    return F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", 1).alias("site")
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both tables of pages, without the records of problem 1."""
-    extracts = table(spark, sf_dir, "extract_result").select(F.lit("extract_result").alias("table_name"), F.col("extract_id").alias("row_id"), "title", F.col("content").alias("text"))
-    articles = table(spark, sf_dir, "readability_output").select(F.lit("readability_output").alias("table_name"), F.col("article_id").alias("row_id"), "title", F.col("text_content").alias("text"))
+    extracts = table(spark, sf_dir, "extract_result").select(F.lit("extract_result").alias("table_name"), F.col("extract_id").alias("row_id"), "title", F.col("content").alias("text"), F.lit(None).cast("string").alias("html"), _site())
+    articles = table(spark, sf_dir, "readability_output").select(F.lit("readability_output").alias("table_name"), F.col("article_id").alias("row_id"), "title", F.col("text_content").alias("text"), F.col("content").alias("html"), _site())
     return extracts.unionByName(articles)
 
 
