@@ -21,14 +21,31 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import INVISIBLE, map_batches
 
-WORD = re.compile(r"[^\W_]+")
+WORD, _PIECES = re.compile(r"[^\W_]+"), re.compile("(?:[^\\W_]|\ue000)+")
 _INLINE = re.compile(r"</?(?:a|abbr|b|big|code|em|font|i|ins|kbd|mark|s|small|span|strong|sub|sup|u|wbr)(?:\s[^<>]*)?/?>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<!--.*?-->", re.S)
 _ENTITY = re.compile(r"&(?:[a-zA-Z]{2,8}|#\d{1,6}|#[xX][0-9a-fA-F]{1,6});")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑]\s*\n\s*(?=[^\W\d_])")
 
 
-def words(text: str) -> list[str]:
+def word_numbers(text: str) -> list[int]:
+    """For each word of the text without breaks at line ends, the number of the first of its pieces among words(text).
+
+    Pieces are marked before the text is split, so that both texts are split alike.
+    """
+    marked = words(_BROKEN.sub(_JOINT, text.replace(_JOINT, " ")), _PIECES)
+    out, at = [], 0
+    for w in marked:
+        out.append(at)
+        at += w.count(_JOINT) + 1
+    out.append(at)
+    return out
+
+
+_JOINT = "\ue000"  # a private character that counts as a letter between pieces
+
+
+def words(text: str, pattern: re.Pattern = WORD) -> list[str]:
     """Runs of letters and digits in lower case, without markup and invisible characters."""
     if "<" in text:
         text = _TAG.sub(" ", _INLINE.sub("", text))
@@ -36,7 +53,7 @@ def words(text: str) -> list[str]:
         text = html.unescape(text)
     if not text.isascii():
         text = INVISIBLE.sub("", text)
-    return WORD.findall(text.lower())
+    return pattern.findall(text.lower())
 
 
 class WaveletMatrix:
@@ -148,16 +165,18 @@ def find_in_shard(phrases: Phrases, docs: list[int], texts: list[str | None]) ->
     none = {k: np.zeros(0, np.int64) for k in ("doc_id", "item_id", "first_word", "last_word")}
     if not len(phrases.ids):
         return none
-    streams, owner = [], []
+    streams, owner, numbers = [], [], []
     get, zero = phrases.vocab.get, itertools.repeat(0)
     for d, t in zip(docs, texts):
         if not t or d is None:
             continue
-        for variant in (t, _BROKEN.sub("", t)) if _BROKEN.search(t) else (t,):
-            w = words(variant)
+        # a text with words broken at line ends is searched both ways; places are those of the text as it stands
+        for variant in (False, True) if _BROKEN.search(t) else (False,):
+            w = words(_BROKEN.sub("", t) if variant else t)
             if len(w) >= phrases.min_words:
                 streams.append(np.fromiter(map(get, w, zero), np.int64, len(w)))
                 owner.append(d)
+                numbers.append(np.array(word_numbers(t)) if variant else None)
     if not streams:
         return none
     lens = np.array([len(s) for s in streams])
@@ -187,33 +206,44 @@ def find_in_shard(phrases: Phrases, docs: list[int], texts: list[str | None]) ->
     pos = index.locate(rows)
     run = np.searchsorted(begin, pos, side="right") - 1
     word = a[run] + pos - begin[run]  # place in flat
-    doc_no = np.searchsorted(starts, word, side="right") - 1
-    first = word - starts[doc_no]
-    order = np.lexsort((first, item, doc_no))
-    doc_no, item, first, last = doc_no[order], item[order], first[order], (first + length - 1)[order]
-    # windows of one item overlap by all but one word: a span goes on while the next one starts inside it
-    cut = np.concatenate(([True], (np.diff(doc_no) != 0) | (np.diff(item) != 0) | (first[1:] > last[:-1] + 1)))
+    stream = np.searchsorted(starts, word, side="right") - 1
+    first = word - starts[stream]
+    last = first + length - 1
+    for k in np.unique(stream):
+        if numbers[k] is not None:
+            own = stream == k
+            first[own], last[own] = numbers[k][first[own]], numbers[k][last[own] + 1] - 1
+    doc = np.array(owner, np.int64)[stream]
+    order = np.lexsort((last, first, item, doc))
+    doc, item, first, last = doc[order], item[order], first[order], last[order]
+    # windows of one item overlap by all but one word: a span goes on while the next one starts inside or right behind it
+    cut = np.ones(len(doc), bool)
+    reach = last.copy()
+    for i in range(1, len(doc)):
+        if doc[i] == doc[i - 1] and item[i] == item[i - 1] and first[i] <= reach[i - 1] + 1:
+            cut[i], reach[i] = False, max(reach[i], reach[i - 1])
     heads = np.flatnonzero(cut)
-    return {
-        "doc_id": np.array(owner, np.int64)[doc_no[heads]],
-        "item_id": phrases.ids[item[heads]],
-        "first_word": first[heads],
-        "last_word": np.maximum.reduceat(last, heads),
-    }
+    return {"doc_id": doc[heads], "item_id": phrases.ids[item[heads]], "first_word": first[heads], "last_word": np.maximum.reduceat(last, heads)}
 
 
-def leaked_spans(documents: DataFrame, items: DataFrame, min_words: int = 12, share: float = 0.5, max_item_chars: int = 50_000_000) -> DataFrame:
+def leaked_spans(documents: DataFrame, items: DataFrame, min_words: int = 12, share: float = 0.5, part_chars: int = 20_000_000) -> DataFrame:
     """(doc_id, item_id, first_word, last_word): where documents hold unbroken runs of test items.
 
-    The test set is the one side that is held whole by every task; its size is checked against max_item_chars.
+    The test items are searched in parts of some part_chars characters, each of which every task holds while it reads
+    the documents once; a larger set takes more passes.  Sizes are added up by hash of the id, and no item is split.
     """
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    if total > max_item_chars:
-        raise ValueError(f"{total} characters of test items; search them in several calls of {max_item_chars} at most")
     spark = documents.sparkSession
-    phrases = spark.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in items.select("item_id", "text").collect()], min_words, share))
-    return map_batches(
-        documents.select("doc_id", "text").where("text is not null"),
-        "doc_id bigint, item_id bigint, first_word bigint, last_word bigint",
-        lambda ids, texts: find_in_shard(phrases.value, ids, texts),
-    )
+    known = items.select("item_id", "text").where("item_id is not null and text is not null")
+    total = known.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-total // part_chars))
+    found = None
+    for k in range(parts):
+        own = known.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else known
+        phrases = spark.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in own.collect()], min_words, share))  # about part_chars characters
+        spans = map_batches(
+            documents.select("doc_id", "text").where("text is not null"),
+            "doc_id bigint, item_id bigint, first_word bigint, last_word bigint",
+            lambda ids, texts, phrases=phrases: find_in_shard(phrases.value, ids, texts),
+        )
+        found = spans if found is None else found.unionByName(spans)
+    return found

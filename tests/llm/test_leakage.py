@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 from hypothesis import given, settings, strategies as st
 
 from lodeweave.llm import leakage as L
@@ -46,5 +45,19 @@ def test_finds_what_brute_force_finds(spark):
     whole = [r for r in spans if r.doc_id == 1 and r.item_id == 1]
     assert [(r.first_word, r.last_word) for r in whole] == [(1, 24)]
     assert L.leaked_spans(d.limit(0), i).count() == 0 and L.leaked_spans(d, i.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        L.leaked_spans(d, i, max_item_chars=10)
+    parts = L.leaked_spans(d, i, part_chars=150)  # items on both sides of the bound
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, spans))
+
+
+def test_spans_are_numbered_as_the_document_stands():
+    w = ITEM.split()
+    p = L.Phrases([(1, ITEM)])
+    text = "aa bb cc-\ndd ee " + ITEM + " zz"
+    found = L.find_in_shard(p, [7], [text])
+    at = L.words(text).index("alpha")
+    assert (found["first_word"].tolist(), found["last_word"].tolist()) == ([at], [at + 23])
+    broken = "aa bb cc-\ndd " + " ".join(w[:11]) + " " + w[11][0] + "-\n" + w[11][1:] + " " + " ".join(w[12:]) + " zz"
+    found = L.find_in_shard(p, [7], [broken])
+    at = L.words(broken).index("alpha")
+    assert (found["first_word"].tolist(), found["last_word"].tolist()) == ([at], [at + 24])  # one word stands in two pieces
+    assert L.words("a\ue000b") == ["a", "b"]
