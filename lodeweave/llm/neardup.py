@@ -29,6 +29,10 @@ SHINGLE, THRESHOLD, TOLERANCE = 3, 0.6, 1e-5
 SLOTS = 1 << 28  # one bit each: whether more than one text holds a shingle of the slot
 COARSE = 1 << 22  # counters of shingle frequency; both tables have this size whatever the input
 ID_SLOTS = 1 << 21  # slots of ids by which rows of interest are picked before they are shuffled; at most so many are broadcast
+MEMBERS = 2000  # copies of one text that one task holds
+LIST = 2048  # postings from which on a list is met in blocks, so that no task meets a whole long list
+BLOCKS = 32  # of a list at most
+TASK_BYTES = 64 << 20  # of postings that one task of the self-join reads
 WIDTH = 5  # bytes kept of each shingle hash: 2^40 values
 _MARKS = ".,;:!?\"'()[]{}«»“”„‘’‚—–-…·•*_/\\|<>#+=~`´^°%&@$€£§"
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -220,10 +224,15 @@ def _frequency(reps: DataFrame, slots: int, coarse: int) -> tuple[np.ndarray, np
     return bits, counts
 
 
-def _postings(reps: DataFrame, often: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
-    """(key, rid, at, sig0): the first shingles of each text, rare ones first; at: size and place in one number."""
+def _postings(reps: DataFrame, often: tuple[np.ndarray, np.ndarray], threshold: float, least: int = LIST) -> DataFrame:
+    """(key, rid, at, sig0, pair): the first shingles of each text, rare ones first; at: size and place in one number.
+
+    A list that may be long, by the counters, is parted in B blocks by text: a posting of block i stands in the pairs of
+    blocks (i, 0..B-1), so that every two postings of a list meet in one pair: pair is 0 for lists of one block, else it
+    holds the two blocks, the smaller one first, and whether this posting is of the first one.
+    """
     box = reps.sparkSession.sparkContext.broadcast(often)
-    schema = pa.schema([("key", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("sig0", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("sig0", pa.int64()), ("pair", pa.int32())])
 
     def run(batches):
         bits, count = box.value
@@ -231,7 +240,7 @@ def _postings(reps: DataFrame, often: tuple[np.ndarray, np.ndarray], threshold:
         fold = np.uint64(len(bits) * 8 // len(count))
         for b in batches:
             cols = b.to_pydict()
-            keys, owner, places = [], [], []
+            keys, owner, places, counts = [], [], [], []
             for i, (f, sh) in enumerate(zip(cols["field_name"], cols["sh"])):
                 s = unpack(sh)
                 at = s % slots
@@ -245,30 +254,44 @@ def _postings(reps: DataFrame, often: tuple[np.ndarray, np.ndarray], threshold:
                     keys.append((s[order[keep]] ^ salt).view(np.int64))
                     owner.append(np.full(len(keep), i))
                     places.append(keep + (n << 32))
+                    counts.append(c[order[keep]])
             if keys:
                 own = np.concatenate(owner)
-                take = lambda name: pa.array(np.array(cols[name], np.int64)[own])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), take("rid"), pa.array(np.concatenate(places).astype(np.int64)), take("sig0")], schema=schema)
+                key, place = np.concatenate(keys), np.concatenate(places).astype(np.int64)
+                rid = np.array(cols["rid"], np.int64)[own]
+                parts = np.minimum(BLOCKS, -(-np.concatenate(counts).astype(np.int64) // least))
+                parts[parts < 1] = 1
+                mine = (rid * 0x9E3779B1 >> 7) % parts
+                row = np.repeat(np.arange(len(key)), parts)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+                low, high = np.minimum(mine[row], other), np.maximum(mine[row], other)
+                pair = np.where(parts[row] > 1, 1 + 2 * (low * BLOCKS + high), 0) + ((low != high) & (mine[row] == low))
+                take = lambda name: pa.array(np.array(cols[name], np.int64)[own[row]])
+                yield pa.RecordBatch.from_arrays([pa.array(key[row]), take("rid"), pa.array(place[row]), take("sig0"), pa.array(pair.astype(np.int32))], schema=schema)
 
-    return reps.select("rid", "field_name", "sh", "sig0").mapInArrow(run, "key bigint, rid bigint, at bigint, sig0 bigint")
+    return reps.select("rid", "field_name", "sh", "sig0").mapInArrow(run, "key bigint, rid bigint, at bigint, sig0 bigint, pair int")
 
 
 def _most_apart(n: int, threshold: float, tolerance: float) -> int:
     return n - least_matches(n, threshold, tolerance)
 
 
-def similar_representatives(texts: DataFrame, least_words: dict[str, int], shingle: int = SHINGLE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, slots: int = SLOTS, coarse: int = COARSE) -> tuple[DataFrame, DataFrame]:
+def similar_representatives(texts: DataFrame, least_words: dict[str, int], shingle: int = SHINGLE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, slots: int = SLOTS, coarse: int = COARSE, least: int = LIST) -> tuple[DataFrame, DataFrame]:
     """(representatives, pairs(field_name, rep_a, rep_b, similarity)) of different texts(field_name, id, text).
 
     Pairs stay within a field: the keys of the lists are salted with its name.
     """
     texts = texts.where("id is not null and text is not null")
     reps = stored(_representatives(texts, least_words, shingle), "shingles")
-    posts = _postings(reps, _frequency(reps, slots, coarse), threshold)
+    posts = _postings(reps, _frequency(reps, slots, coarse), threshold, least)
+    # as many tasks as the postings need: they are at most so many shingles, of some 40 bytes each
+    total = reps.agg(F.sum("n")).first()[0] or 0
+    tasks = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * (1 - threshold) * 40 / TASK_BYTES))
+    posts = posts.withColumn("met", F.floor((F.col("pair") - F.when(F.col("pair") > 0, 1).otherwise(0)) / 2).cast("int")).repartition(tasks, "key", "met")
     # Both sides are the same rows, so that one exchange serves them; the places a smaller text needs are fewer, which
     # the comparison of places below sees to.
-    a = posts.select("key", *(F.col(c).alias(f"a_{c}") for c in ("rid", "at", "sig0")))
-    b = posts.select("key", *(F.col(c).alias(f"b_{c}") for c in ("rid", "at", "sig0")))
+    a = posts.select("key", "met", *(F.col(c).alias(f"a_{c}") for c in ("rid", "at", "sig0", "pair")))
+    b = posts.select("key", "met", *(F.col(c).alias(f"b_{c}") for c in ("rid", "at", "sig0", "pair")))
     size = lambda c: F.shiftright(c, 32)
     left = lambda c: size(c) - F.col(c).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
     an, bn = size("a_at"), size("b_at")
@@ -278,7 +301,9 @@ def similar_representatives(texts: DataFrame, least_words: dict[str, int], shing
     apart = F.col("a_sig0").bitwiseXOR(F.col("b_sig0"))
     low = F.lit(0xFFFFFFFF).cast("bigint")
     close = (F.bit_count(apart.bitwiseAND(low)) <= _most_apart(32, threshold, tolerance)) & (F.bit_count(apart) <= _most_apart(64, threshold, tolerance))
-    met = a.join(b, "key").where(order & (an >= bn * threshold - 1e-9) & places & close).select("a_rid", "b_rid").distinct()
+    # of two different blocks only postings of one and the other meet
+    blocks = (F.col("met") == 0) | ((F.floor(F.col("met") / BLOCKS) == F.col("met") % BLOCKS) | (F.col("a_pair") != F.col("b_pair")))
+    met = a.join(b, ["key", "met"]).where(blocks & order & (an >= bn * threshold - 1e-9) & places & close).select("a_rid", "b_rid").distinct()
     bits = lambda side: reps.select(F.col("rid").alias(f"{side}_rid"), F.col("sig0").alias(f"{side}_0"), F.col("sig1").alias(f"{side}_1"))
     more = met.join(bits("a"), "a_rid").join(bits("b"), "b_rid")
     first, second = F.bit_count(F.col("a_0").bitwiseXOR(F.col("b_0"))), F.col("a_1").bitwiseXOR(F.col("b_1"))
@@ -320,15 +345,24 @@ def similar_pairs(texts: DataFrame, least_words: dict[str, int], **options) -> D
     """(field_name, id_a, id_b) of all pairs of rows, copies included.
 
     Rows of one text form pairs among themselves if the text is long enough; the output is as large as it must be.
+    The copies of a text stand in parts of some MEMBERS rows, and what is joined with them goes to each part, so that
+    no task holds all copies of a text.
     """
     reps, pairs = similar_representatives(texts, least_words, **options)
-    members = stored(memberships(texts, reps), "members")
-    a = members.select("field_name", F.col("rep").alias("rep_a"), F.col("id").alias("x"))
-    b = members.select("field_name", F.col("rep").alias("rep_b"), F.col("id").alias("y"))
-    between = pairs.join(a, ["field_name", "rep_a"], "left").join(b, ["field_name", "rep_b"], "left")
+    members = memberships(texts, reps)
+    sizes = stored(members.groupBy("field_name", "rep").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")), "sizes")
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    members = stored(members.join(sizes, ["field_name", "rep"]).withColumn("part", part), "members")
+
+    def with_members(df: DataFrame, rep: str, name: str) -> DataFrame:
+        keys = ["field_name", rep]
+        wide = df.join(sizes.withColumnRenamed("rep", rep), keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)))
+        return wide.drop("parts").join(members.select("field_name", F.col("rep").alias(rep), "part", F.col("id").alias(name)), [*keys, "part"], "left").drop("part")
+
+    between = with_members(with_members(pairs, "rep_a", "x"), "rep_b", "y")
     x, y = F.coalesce("x", "rep_a"), F.coalesce("y", "rep_b")
     crossed = between.select("field_name", F.least(x, y).alias("id_a"), F.greatest(x, y).alias("id_b")).where("id_a != id_b")
-    same = members.select("field_name", "rep", F.col("id").alias("id_a")).join(members.select("field_name", "rep", F.col("id").alias("id_b")), ["field_name", "rep"]).where("id_a < id_b")
+    same = with_members(members.select("field_name", "rep", F.col("id").alias("id_a")), "rep", "id_b").where("id_a < id_b")
     return crossed.unionByName(same.select("field_name", "id_a", "id_b")).distinct()
 
 

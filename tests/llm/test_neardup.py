@@ -118,3 +118,25 @@ def test_default_of_stages(spark, k, threshold):
     rows = texts(9)
     df = spark.createDataFrame(rows, "field_name string, id bigint, text string")
     assert {tuple(r) for r in N.similar_pairs(df, least, shingle=k, threshold=threshold, **SMALL).collect()} == brute(rows, least, k, threshold)
+
+
+def test_long_lists_meet_in_blocks(spark):
+    """A third of all texts share their rarest shingles' lists; lists of more than eight postings are met in blocks."""
+    least = {"content": 50, "description": 20}
+    rows = texts(4)
+    stem = "every one of these texts begins with the same long sentence about the weather in the north"
+    rows += [("content", 5000 + k, f"{stem} " + " ".join(f"w{(k * 7 + j) % 40}" for j in range(50))) for k in range(len(rows) // 2)]
+    df = spark.createDataFrame(rows, "field_name string, id bigint, text string")
+    want = brute(rows, least)
+    assert {tuple(r) for r in N.similar_pairs(df, least, **SMALL, least=8).collect()} == want and want
+    reps, pairs = N.similar_representatives(df, least, **SMALL, least=1)
+    assert pairs.count() == N.similar_representatives(df, least, **SMALL)[1].count()
+
+
+def test_copies_stand_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(N, "MEMBERS", 3)
+    a, b = " ".join(f"w{j}" for j in range(60)), " ".join(f"w{j}" for j in range(58)) + " x y"
+    rows = [("content", k, a) for k in range(10)] + [("content", 100 + k, b) for k in range(7)] + [("content", 200, a + " tail")]
+    df = spark.createDataFrame(rows, "field_name string, id bigint, text string")
+    got = [tuple(r) for r in N.similar_pairs(df, {"content": 50}, **SMALL).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, {"content": 50})
