@@ -23,6 +23,7 @@ import functools
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -215,10 +216,7 @@ def parse(text: str, title: str | None, html: str | None = None) -> Page:
 
 
 def _bucket(token: str) -> int:
-    h = 2166136261
-    for b in token.encode():
-        h = (h ^ b) * 16777619 & 0xFFFFFFFF
-    return h % BUCKETS
+    return crc32(token.encode()) % BUCKETS
 
 
 class Features:
@@ -234,7 +232,8 @@ class Features:
         got = self.words.get(key)
         if got is None:
             toks = ["^", *_TOKEN.findall(key), "$"]
-            got = [self.FORM + _bucket(a) for a in set(toks[1:-1])] + [self.FORM + _bucket(f"{a} {b}") for a, b in zip(toks, toks[1:])]
+            base, n = self.FORM, BUCKETS
+            got = [base + crc32(x.encode()) % n for x in (*set(toks[1:-1]), *map(" ".join, zip(toks, toks[1:])))]
             if len(self.words) > 100_000:
                 self.words.clear()
             self.words[key] = got
