@@ -3,8 +3,10 @@
 1. Word counts over the whole corpus.  Words with at least ``max(4, N / 10^6)`` of the N occurrences are the
    lexicon; by that threshold it has 10^6 entries at most, which is the bound on what is broadcast.  Right forms
    are all words that stand four times; they are joined, not broadcast.
-2. Every word gets correction candidates by an inverted join on character q-grams; gradient-boosted trees, trained
-   on words misread on purpose, rank the candidates, and the best one replaces the word if it scores over one half.
+2. Every word of two letters or more gets correction candidates by an inverted join on its rarest character q-grams;
+   gradient-boosted trees, trained on words misread on purpose and on short names that only look alike, rank the
+   candidates, and the best one replaces the word if it scores over one half.  A word with two misread places has no
+   candidate unless they are neighbours.
 3. A logistic classifier over each line and its neighbours tells running lines (headers, footers, page numbers)
    from body; another one over a line that ends in a mark and the next body line tells words broken by the mark from
    compounds.  Both are trained on the corpus, labelled by sure signs.
@@ -277,6 +279,13 @@ def train_ranker(lexicon: dict[str, int], rare: dict[str, int] | list[str], most
                     continue  # words that are both right and look alike are seldom
             x.append(pair_features(w, c, counts[w], max(lexicon[c], LEAST_RATIO * counts[w]), model))
             y.append(0.0)
+    # short names differ by as little as a misread one does, and are right
+    for w in sorted(w for w in rare if 2 <= len(w) <= 4 and w.isalpha() and w[0].isupper() and not w.isupper()):
+        near = {w[:i] + b + w[i + len(a) :] for a, b in _VISUAL for i in range(len(w)) if w.startswith(a, i)} | {w[:i] + b + w[i + 1 :] for i in range(1, len(w)) for b in "aeiourntl"}
+        for c in sorted(near - {w}):
+            if c in lexicon and lexicon[c] >= LEAST_RATIO * counts[w]:
+                x += [pair_features(w, c, counts[w], lexicon[c], model)] * 5
+                y += [0.0] * 5
     # so frequent a word is right although a look-alike is up to 100 times as frequent; such pairs are few, hence the copies
     for w in (w for w, n in lexicon.items() if n > 3 * RARE * model.total and len(w) >= 3 and w.isalpha()):
         near = {w[:i] + b + w[i + len(a) :] for a, b in _VISUAL for i in range(len(w)) if w.startswith(a, i)}
@@ -300,9 +309,42 @@ def enough(n, n_right):
     return n_right >= LEAST_RATIO * n
 
 
+GRAMS = 1 << 16  # counters of q-grams, whatever the corpus
+
+
+def changed(word: str) -> int:
+    """How many q-grams one confusion changes at most: four of three characters, or three of two."""
+    return 3 if len(word) <= 5 else 4
+
+
+def gram_counts(lexicon: DataFrame) -> np.ndarray:
+    """In how many words of the lexicon the q-grams of a counter stand."""
+
+    def count(ws):
+        n = np.bincount(np.fromiter((crc32(g.encode()) % GRAMS for w in ws for g in set(qgrams_of(w, 2)) | set(qgrams_of(w, 3))), np.int64), minlength=GRAMS)
+        at = np.flatnonzero(n)
+        return {"at": at.tolist(), "n": n[at].tolist()}
+
+    out = np.zeros(GRAMS, np.int64)
+    for r in map_batches(lexicon.select("word"), "at int, n bigint", count).groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r[0]] = r[1]
+    return out
+
+
+def rarest(word: str, counts: np.ndarray) -> list[str]:
+    """The q-grams of a word by which it is looked up: a word that differs by one confusion has at least one of them."""
+    grams = qgrams(word)
+    return sorted(grams, key=lambda g: (counts[crc32(g.encode()) % GRAMS], g))[: changed(word) + 1]
+
+
 def find_corrections(words: DataFrame, lexicon: DataFrame, ranker) -> DataFrame:
-    """(word, right): replacements among the lexicon(word, n) for words(word, n), by an inverted join on q-grams."""
-    box = words.sparkSession.sparkContext.broadcast(ranker)
+    """(word, right): replacements among the lexicon(word, n) for words(word, n), by an inverted join on q-grams.
+
+    A word is looked up by its rarest q-grams only, as many as one confusion can change and one more, so that lists of
+    frequent q-grams are met by words that have no rarer ones alone; longer lists are left to adaptive execution.
+    """
+    spark = words.sparkSession
+    box, often = spark.sparkContext.broadcast(ranker), spark.sparkContext.broadcast(gram_counts(lexicon))
 
     def exploded(df: DataFrame, spread: bool) -> DataFrame:
         def run(ws, ns):
@@ -310,7 +352,7 @@ def find_corrections(words: DataFrame, lexicon: DataFrame, ranker) -> DataFrame:
             for w, n in zip(ws, ns):
                 for k in (len(w) - 1, len(w), len(w) + 1) if spread else (len(w),):
                     # words of five and six letters meet on both lengths of q-gram
-                    for g in sorted({*qgrams(w), *qgrams_of(w, 2 if k <= 5 else 3)}) if spread else qgrams(w):
+                    for g in sorted(set(qgrams_of(w, 2 if k <= 5 else 3))) if spread else rarest(w, often.value):
                         out["gram"].append(g)
                         out["size"].append(k)
                         out["word"].append(w)
@@ -319,31 +361,38 @@ def find_corrections(words: DataFrame, lexicon: DataFrame, ranker) -> DataFrame:
 
         return map_batches(df.select("word", "n"), "gram string, size int, word string, n bigint", run)
 
-    low = exploded(words.where(F.length("word") >= 3), False)
-    high = exploded(lexicon.where(F.length("word") >= 3), True).withColumnsRenamed({"word": "right", "n": "n_right"})
+    low = exploded(words.where(F.length("word") >= SHORTEST), False)
+    high = exploded(lexicon.where(F.length("word") >= SHORTEST), True).withColumnsRenamed({"word": "right", "n": "n_right"})
     met = low.join(high, ["gram", "size"]).where(enough(F.col("n"), F.col("n_right")) & (F.lower("word") != F.lower("right")))
-    # one confusion changes at most four q-grams of three, or three of two
-    pairs = met.groupBy("word", "right", "n", "n_right").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.greatest(F.lit(1), F.length("word") - F.when(F.length("word") <= 5, 3).otherwise(4)))
+    pairs = met.select("word", "right", "n", "n_right").distinct()
 
     def rank(ws, rs, ns, nrs):
         forest, model = box.value
         keep = []
         for row in zip(ws, rs, ns, nrs):
             _, a, b = differing(row[0], row[1])
-            if row[0][:1].isupper() and len(row[0]) <= 4 and row[0].isalpha():
-                continue  # short names differ by as little
-            if max(len(a), len(b)) <= 4:
+            if max(len(a), len(b)) <= 4 and alike(row[0], row[1]):
                 keep.append(row)
         if not keep:
             return None
         p = forest(np.array([pair_features(*row, model) for row in keep]))
         return {"word": [r[0] for r in keep], "right": [r[1] for r in keep], "n_right": [r[3] for r in keep], "p": p.tolist()}
 
-    scored = map_batches(pairs.select("word", "right", "n", "n_right"), "word string, right string, n_right bigint, p double", rank).where("p >= 0.5")
+    scored = map_batches(pairs, "word string, right string, n_right bigint, p double", rank).where("p >= 0.5")
     best = scored.groupBy("word").agg(F.max_by("right", F.struct("p", "n_right", "right")).alias("right"))
     return best
 
 
+SHORTEST = 2  # letters of a word that is looked up
+
+
+def alike(word: str, right: str) -> bool:
+    """Whether the words share the q-grams that one confusion leaves."""
+    grams = qgrams(word)
+    q = 2 if len(word) <= 5 else 3
+    return len(set(grams) & set(qgrams_of(right, q))) >= max(1, len(word) - changed(word))
+
+
 def qgrams_of(word: str, q: int) -> list[str]:
     w = f"^{word}$"
     return [w[i : i + q] for i in range(len(w) - q + 1)]
@@ -703,7 +752,7 @@ class Scans:
     """The models fitted to one corpus, and the tables they give."""
 
     def __init__(self, pdfs: DataFrame, max_sample: int = 400):
-        """pdfs(pdf_id, content).  The line classifiers are trained on at most max_sample documents."""
+        """pdfs(pdf_id, content).  The line classifiers are trained on at most max_sample documents, taken by the hash of their id."""
         self.pdfs = pdfs.select("pdf_id", "content").where("pdf_id is not null and content is not null")
         spark = pdfs.sparkSession
 
@@ -724,7 +773,9 @@ class Scans:
         self.corrections = stored(find_corrections(self.words, self.rights, ranker), "corrections")
         wrong = {r[0] for r in self.corrections.join(frequent, "word").select("word").collect()}
         good = {w: n for w, n in lexicon.items() if w not in wrong}
-        sample = [r[0] for r in self.pdfs.select("content").limit(max_sample).collect()]
+        ids = self.pdfs.select("pdf_id").distinct().orderBy(F.xxhash64("pdf_id"), "pdf_id").limit(max_sample)
+        picked = self.pdfs.join(F.broadcast(ids), "pdf_id", "left_semi").dropDuplicates(["pdf_id"]).orderBy("pdf_id")
+        sample = [r[1] for r in picked.collect()]
         weights = train_lines(sample)
         self.box = spark.sparkContext.broadcast((weights, good, JoinModel(good, sample, weights)))
         self.ranker = ranker

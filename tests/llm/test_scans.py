@@ -131,3 +131,23 @@ def test_empty(spark):
     assert S.Scans(df).noise().count() == 0
     with pytest.raises(Exception):
         S.Scans(df.drop("content"))
+
+
+def test_rarest_grams_lose_no_candidate():
+    """Words that differ by one confusion share one of the q-grams by which the first is looked up."""
+    counts = np.random.default_rng(2).integers(0, 50, S.GRAMS)
+    for right in ("rn", "of", "the", "come", "modern", "corner", "learning", "wild", "hill", "communication"):
+        for a, b in sorted(S._VISUAL):
+            for i in range(len(right)):
+                if right.startswith(a, i):
+                    w = right[:i] + b + right[i + len(a) :]
+                    if len(w) >= S.SHORTEST and w.lower() != right.lower() and abs(len(w) - len(right)) <= 1 and S.alike(w, right):
+                        q = 2 if len(w) <= 5 else 3
+                        assert set(S.rarest(w, counts)) & set(S.qgrams_of(right, q)), (w, right)
+
+
+def test_words_of_two_letters_and_short_names(spark):
+    text = "He went home of course, and many of them were out of work in the town. Anna met Bert. " * 30
+    rows = [(k, text) for k in range(20)] + [(99, "many 0f them\nBerl was out")]
+    found = S.Scans(spark.createDataFrame(rows, "pdf_id bigint, content string")).noise().where("noise = 'misread' and pdf_id = 99").collect()
+    assert ("0f", "of") in {(r.word, r.right) for r in found}
