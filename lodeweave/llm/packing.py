@@ -26,8 +26,13 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SHARD_ROWS = 50_000
 
 
-def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, n_tokens) of the texts that have any; tokenizer: path of a file of base64 tokens and their ranks."""
+def token_counts(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens) of the texts that have any.
+
+    tokenizer: path of a file of base64 tokens and their ranks, which every executor has; if left out, the session's
+    setting spark.lodeweave.tokenizer, or TOKENIZER.
+    """
+    tokenizer = tokenizer or documents.sparkSession.conf.get("spark.lodeweave.tokenizer", TOKENIZER)
     held: dict[str, object] = {}
 
     def run(ids, texts):
@@ -184,7 +189,7 @@ def pack(counts: DataFrame, targets: DataFrame) -> DataFrame:
     return map_batches(numbered, "target_id int, doc_id bigint, piece_no int, n_tokens bigint, container_id bigint", assign)
 
 
-def pack_documents(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def pack_documents(documents: DataFrame, targets: DataFrame, tokenizer: str | None = None) -> DataFrame:
     return pack(stored(token_counts(documents, tokenizer), "lengths"), targets)
 
 

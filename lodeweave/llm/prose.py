@@ -79,7 +79,8 @@ KOREAN = ("는은가이", "를을", "서에로지터께", "의와과도만씩",
 KANA = ("のこそ", "をにで", "もとやか", "はが", "たるすいてだ")
 
 
-# Profiles: shares of the five groups and of the rest, as averaged over prose segments (see fit_profiles).
+# Profiles: shares of the five groups and of the rest, as averages over prose (see fit_profiles); the Italian one is set
+# by hand.
 PROSE = {
     "en": (0.123, 0.121, 0.064, 0.039, 0.074, 0.579),
     "fr": (0.197, 0.138, 0.014, 0.005, 0.088, 0.558),
@@ -94,7 +95,8 @@ PROSE = {
 BARE = (0.005, 0.01, 0.003, 0.003, 0.002, 0.977)  # words of lists, tables, code and logs
 
 CLASSES = ("lower", "upper", "digit", "space", "stop", "comma", "bracket", "symbol", "ideograph", "hangul", "odd", "break")
-# Character shares by class, in the order of CLASSES.
+# Character shares by class, in the order of CLASSES, as averages (see fit_profiles); numbered lists, delimited tables and
+# the kinds of junk are set by hand.
 STRUCTURES = {
     "prose": (0.755, 0.028, 0.020, 0.158, 0.013, 0.014, 0.003, 0.001, 0.0, 0.0, 0.0, 0.008),
     "prose, capitals": (0.02, 0.763, 0.020, 0.158, 0.013, 0.014, 0.003, 0.001, 0.0, 0.0, 0.0, 0.008),
@@ -155,6 +157,50 @@ def class_table() -> np.ndarray:
     return out
 
 
+def word_groups(text: str, lang: str) -> np.ndarray:
+    """Shares of a language's five groups of function words, or endings and particles, and of the rest."""
+    out = np.zeros(6)
+    if lang == "ja":
+        groups = _kana_table()[np.frombuffer("".join(c for c in text if c < "\U00010000").encode("utf-16-le"), np.uint16)]
+        out += np.bincount(groups[groups < 6], minlength=6)
+    elif lang == "ko":
+        ends = {ch: j for j, group in enumerate(KOREAN) for ch in group}
+        for w in text.lower().split():
+            out[ends.get(w.rstrip(",.")[-1:], 5)] += 1
+    else:
+        ids = [_WORD_ID.get(w, 0) for w in text.lower().split()]
+        out += np.bincount(_GROUP_OF[_LANGS.index(lang)][ids], minlength=6)
+    return out / max(1.0, out.sum())
+
+
+def class_shares(text: str) -> np.ndarray:
+    """Shares of the character classes."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.bincount(class_table()[codes], minlength=len(CLASSES)) / max(1, len(codes))
+
+
+def fit_profiles(samples: list[tuple[str, str | None, str]]) -> tuple[dict[str, tuple[float, ...]], dict[str, tuple[float, ...]]]:
+    """(prose profiles by language, structure profiles) as averages over labelled samples (structure, language, text).
+
+    A language's profile comes from its samples of a structure that begins with 'prose'; no share is under 0.005, and
+    those of a profile add up to one, as in PROSE and STRUCTURES.
+    """
+    words: dict[str, list[np.ndarray]] = {}
+    chars: dict[str, list[np.ndarray]] = {}
+    for structure, lang, text in samples:
+        if not text or text.isspace():
+            continue
+        chars.setdefault(structure, []).append(class_shares(text))
+        if lang and structure.startswith("prose"):
+            words.setdefault(lang, []).append(word_groups(text, lang))
+
+    def mean(rows: list[np.ndarray], least: float) -> tuple[float, ...]:
+        m = np.maximum(np.mean(rows, 0), least)
+        return tuple(np.round(m / m.sum(), 3).tolist())
+
+    return {k: mean(v, 0.005) for k, v in words.items()}, {k: mean(v, 0.0) for k, v in chars.items()}
+
+
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon divergence in bits of rows of p (n, k) and profiles q (m, k): an (n, m) array."""
     p, q = p[:, None, :] + 1e-9, q[None, :, :] + 1e-9

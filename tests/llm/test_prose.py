@@ -1,6 +1,7 @@
+import numpy as np
 import pytest
 
-from lodeweave.llm import prose
+from lodeweave.llm import prose, prose as P
 
 PROSE = "The committee met in the old hall on Monday, and most of the members were there. They had read the report before, so the talk was short. "
 CASES = [
@@ -34,3 +35,16 @@ def test_frame(spark):
     rows = prose.text_statistics(df).collect()
     assert len(rows) == 5 and {r.doc_id: r.is_prose for r in rows} == {1: True, 2: None, 3: None, 4: True}
     assert prose.text_statistics(df.limit(0)).count() == 0
+
+
+def test_fitted_profiles():
+    english = "The river was high in the night, and the people of the town had to leave their houses because of it. They were tired. " * 20
+    korean = "시청은 오늘 아침 검색 결과를 확인했다. 농부는 올해 봄 도서관에서 채소를 찾아냈다. " * 20
+    table = "1204 | 33.5 | 17\n" * 50
+    words, chars = P.fit_profiles([("prose", "en", english), ("prose, hangul", "ko", korean), ("table", None, table), ("prose", "en", " ")])
+    for lang, got in words.items():
+        assert abs(sum(got) - 1) < 0.01 and P.divergence(np.array([got]), np.array([P.PROSE[lang]]))[0, 0] < 0.12
+        near = {k: P.divergence(np.array([got]), np.array([v]))[0, 0] for k, v in P.PROSE.items()}
+        assert near[lang] <= min(near.values()) + 0.06
+    assert abs(sum(chars["table"]) - 1) < 0.01 and chars["table"][P.CLASSES.index("digit")] > 0.4
+    assert P.fit_profiles([]) == ({}, {})
