@@ -80,7 +80,7 @@ def decision(gates_passed: Column, verdict_: Column) -> Column:
     return F.struct(go.alias("open"), (go & (verdict_ == "caution_flag")).alias("caution"))
 
 
-def offline_choice(first_selector: Column, reason: str = "SURF_LLM_HEAL not enabled") -> Column:
+def offline_choice(first_selector: Column, reason: str = "model not enabled") -> Column:
     """The choice made without a model: the first candidate, or a fixed selector.  reason: why no model was asked."""
     any_ = first_selector.isNotNull()
     return F.struct(

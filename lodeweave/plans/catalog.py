@@ -371,7 +371,7 @@ def best_attempt(spark, d):
     return score.best_attempt(a, "page_id")
 
 
-@query(f"WITH {HITS} SELECT hit_id, CASE WHEN hit_id % 4 = 0 THEN 'propose_new' ELSE 'approve_candidate' END AS decision, CASE WHEN hit_id % 4 = 0 THEN '[data-ved] h3' ELSE 'div.x' || hit_id::VARCHAR END AS selector, '[mock] SURF_LLM_HEAL not enabled, ' || CASE WHEN hit_id % 4 = 0 THEN 'fallback to data-ved anchor' ELSE 'defaulting to first candidate' END AS rationale, 'low' AS confidence, 5::INT AS expected_min_blocks FROM hits")
+@query(f"WITH {HITS} SELECT hit_id, CASE WHEN hit_id % 4 = 0 THEN 'propose_new' ELSE 'approve_candidate' END AS decision, CASE WHEN hit_id % 4 = 0 THEN '[data-ved] h3' ELSE 'div.x' || hit_id::VARCHAR END AS selector, '[mock] model not enabled, ' || CASE WHEN hit_id % 4 = 0 THEN 'fallback to data-ved anchor' ELSE 'defaulting to first candidate' END AS rationale, 'low' AS confidence, 5::INT AS expected_min_blocks FROM hits")
 def repair_offline_choice(spark, d):
     first = F.when(F.col("hit_id") % 4 != 0, F.concat(F.lit("div.x"), F.col("hit_id").cast("string")))
     return hits_of(spark, d).select("hit_id", repair.offline_choice(first).alias("c")).select("hit_id", "c.*")
