@@ -34,6 +34,7 @@ from .common import map_batches
 from .furniture import MENU
 
 BUCKETS = 1 << 14  # of hashed words and word pairs
+MAX_LINES = 4000  # of running text that train the word model
 LONG = 13  # words from which a line counts as running text
 
 _SEPARATED = re.compile(r"^[^|›»·•]{1,30}(?:\s+[|›»·•]\s+[^|›»·•]{1,30})+$")
@@ -63,9 +64,11 @@ def bare_model() -> notices.WordModel:
 
 
 def word_model(lines: list[str]) -> notices.WordModel:
-    """The same, with the running text of the sample as further prose, but for what the examples are sure of."""
+    """The same, with at most MAX_LINES lines of running text of the sample, taken by their hash, as further prose, but
+    for what the examples are sure of."""
     bare = bare_model()
-    return notices.train([x for x in lines if size_of(x) >= LONG and bare(x) < 2.0], furniture.EXAMPLES, (*furniture.BODY, *notices.PROSE))
+    some = sorted((x for x in set(lines) if size_of(x) >= LONG), key=lambda x: (crc32(x.encode()), x))[:MAX_LINES]
+    return notices.train([x for x in some if bare(x) < 2.0], furniture.EXAMPLES, (*furniture.BODY, *notices.PROSE))
 
 
 def seed_label(line: str, title: str, followed: bool, habit: int | None = None, words_of: notices.WordModel | None = None) -> int | None:
