@@ -41,6 +41,10 @@ CONFUSIONS = (
     "e c", "c e", "c o", "o c", "e o", "o e", "a o", "o a", "a e", "e a", "t f", "f t", "f r", "r f", "h b", "b h", "n u", "u n", "v y", "y v", "u v", "v u", "n h", "h n", "n r", "r n", "c (", "( c", "C (", "( C", "t +", "t l", "l t", "t 1", "1 t", "h n", "k lc", "x k", "y g", "g y", "p q", "q p", "d a", "a d", "a s", "s a", "a u", "u a", "a @", "@ a", "s $", "$ s", "S $", "$ S", "E F", "F E", "P R", "R P", "V Y", "Y V", "M N", "N M", "e 6", "e €", "fi ﬁ", "ﬁ fi", "fl ﬂ", "ﬂ fl", "t i", "J I", "L I", "U V", "K X", "H N", "N H", "W VV", "z s", "s z", "g 8", "8 g", "4 A", "A 4", "ci a", "tl d", "ni m", "rr n",
 )
 _VISUAL = {tuple(x.split(" ")) for x in CONFUSIONS}  # (seen or true, true or seen): read in both directions
+_TAKEN: dict[str, set[str]] = {}  # both directions, by piece
+for _a, _b in _VISUAL:
+    _TAKEN.setdefault(_a, set()).add(_b)
+    _TAKEN.setdefault(_b, set()).add(_a)
 _DIGIT_OF = str.maketrans({"l": "1", "I": "1", "|": "1", "i": "1", "!": "1", "O": "0", "o": "0", "D": "0", "Q": "0", "S": "5", "s": "5", "B": "8", "g": "9", "q": "9", "Z": "2", "z": "2", "b": "6", "G": "6", "T": "7", "A": "4", "(": "1"})
 
 
@@ -58,18 +62,25 @@ def count_words(texts: list[str | None]) -> Counter:
     for t in texts:
         if not t:
             continue
-        skip = False
-        for line in t.split("\n"):
-            w = line.split()
-            if not w:
+        out.update(t.split())
+        skip, left = False, []
+        for line in map(str.rstrip, t.split("\n")):
+            if not line:
                 continue
-            if skip:
-                w = w[1:]
-            skip = bool(w) and w[-1][-1] in MARKS and len(w[-1]) > 1
-            out.update(w[:-1] if skip else w)
+            ends = line[-1] in MARKS
+            if skip or ends:
+                w = line.split()
+                if skip:
+                    left.append(w[0])
+                    w = w[1:]
+                skip = ends and bool(w) and len(w[-1]) > 1
+                if skip:
+                    left.append(w[-1])
+        for x in left:
+            out[x] -= 1
     words: Counter = Counter()
     for token, n in out.items():
-        c = core(token)
+        c = core(token) if n else ""
         if c and not _NUMBER.fullmatch(c):
             if c[0] in "([":
                 inner = c.strip("([")
@@ -103,33 +114,33 @@ def _visual(x: str, y: str) -> float:
     """Cost of taking y for x: 0.3 for a known confusion, else edits; longer pieces by alignment."""
     if x == y:
         return 0.0
-    if (x, y) in _VISUAL or (y, x) in _VISUAL:
+    if y in _TAKEN.get(x, ()):
         return 0.3
     if len(x) <= 1 and len(y) <= 1:
         return 1.0
     if len(x) > 8 or len(y) > 8:
         return float(max(len(x), len(y)))
-    best = {(0, 0): 0.0}
-    for i in range(len(x) + 1):
-        for j in range(len(y) + 1):
-            if i == j == 0:
-                continue
-            opts = []
-            for di in (0, 1, 2):
-                for dj in (0, 1, 2):
-                    if (di or dj) and i >= di and j >= dj:
-                        p, q = x[i - di : i], y[j - dj : j]
-                        if di == dj == 1 and p == q:
-                            cost = 0.0
-                        elif (p, q) in _VISUAL or (q, p) in _VISUAL:
-                            cost = 0.3
-                        elif di <= 1 and dj <= 1:
-                            cost = 1.0
-                        else:
-                            continue
-                        opts.append(best[i - di, j - dj] + cost)
-            best[i, j] = min(opts)
-    return best[len(x), len(y)]
+    above, last = [], [float(j) for j in range(len(y) + 1)]
+    twos = [y[j - 1 : j + 1] for j in range(1, len(y))]
+    for i, p in enumerate(x):
+        one, two = _TAKEN.get(p, ()), _TAKEN.get(x[i - 1 : i + 1], ()) if i else ()
+        row = [i + 1.0]
+        for j, q in enumerate(y):
+            cost = last[j] + (0.0 if p == q else 0.3 if q in one else 1.0)
+            if last[j + 1] + 1.0 < cost:
+                cost = last[j + 1] + 1.0
+            if row[j] + 1.0 < cost:
+                cost = row[j] + 1.0
+            if one and j and twos[j - 1] in one:
+                cost = min(cost, last[j - 1] + 0.3)
+            if two:
+                if q in two:
+                    cost = min(cost, above[j] + 0.3)
+                if j and twos[j - 1] in two:
+                    cost = min(cost, above[j - 1] + 0.3)
+            row.append(cost)
+        above, last = last, row
+    return last[-1]
 
 
 class CharModel:
@@ -157,8 +168,9 @@ class CharModel:
         return got
 
 
-def pair_features(w: str, c: str, nw: int, nc: int, model: CharModel) -> list[float]:
-    _, x, y = differing(w, c)
+def pair_features(w: str, c: str, nw: int, nc: int, model: CharModel, pieces: tuple[str, str] | None = None) -> list[float]:
+    """pieces: those of differing(w, c), where they are known."""
+    x, y = pieces or differing(w, c)[1:]
     seen_odd = sum(not ch.isalpha() and ch not in "-'’" for ch in w)
     return [
         _visual(x, y),
@@ -368,14 +380,15 @@ def find_corrections(words: DataFrame, lexicon: DataFrame, ranker) -> DataFrame:
 
     def rank(ws, rs, ns, nrs):
         forest, model = box.value
-        keep = []
+        keep, x = [], []
         for row in zip(ws, rs, ns, nrs):
             _, a, b = differing(row[0], row[1])
-            if max(len(a), len(b)) <= 4 and alike(row[0], row[1]):
+            if len(a) <= 4 and len(b) <= 4 and alike(row[0], row[1]):
                 keep.append(row)
+                x.append(pair_features(*row, model, (a, b)))
         if not keep:
             return None
-        p = forest(np.array([pair_features(*row, model) for row in keep]))
+        p = forest(np.array(x))
         return {"word": [r[0] for r in keep], "right": [r[1] for r in keep], "n_right": [r[3] for r in keep], "p": p.tolist()}
 
     scored = map_batches(pairs, "word string, right string, n_right bigint, p double", rank).where("p >= 0.5")
@@ -388,9 +401,8 @@ SHORTEST = 2  # letters of a word that is looked up
 
 def alike(word: str, right: str) -> bool:
     """Whether the words share the q-grams that one confusion leaves."""
-    grams = qgrams(word)
     q = 2 if len(word) <= 5 else 3
-    return len(set(grams) & set(qgrams_of(right, q))) >= max(1, len(word) - changed(word))
+    return len(set(qgrams_of(word, q)).intersection(qgrams_of(right, q))) >= max(1, len(word) - changed(word))
 
 
 def qgrams_of(word: str, q: int) -> list[str]:
@@ -418,68 +430,100 @@ _ROMAN = re.compile(r"^[ivxlc\dIl]{1,6}\s*[|·•]\s*\S|\S\s*[|·•]\s*[ivxlc\d
 _EDGE_NUMBER = re.compile(r"^[\dlIOS]{1,4}\s{2,}\S|\S\s{2,}[\dlIOS]{1,4}$")
 _SAME = str.maketrans({**{c: "l" for c in "1|!iIj"}, **{c: "o" for c in "0OcCeaQD("}, **{c: "s" for c in "5S$"}, **{c: "n" for c in "uhbr"}, **{c: "t" for c in "f+"}, **{c: "g" for c in "9q"}, **{c: "#" for c in "234678"}})
 _SIGNS, _RUN = re.compile(r"\W+"), re.compile("[#los]+")
+# the same on lower-case ASCII, behind signs without which there is no match
+_ISSUE_LOW = re.compile(r"\b(?:vol|issue|bd|tome)[.,]?\s*[\dlios]|\bdownloaded from\b|\bdoi\b|\bissn\b|\baccepted (?:for publication|manuscript)\b|\bpreprint\b|\ball rights reserved\b|\b(?:bulletin|annals|proceedings|transactions|journal|letters|working papers|technical reports?|quarterly)\b")
+_ISSUE_SIGNS = ("vol", "issue", "bd", "tome", "download", "doi", "issn", "accepted", "print", "rights", "bulletin", "annals", "proceed", "transac", "journal", "letters", "papers", "technical", "quarterly")
+_ISSUE_NO = re.compile(r"no(?<=\bno)[.,]?\s*[\dlios]")
+_ISSUE_HOST = re.compile(r"\.(?:com|org|net|example|test|invalid)\b")
+_CLOSING, _FULL = "\"”’)]", (".", "!", "?", ":")
 FEATURES = 22
 
 
+def issue(s: str) -> bool:
+    """Whether ``_ISSUE`` is found in a line."""
+    if not s.isascii():
+        return _ISSUE.search(s) is not None
+    low = s.lower()
+    for x in _ISSUE_SIGNS:
+        if x in low:
+            if _ISSUE_LOW.search(low):
+                return True
+            break
+    return "no" in low and _ISSUE_NO.search(low) is not None or "." in low and _ISSUE_HOST.search(low) is not None and _ISSUE.search(s) is not None
+
+
 def line_features(lines: list[str]) -> np.ndarray:
     """One row for each line that is not blank: its form, and how the lines before and after it run on."""
-    solid = [i for i, x in enumerate(lines) if x and not x.isspace()]
-    text = [lines[i].strip() for i in solid]
-    if not solid:
-        return np.zeros((0, FEATURES), np.float32)
-    last = len(text) - 1
-    width = sorted(map(len, text))[int(0.8 * last)] or 1
+    return features_of([lines])[2]
+
+
+def features_of(docs: list[list[str]]) -> tuple[list[list[int]], list[int], np.ndarray]:
+    """Of each document's lines: the indices of those that are not blank, the width of full lines; the rows of all."""
+    solids, widths, text, ends = [], [], [], [0]
+    for lines in docs:
+        stripped = list(map(str.strip, lines))
+        solid = [i for i, s in enumerate(stripped) if s]
+        text += [stripped[i] for i in solid] if len(solid) < len(stripped) else stripped
+        solids.append(solid)
+        widths.append(sorted(map(len, stripped))[len(stripped) - len(solid) + int(0.8 * (len(solid) - 1))] if solid else 1)
+        ends.append(len(text))
+    n = len(text)
+    out = np.zeros((n, FEATURES), np.float32)
+    if not n:
+        return solids, widths, out
+    count = np.diff(ends)
+    opens, closes = np.zeros(n, bool), np.zeros(n, bool)  # a document
+    opens[np.array(ends[:-1])[count > 0]] = closes[np.array(ends[1:])[count > 0] - 1] = True
+    at = np.fromiter((i for solid in solids for i in solid), np.int64, n)
+    final = np.repeat(np.fromiter(map(len, docs), np.int64, len(docs)), count) - 1 == at
+    step = np.diff(at) != 1
+    gap_before, gap_after = np.append(True, step), np.append(step, True)
+    gap_before[opens], gap_after[closes] = at[opens] == 0, final[closes]
+    gap_before |= opens & (at > 0)
+    gap_after |= closes & ~final
+    size = np.fromiter(map(len, text), np.int64, n)
+    firsts, lasts = [s[0] for s in text], [s[-1] for s in text]
+    lower = np.fromiter(map(str.islower, firsts), bool, n)
+    stops = np.fromiter((c in _FULL or c in _CLOSING and s.rstrip(_CLOSING)[-1:] in _FULL for c, s in zip(lasts, text)), bool, n)
+    out[:, 7], out[:, 8], out[:, 10], out[:, 11], out[:, 12] = stops, lower, gap_before & gap_after, gap_before, gap_after
+    out[:, 13] = size / np.repeat(np.array(widths), count)
+    out[:, 16], out[:, 17], out[:, 18] = opens, closes, [c in MARKS for c in lasts]
+    out[:, 20], out[:, 21] = np.fromiter(map(str.isdigit, lasts), bool, n), size > 110
+    plain = lower & np.fromiter((c not in "ivxlc" for c in firsts), bool, n) | (size > 110)
+    runs_on = ~np.append(True, stops[:-1]) & ~opens & ~gap_before & ~closes & np.append(lower[1:], False) & ~lower & ~plain
+    out[:, 9] = runs_on
+    odd = np.flatnonzero(~plain)
     rows, keys = [], []
-    for k, (i, s) in enumerate(zip(solid, text)):
-        gap_before, gap_after = i == 0 or not lines[i - 1].strip(), i + 1 >= len(lines) or not lines[i + 1].strip()
-        first = s[0]
-        stops = s.rstrip("\"”’)]")[-1:] in (".", "!", "?", ":")
-        share, edge = len(s) / width, (k == 0, k == last, s[-1] in MARKS)
-        if first.islower() and first not in "ivxlc" or len(s) > 110:
-            rows.append((0, 0, 0, 0, 0, 0, 0, stops, first.islower(), 0, gap_before and gap_after, gap_before, gap_after, share, 0, 0, *edge, 0, s[-1].isdigit(), len(s) > 110))
-            keys.append(None)
-            continue
+    for k in odd.tolist():
+        s = text[k]
         words = s.split()
         initial = sum([w[0].isupper() or not w[0].isalpha() for w in words]) / len(words)
-        key = None
-        if initial > 0.4:
-            key = _RUN.sub("#", _SIGNS.sub(" ", s.translate(_SAME).lower()))
-        keys.append(key)
-        before = text[k - 1] if k else ""
+        keys.append(_RUN.sub("#", _SIGNS.sub(" ", s.translate(_SAME).lower())) if initial > 0.4 else None)
         rows.append((
             len(words) < 6 and _PAGE.match(s) is not None,
-            len(words) < 14 and _ISSUE.search(s) is not None,
+            len(words) < 14 and issue(s),
             ("|" in s or "·" in s or "•" in s) and len(words) < 16 and _ROMAN.search(s) is not None,
             "  " in s and _EDGE_NUMBER.search(s) is not None,
             not s[1:2].islower() and sum(map(str.isupper, s)) > 0.8 * sum(map(str.isalpha, s)) and sum(map(str.isalpha, s)) > 3,
-            0,
-            0,
-            stops,
-            first.islower(),
-            bool(before) and before.rstrip("\"”’)]")[-1:] not in (".", "!", "?", ":") and not gap_before and k < last and text[k + 1][0].islower() and not first.islower(),
-            gap_before and gap_after,
-            gap_before,
-            gap_after,
-            share,
             initial > 0.55 and len(words) >= 3,
             initial,
-            *edge,
             len(words) <= 2,
-            s[-1].isdigit(),
-            0,
         ))
-    out = np.array(rows, np.float32)
-    often = Counter(keys)
-    again = np.array([x is not None and often[x] > 1 for x in keys])
-    out[:, 5], out[:, 6] = again, again & (out[:, 13] < 0.75)
-    return out
+    if rows:
+        out[np.ix_(odd, (0, 1, 2, 3, 4, 14, 15, 19))] = np.array(rows, np.float32)
+        own = list(zip(np.repeat(np.arange(len(docs)), count)[odd].tolist(), keys))
+        often = Counter(own)
+        again = np.array([x[1] is not None and often[x] > 1 for x in own])
+        out[odd, 5], out[odd, 6] = again, again & (out[odd, 13] < 0.75)
+    return solids, widths, out
 
 
 _PRODUCT = ((4, 7), (5, 7), (9, 14), (0, 7), (14, 13), (15, 9), (14, 11), (14, 12), (16, 14), (17, 14), (5, 14), (8, 5), (9, 13), (19, 0), (16, 15), (12, 14), (10, 4), (7, 14))
 
 
 def _expand(x: np.ndarray) -> np.ndarray:
-    return np.hstack((x, *(x[:, [a]] * x[:, [b]] for a, b in _PRODUCT), np.ones((len(x), 1), np.float32)))
+    a, b = np.array(_PRODUCT).T
+    return np.hstack((x, x[:, a] * x[:, b], np.ones((len(x), 1), np.float32)))
 
 
 def seed_running(x: np.ndarray) -> np.ndarray:
@@ -520,8 +564,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def running_lines(lines: list[str], w: np.ndarray) -> set[int]:
     """Indices (from 0) of the running lines."""
-    x = line_features(lines)
-    solid = [i for i, s in enumerate(lines) if s and not s.isspace()]
+    (solid,), _, x = features_of([lines])
     return {i for i, z in zip(solid, _expand(x) @ w) if z > 0}
 
 
@@ -579,6 +622,7 @@ class JoinModel:
     def __init__(self, lexicon: dict[str, int], texts: list[str], w: np.ndarray, most: int = 3000, seed: int = 7):
         rng = random.Random(seed)
         self.memo: dict[tuple, bool] = {}
+        self.looked: dict[str, tuple] = {}  # what look() gave for the tokens of the lexicon's texts
         self.heads: Counter = Counter()
         self.tails: Counter = Counter()
         parts, half = Counter(), Counter()
@@ -674,27 +718,24 @@ class JoinModel:
         return got
 
 
-def examine(text: str, w: np.ndarray, lexicon: dict[str, int], model: JoinModel) -> tuple[set[int], set[int], list[tuple[int, str, str | None]]]:
-    """(running lines, lines with a broken word, (line, word, right or None if yet unknown)), lines from 0."""
-    lines = text.split("\n")
-    run = running_lines(lines, w)
-    width = 0
-    body = [i for i, s in enumerate(lines) if i not in run and s and not s.isspace()]
-    broken: set[int] = set()
-    odd: list[tuple[int, str, str | None]] = []
+def look(token: str, lexicon: dict[str, int]) -> tuple[tuple[str, str | None], ...]:
+    """(word, right or None if yet unknown) of a token that is not in the lexicon as it stands."""
+    c = core(token)
+    if not c or known(c, lexicon) or _NUMBER.fullmatch(c):
+        return ()
+    fixed = number_of(c.strip("()[]"))
+    if fixed:
+        return ((c, fixed),)
+    if len(c) > 1:
+        return ((c, None), (c.strip("(["), None)) if c[0] in "([" and len(c) > 3 else ((c, None),)
+    return ()
 
-    def look(i: int, token: str) -> None:
-        c = core(token)
-        if not c or known(c, lexicon) or _NUMBER.fullmatch(c):
-            return
-        fixed = number_of(c.strip("()[]"))
-        if fixed:
-            odd.append((i, c, fixed))
-        elif len(c) > 1:
-            odd.append((i, c, None))
-            if c[0] in "([" and len(c) > 3:
-                odd.append((i, c.strip("(["), None))
 
+def examine(lines: list[str], body: list[int], width: int, lexicon: dict[str, int], model: JoinModel) -> tuple[set[int], list[tuple[int, str, str | None]]]:
+    """(lines with a broken word, (line, word, right or None if yet unknown)), lines from 0; width is that of full lines."""
+    broken: set[int] = set()
+    odd: list[tuple[int, str, str | None]] = []
+    looked = model.looked
     skip_first = False
     for k, i in enumerate(body):
         tokens = lines[i].split()
@@ -704,7 +745,6 @@ def examine(text: str, w: np.ndarray, lexicon: dict[str, int], model: JoinModel)
         if tokens and tokens[-1][-1] in MARKS and len(tokens[-1]) > 1 and _LETTERS.search(tokens[-1][-2]) and k + 1 < len(body):
             nxt = lines[body[k + 1]].split()[0]
             left, mark = tokens[-1][:-1], tokens[-1][-1]
-            width = width or full_width(lines)
             skip_first = True
             if model(left, mark, nxt, len(lines[i].strip()) / width, lexicon):
                 broken.add(i)
@@ -718,8 +758,14 @@ def examine(text: str, w: np.ndarray, lexicon: dict[str, int], model: JoinModel)
             tokens = tokens[:-1]
         for t in tokens:
             if t not in lexicon:
-                look(i, t)
-    return run, broken, odd
+                got = looked.get(t)
+                if got is None:
+                    if len(looked) > 200_000:
+                        looked.clear()
+                    got = looked[t] = look(t, lexicon)
+                for word, right in got:
+                    odd.append((i, word, right))
+    return broken, odd
 
 
 NOISE = "pdf_id bigint, line_no int, noise string, word string, right string, next_line int"
@@ -732,19 +778,32 @@ def scan_lines(ids: list[int], texts: list[str | None], w: np.ndarray, lexicon:
         for k, v in zip(out, row):
             out[k].append(v)
 
+    def settle():
+        solids, widths, x = features_of([lines for _, lines in docs])
+        running, n = (_expand(x) @ w > 0).tolist(), 0
+        for (i, lines), solid, width in zip(docs, solids, widths):
+            own = running[n : n + len(solid)]
+            n += len(solid)
+            body = [k for k, r in zip(solid, own) if not r]
+            broken, odd = examine(lines, body, width, lexicon, model)
+            for k, r in zip(solid, own):
+                if r:
+                    add(i, k + 1, "running_line", None, None, None)
+            for k in broken:
+                add(i, k + 1, "hyphen", None, None, None)
+            after = dict(zip(body, body[1:])) if odd else {}
+            for k, word, right in odd:
+                add(i, k + 1, "misread" if right else "unknown", word, right, after.get(k, k) + 1)
+
+    docs, size = [], 0  # some thousand lines are looked at together
     for i, t in zip(ids, texts):
-        if not t or t.isspace():
-            continue
-        run, broken, odd = examine(t, w, lexicon, model)
-        lines = t.split("\n")
-        body = [k for k, s in enumerate(lines) if k not in run and s and not s.isspace()]
-        after = dict(zip(body, body[1:]))
-        for k in run:
-            add(i, k + 1, "running_line", None, None, None)
-        for k in broken:
-            add(i, k + 1, "hyphen", None, None, None)
-        for k, word, right in odd:
-            add(i, k + 1, "misread" if right else "unknown", word, right, after.get(k, k) + 1)
+        if t and not t.isspace():
+            docs.append((i, t.split("\n")))
+            size += len(docs[-1][1])
+            if size >= 8192:
+                settle()
+                docs, size = [], 0
+    settle()
     return out
 
 

@@ -151,3 +151,50 @@ def test_words_of_two_letters_and_short_names(spark):
     rows = [(k, text) for k in range(20)] + [(99, "many 0f them\nBerl was out")]
     found = S.Scans(spark.createDataFrame(rows, "pdf_id bigint, content string")).noise().where("noise = 'misread' and pdf_id = 99").collect()
     assert ("0f", "of") in {(r.word, r.right) for r in found}
+
+
+ODD = ["", " \n ", "\n\nabc\n", "A", "x-\n", "-\n-\nfoo-\nbar", "No. 5\nVol 3\nwww.Foo.COM\nÉtude no. 4\nſsue. doi", "[12]\n(3)\n\n", ")\n)]\n”", "　x\x1c\ny\n", "Word " * 40 + "\nword " * 3, "The River Report  7\nrain-\nbarrel l98O\n\nThe River Report  9\n(come l98O"]
+
+
+def test_documents_are_looked_at_together():
+    """The same rows as one by one, with each different token looked up once and the features of many documents in one matrix."""
+    texts = [*ODD, *(x for _, x in corpus())] * 3
+    lexicon, w = dict.fromkeys(WORDS[5:], 9), S.train_lines(texts)
+    model = S.JoinModel(lexicon, [], w)
+    single = [row for k, x in enumerate(texts) for row in zip(*S.scan_lines([k], [x], w, lexicon, model).values())]
+    x = np.vstack([S.line_features(t.split("\n")) for t in texts])
+    assert (S.features_of([t.split("\n") for t in texts])[2] == x).all() and len(x) > 3000
+
+    model, calls = S.JoinModel(lexicon, [], w), dict.fromkeys(("core", "_expand"), 0)
+    with pytest.MonkeyPatch.context() as m:
+        for name in calls:
+            m.setattr(S, name, lambda *a, f=getattr(S, name), name=name: calls.update({name: calls[name] + 1}) or f(*a))
+        got = S.scan_lines(list(range(len(texts))), texts, w, lexicon, model)
+    assert list(zip(*got.values())) == single and {r[2] for r in single} == {"running_line", "hyphen", "misread", "unknown"}
+    broken = sum(n == "hyphen" for n in got["noise"])
+    assert calls["_expand"] <= 2 and calls["core"] <= len({t for x in texts for t in x.split()}) + 6 * broken + 50
+
+
+def test_signs_of_issues_and_counts_by_line():
+    for line in (y for x in (*ODD, "a no. 5", "know 5", "no schedule", "-.com", "a-.com x", "_.net", "--.org", "Preprint", "preprints", "The Annals of", "annalsof", "© x", "BD l", "tome, 3", "İSSN", "accepted manuscript") for y in x.split("\n")):
+        assert S.issue(line) == (S._ISSUE.search(line) is not None), line
+    assert S.count_words(["a b-\nc d e\n\nf-\ng h", "a b-\n\nc-\nd e", None, "l98O (come 12 -"]) == {"a": 2, "d": 2, "e": 2, "h": 1, "l98O": 1, "(come": 1}
+
+
+def test_cost_of_a_misreading():
+    def plain(x, y):
+        best = {(0, 0): 0.0}
+        for i in range(len(x) + 1):
+            for j in range(len(y) + 1):
+                for a in range(min(i, 2) + 1):
+                    for b in range(min(j, 2) + 1):
+                        p, q = x[i - a : i], y[j - b : j]
+                        cost = 0.0 if a == b == 1 and p == q else 0.3 if (p, q) in S._VISUAL or (q, p) in S._VISUAL else 1.0 if a <= 1 and b <= 1 and a + b else None
+                        if cost is not None:
+                            best[i, j] = min(best.get((i, j), 99.0), best[i - a, j - b] + cost)
+        return best[len(x), len(y)]
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("rnmcldvwhi1l0OoeEf") for _ in range(rng.randrange(6)))
+    for x, y in [(word(), word()) for _ in range(3000)] + sorted(S._VISUAL):
+        assert S._visual(x, y) == plain(x, y), (x, y)
